@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, mixing, pii, quality_rules, secrets, simhash
+from . import chat, decontaminate, langid, lm, mixing, pii, quality_rules, secrets, simhash
 from .common import table
 
 
@@ -41,6 +41,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "found.n_email", "found.n_ip", "found.n_card", "found.n_phone", F.sha2("found.base", 256).alias("base_sha256"), "found.spans")
 
 
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), keep=["doc_id"])
     return mixed.select("row.doc_id", "size", "source_size", "target", "taken")
@@ -52,6 +56,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_simhash, op3_chat_format, op5_quality_rules, op6_decontaminate, op7_pii, op9_mixing, op10_language_id)
+    f.__name__: f for f in (op1_secret_scan, op2_simhash, op3_chat_format, op5_quality_rules, op6_decontaminate, op7_pii, op8_lm_scores, op9_mixing, op10_language_id)
 }
 ORACLE_SQL: dict[str, str] = {}
