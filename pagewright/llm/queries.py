@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, lm, mixing, pii, quality_rules, secrets, simhash
+import corpus_pipeline
+
+from . import chat, decontaminate, langid, lm, mixing, pii, quality_model, quality_rules, secrets, simhash
 from .common import table
 
 
@@ -26,6 +28,11 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)))
 
 
+def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("row.doc_id", "found.score_text", "found.score_meta", "found.score", "found.kept")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     ruled = quality_rules.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), keep=["doc_id"])
     return ruled.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -56,6 +63,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_simhash, op3_chat_format, op5_quality_rules, op6_decontaminate, op7_pii, op8_lm_scores, op9_mixing, op10_language_id)
+    f.__name__: f for f in (op1_secret_scan, op2_simhash, op3_chat_format, op4_quality_model, op5_quality_rules, op6_decontaminate, op7_pii, op8_lm_scores, op9_mixing, op10_language_id)
 }
+QUERIES["pipeline"] = corpus_pipeline.run
 ORACLE_SQL: dict[str, str] = {}

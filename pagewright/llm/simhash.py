@@ -28,30 +28,45 @@ MOST_IN_BUCKET = 16_384
 MOST_CUTS = 3
 
 
-def fingerprint(text: str | None, words: int) -> int:
-    """The SimHash of a text as a signed 64-bit number; 0 if it has no word."""
-    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
+def shingle_hashes(text: str | None, words: int) -> Iterator[np.ndarray]:
+    """The hashes of a text's shingles, some at a time."""
+    parts = (text or "").encode().lower().split()
     if not parts:
-        return 0
+        return
     joined = b" ".join(parts)
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
     ends = np.cumsum(sizes + 1) - 1
-    starts = ends - sizes
-    n = max(1, len(parts) - words + 1)
-    first, last = starts[:n].tolist(), ends[min(words, len(parts)) - 1 :].tolist()
-    ones = np.zeros(64, np.int64)
-    digest = xxhash.xxh64_digest
-    for at in range(0, n, CHUNK):
-        raw = b"".join([digest(joined[a:b], SEED) for a, b in zip(first[at : at + CHUNK], last[at : at + CHUNK])])
-        ones += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.uint32)
+    first, last = (ends - sizes)[: max(1, len(parts) - words + 1)].tolist(), ends[min(words, len(parts)) - 1 :].tolist()
+    whole = xxhash.xxh64_digest
+    for at in range(0, len(first), CHUNK):
+        yield np.frombuffer(b"".join([whole(joined[a:b], SEED) for a, b in zip(first[at : at + CHUNK], last[at : at + CHUNK])]), ">u8")
+
+
+def majority(ones: np.ndarray, n: int) -> int:
+    """The fingerprint, as a signed number, whose bits are those that over half of n hashes have."""
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
 
 
-def _fingerprints(words: int):
+def count_ones(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.uint32)
+
+
+def fingerprints(text: str | None, words: int, checked: bool = False) -> tuple[int, int]:
+    """The SimHash of a text and, if asked for, a second one from the same hashes mixed anew; 0 if it has no word."""
+    n, ones, others = 0, np.zeros(64, np.int64), np.zeros(64, np.int64)
+    for hashes in shingle_hashes(text, words):
+        n += len(hashes)
+        ones += count_ones(hashes)
+        if checked:
+            others += count_ones(mix(hashes.astype(np.uint64)))
+    return majority(ones, n), majority(others, n)
+
+
+def _fingerprints(words: int, checked: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(t, words) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.int64())], ["doc_id", "fp"])
+            found = [fingerprints(t, words, checked) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([f[i] for f in found], pa.int64()) for i in (0, 1))], ["doc_id", "fp", "check"])
 
     return run
 
@@ -81,12 +96,12 @@ def _segment_keys(bucket: np.ndarray, value: np.ndarray, segment: int) -> np.nda
 
 
 def _segments(segments: int, cuts: int):
-    """(bucket, fp, path) to one row for each segment: the key of its value in its bucket."""
+    """(bucket, fp, check, path) to one row for each segment: the key of its value in its bucket."""
     free = paths(segments, cuts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bucket, fp, path = (batch.column(i).to_numpy() for i in range(3))
+            bucket, fp, path = (batch.column(i).to_numpy() for i in (0, 1, 3))
             bucket, fp, keys = bucket.view(np.uint64), fp.view(np.uint64), []
             for p in np.unique(path):
                 here = path == p
@@ -99,18 +114,18 @@ def _segments(segments: int, cuts: int):
     return run
 
 
-def _variants(segments: int, cuts: int, with_values: bool):
-    """(bucket, fp, path) to a row for each free bit: the bucket of its segment's variant without that bit.
+def _variants(segments: int, cuts: int, with_values: bool, checked: bool):
+    """(bucket, fp, check, path) to a row for each free bit: the bucket of its segment's variant without that bit.
     with_values: also the keys of the two segment values that share the variant."""
     free = paths(segments, cuts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bucket, fp, path = (batch.column(i).to_numpy() for i in range(3))
+            bucket, fp, check, path = (batch.column(i).to_numpy() for i in range(4))
             bucket, fp = bucket.view(np.uint64), fp.view(np.uint64)
             for p in np.unique(path):
                 here = path == p
-                old, own = bucket[here], fp[here]
+                old, own, seen = bucket[here], fp[here], check[here]
                 for i, bits in enumerate(cut(free[p], segments)):
                     mask = np.uint64(sum(1 << b for b in bits))
                     for b in bits:
@@ -118,6 +133,9 @@ def _variants(segments: int, cuts: int, with_values: bool):
                         rest = own & (mask & ~bit)
                         columns = [mix(mix(old + np.uint64(b + 1)) ^ rest).view(np.int64), own.view(np.int64)]
                         names = ["bucket", "fp"]
+                        if checked:
+                            columns.append(seen)
+                            names.append("check")
                         if with_values:
                             columns += [_segment_keys(old, rest, i).view(np.int64), _segment_keys(old, rest | bit, i).view(np.int64), np.full(len(own), p * segments + i, np.int64)]
                             names += ["off_key", "on_key", "path"]
@@ -149,56 +167,70 @@ class Forest:
         return True
 
 
-def bucket_tree(fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
-    """Links that connect one bucket's fingerprints exactly as all its links would, at most one fewer than they are.
+def near(fp: np.ndarray, check: np.ndarray, at: tuple, bits: int, check_bits: int) -> np.ndarray:
+    close = np.bitwise_count(fp ^ at[0]) <= bits
+    return close & (np.bitwise_count(check ^ at[1]) <= check_bits) if check_bits < 64 else close
+
+
+def bucket_tree(fp: np.ndarray, check: np.ndarray, bits: int, check_bits: int) -> list[tuple[int, int]]:
+    """Links that connect one bucket's fingerprints exactly as all its links would, fewer than it has fingerprints.
     A search from any fingerprint takes what is within reach out of the rest, so a dense bucket takes few passes."""
-    rest, out = np.unique(fps), []
-    while len(rest) > 1:
-        reached, rest = [rest[0]], rest[1:]
-        while reached and len(rest):
+    out = []
+    while len(fp) > 1:
+        reached, fp, check = [(fp[0], check[0])], fp[1:], check[1:]
+        while reached and len(fp):
             at = reached.pop()
-            near = np.bitwise_count(rest ^ at) <= bits
-            if near.any():
-                new = rest[near]
-                out += [(int(at), int(x)) for x in new]
-                reached += list(new)
-                rest = rest[~near]
+            close = near(fp, check, at, bits, check_bits)
+            if close.any():
+                out += [(int(at[0]), int(x)) for x in fp[close]]
+                reached += list(zip(fp[close], check[close]))
+                fp, check = fp[~close], check[~close]
     return out
 
 
-def _bucket_links(bits: int):
-    """(bucket, fp) sorted by bucket within the partition, to links between fingerprints of one bucket.
+#: Buckets up to this size are compared as one matrix.
+MATRIX = 512
+
+
+def _bucket_links(bits: int, check_bits: int):
+    """(bucket, fp, check) sorted by bucket within the partition, to links between fingerprints of one bucket.
     A partition keeps a union-find of what it has linked and returns only links that join two trees."""
 
-    def links(bucket: np.ndarray, fp: np.ndarray) -> Iterator[tuple[int, int]]:
-        edges = np.flatnonzero(np.diff(bucket)) + 1
-        starts = np.concatenate([[0], edges])
+    def links(bucket: np.ndarray, fp: np.ndarray, check: np.ndarray) -> Iterator[tuple[int, int]]:
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1])
         sizes = np.diff(np.concatenate([starts, [len(bucket)]]))
         for size in (2, 3):
             at = starts[sizes == size]
             for i in range(size):
                 for j in range(i + 1, size):
-                    a, b = fp[at + i], fp[at + j]
-                    near = np.bitwise_count(a ^ b) <= bits
-                    yield from zip(a[near].tolist(), b[near].tolist())
+                    close = near(fp[at + i], check[at + i], (fp[at + j], check[at + j]), bits, check_bits)
+                    yield from zip(fp[at + i][close].tolist(), fp[at + j][close].tolist())
         for s, n in zip(starts[sizes > 3].tolist(), sizes[sizes > 3].tolist()):
-            yield from bucket_tree(fp[s : s + n], bits)
+            f, c = fp[s : s + n], check[s : s + n]
+            if n <= MATRIX:
+                a, b = np.nonzero(np.triu(near(f[None, :], c[None, :], (f[:, None], c[:, None]), bits, check_bits), 1))
+                if len(a) <= 4 * n:
+                    yield from zip(f[a].tolist(), f[b].tolist())
+                    continue
+            yield from bucket_tree(f, c, bits, check_bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, held = Forest(), []
+        forest, held, n_held = Forest(), [], 0
 
         def told(parts: list[np.ndarray]) -> pa.RecordBatch:
-            out = [(a, b) for a, b in links(parts[0], parts[1]) if a != b and forest.join(a, b)] if len(parts[0]) else []
+            out = [(a, b) for a, b in links(*parts) if a != b and forest.join(a, b)] if len(parts[0]) else []
             both = np.array(out, np.uint64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(both[:, i].copy().view(np.int64)) for i in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            held.append([batch.column("bucket").to_numpy(), batch.column("fp").to_numpy().view(np.uint64)])
-            if sum(len(x[0]) for x in held) < 1 << 16:
+            columns = [batch.column(i).to_numpy() for i in range(batch.num_columns)]
+            held.append([columns[0], columns[1].view(np.uint64), columns[-1].view(np.uint64)])
+            n_held += len(columns[0])
+            if n_held < 1 << 16:
                 continue
             parts = [np.concatenate(x) for x in zip(*held)]
             last = np.searchsorted(parts[0], parts[0][-1])
-            held = [[x[last:] for x in parts]]
+            held, n_held = [[x[last:] for x in parts]], 0
             yield told([x[:last] for x in parts])
         if held:
             yield told([np.concatenate(x) for x in zip(*held)])
@@ -206,53 +238,79 @@ def _bucket_links(bits: int):
     return run
 
 
-def links_within(fps: DataFrame, bits: int, most_in_bucket: int = MOST_IN_BUCKET) -> DataFrame:
-    """(a, b) that connect the distinct fingerprints fps (fp long) exactly as all pairs within ``bits`` bits would.
+def links_within(fps: DataFrame, bits: int, check_bits: int = 64, most_in_bucket: int = MOST_IN_BUCKET) -> DataFrame:
+    """(a, b) that connect the distinct fingerprints of fps (fp, check: long) exactly as all pairs would that differ in at
+    most ``bits`` bits of fp and, if check_bits is under 64, in at most so many of check.
 
     A bucket that may hold more than most_in_bucket fingerprints (known from the counts of its two segment
     values) is cut again by its other bits, up to MOST_CUTS times; no candidate is dropped.
     """
-    segments = bits // 2 + 1
-    rows = fps.select(F.lit(0).cast("long").alias("bucket"), "fp", F.lit(0).cast("long").alias("path"))
+    segments, checked = bits // 2 + 1, check_bits < 64
+    carried, zero = ["bucket", "fp"] + ["check"] * checked, F.lit(0).cast("long")
+    rows = fps.select(zero.alias("bucket"), "fp", (F.col("check") if checked else zero).alias("check"), zero.alias("path"))
     out = None
     for cuts in range(MOST_CUTS + 1):
-        hot = None
+        hot, n_hot = None, 0
         if cuts < MOST_CUTS:
             counts = rows.mapInArrow(_segments(segments, cuts), "value_key long").groupBy("value_key").count()
             hot = written(counts.where(F.col("count") > most_in_bucket // 2).select("value_key"), "hot")
             n_hot = hot.count()
-            hot = hot if n_hot else None
-        made = rows.mapInArrow(_variants(segments, cuts, hot is not None), "bucket long, fp long" + (", off_key long, on_key long, path long" if hot is not None else ""))
-        if hot is not None:
-            made = made.join(broadcast_if_small(hot.select(F.col("value_key").alias("off_key"), F.lit(True).alias("off")), n_hot), "off_key", "left")
-            made = made.join(broadcast_if_small(hot.select(F.col("value_key").alias("on_key"), F.lit(True).alias("on")), n_hot), "on_key", "left")
-            made = written(made.select("bucket", "fp", "path", (F.col("off").isNotNull() | F.col("on").isNotNull()).alias("hot")), "variants")
-        plain = made if hot is None else made.where("not hot")
-        found = plain.select("bucket", "fp").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_links(bits), "a long, b long")
+        kinds = [*carried, "off_key", "on_key", "path"] if n_hot else carried
+        made = rows.mapInArrow(_variants(segments, cuts, n_hot > 0, checked), ", ".join(f"{k} long" for k in kinds))
+        if n_hot:
+            for side in ("off", "on"):
+                keys = hot.select(F.col("value_key").alias(f"{side}_key"), F.lit(True).alias(side))
+                made = made.join(broadcast_if_small(keys, n_hot), f"{side}_key", "left")
+            made = written(made.select(*carried, "path", (F.col("off").isNotNull() | F.col("on").isNotNull()).alias("hot")), "variants")
+        plain = made.where("not hot") if n_hot else made
+        found = plain.select(*carried).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_links(bits, check_bits), "a long, b long")
         out = found if out is None else out.unionByName(found)
-        if hot is None:
+        if not n_hot:
             return out
-        rows = made.where("hot").select("bucket", "fp", "path")
+        rows = made.where("hot").select("bucket", "fp", (F.col("check") if checked else zero).alias("check"), "path")
     return out
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, most_in_bucket: int = MOST_IN_BUCKET) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, bits: int = 9, check_bits: int = 64, most_in_bucket: int = MOST_IN_BUCKET) -> DataFrame:
     """(doc_id, fp long, component_id) for every row of docs (doc_id, text; other columns are not read).
 
     fp: SimHash over XXH64 (seed 42) of the ``words``-word shingles of the text with A-Z in lower case; a shorter text
     is one shingle, an empty, blank or null one has fingerprint 0 and links like any other. component_id: the smallest
     doc_id (nulls aside) reachable over links of at most ``bits`` differing bits. Repeated rows and ids each keep their row.
+
+    Where unrelated texts come within ``bits`` by chance (many documents, many bits), check_bits under 64 asks for a
+    second fingerprint from the same shingles within so many bits.
     """
     small_batches(docs.sparkSession)
-    prints = written(docs.select("doc_id", "text").mapInArrow(_fingerprints(words), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long"), "prints")
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    parts = connected_components(links_within(nodes.select("fp"), bits, most_in_bucket)).withColumnRenamed("node", "fp")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    prints = written(docs.select("doc_id", "text").mapInArrow(_fingerprints(words, check_bits < 64), f"doc_id {kind}, fp long, check long"), "prints")
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("check").alias("check")), "nodes")
+    parts = connected_components(links_within(nodes.select("fp", "check"), bits, check_bits, most_in_bucket)).withColumnRenamed("node", "fp")
     rooted = nodes.join(parts, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def without_duplicates(docs: DataFrame, words: int = 5, bits: int = 9, check_bits: int = 16) -> DataFrame:
+    """docs without near duplicates: of each group the rows with the smallest doc_id stay, and of them one row each.
+
+    Two fingerprints of 64 bits at most 9 bits apart have an estimated angle whose cosine c is at least 0.904, and sets
+    of such an angle a Jaccard similarity c / (2 - c) of at least 0.82; at 10 bits it is under 0.8. Rows without an id
+    can't be told apart: one of them stays if some group has no other rows.
+    """
+    groups = near_duplicates(docs, words, bits, check_bits)
+    heads = written(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("head")).distinct(), "heads")
+    stays = docs.join(heads, F.col("doc_id").eqNullSafe(F.col("head")), "left_semi")
+    repeated = written(stays.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("again")), "repeated")
+    n = repeated.count()
+    if not n:
+        return stays
+    again = F.col("doc_id").eqNullSafe(F.col("again"))
+    once = stays.join(broadcast_if_small(repeated, n), again, "left_anti")
+    return once.unionByName(stays.join(broadcast_if_small(repeated, n), again, "left_semi").dropDuplicates(["doc_id"]))
+
+
 def fingerprint_hex(fp: Column) -> Column:
     """16 lower-case hexadecimal digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
