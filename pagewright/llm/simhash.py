@@ -173,18 +173,18 @@ def near(fp: np.ndarray, check: np.ndarray, at: tuple, bits: int, check_bits: in
 
 
 def bucket_tree(fp: np.ndarray, check: np.ndarray, bits: int, check_bits: int) -> list[tuple[int, int]]:
-    """Links that connect one bucket's fingerprints exactly as all its links would, fewer than it has fingerprints.
+    """Links, as positions, that connect one bucket's rows exactly as all its links would, fewer than it has rows.
     A search from any fingerprint takes what is within reach out of the rest, so a dense bucket takes few passes."""
-    out = []
-    while len(fp) > 1:
-        reached, fp, check = [(fp[0], check[0])], fp[1:], check[1:]
-        while reached and len(fp):
+    out, rest = [], np.arange(len(fp))
+    while len(rest) > 1:
+        reached, rest = [rest[0]], rest[1:]
+        while reached and len(rest):
             at = reached.pop()
-            close = near(fp, check, at, bits, check_bits)
+            close = near(fp[rest], check[rest], (fp[at], check[at]), bits, check_bits)
             if close.any():
-                out += [(int(at[0]), int(x)) for x in fp[close]]
-                reached += list(zip(fp[close], check[close]))
-                fp, check = fp[~close], check[~close]
+                out += [(int(at), int(x)) for x in rest[close]]
+                reached += list(rest[close])
+                rest = rest[~close]
     return out
 
 
@@ -192,11 +192,12 @@ def bucket_tree(fp: np.ndarray, check: np.ndarray, bits: int, check_bits: int) -
 MATRIX = 512
 
 
-def _bucket_links(bits: int, check_bits: int):
-    """(bucket, fp, check) sorted by bucket within the partition, to links between fingerprints of one bucket.
+def _bucket_links(bits: int, check_bits: int, node: int):
+    """(bucket, fp, check) sorted by bucket within the partition, to links between rows of one bucket, named by column node.
     A partition keeps a union-find of what it has linked and returns only links that join two trees."""
 
     def links(bucket: np.ndarray, fp: np.ndarray, check: np.ndarray) -> Iterator[tuple[int, int]]:
+        ids = check if node == 2 else fp
         starts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1])
         sizes = np.diff(np.concatenate([starts, [len(bucket)]]))
         for size in (2, 3):
@@ -204,15 +205,15 @@ def _bucket_links(bits: int, check_bits: int):
             for i in range(size):
                 for j in range(i + 1, size):
                     close = near(fp[at + i], check[at + i], (fp[at + j], check[at + j]), bits, check_bits)
-                    yield from zip(fp[at + i][close].tolist(), fp[at + j][close].tolist())
+                    yield from zip(ids[at + i][close].tolist(), ids[at + j][close].tolist())
         for s, n in zip(starts[sizes > 3].tolist(), sizes[sizes > 3].tolist()):
-            f, c = fp[s : s + n], check[s : s + n]
+            f, c, own = fp[s : s + n], check[s : s + n], ids[s : s + n]
             if n <= MATRIX:
                 a, b = np.nonzero(np.triu(near(f[None, :], c[None, :], (f[:, None], c[:, None]), bits, check_bits), 1))
                 if len(a) <= 4 * n:
-                    yield from zip(f[a].tolist(), f[b].tolist())
+                    yield from zip(own[a].tolist(), own[b].tolist())
                     continue
-            yield from bucket_tree(f, c, bits, check_bits)
+            yield from ((int(own[a]), int(own[b])) for a, b in bucket_tree(f, c, bits, check_bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, held, n_held = Forest(), [], 0
@@ -238,9 +239,9 @@ def _bucket_links(bits: int, check_bits: int):
     return run
 
 
-def links_within(fps: DataFrame, bits: int, check_bits: int = 64, most_in_bucket: int = MOST_IN_BUCKET) -> DataFrame:
+def links_within(fps: DataFrame, bits: int, check_bits: int = 64, most_in_bucket: int = MOST_IN_BUCKET, node: str = "fp") -> DataFrame:
     """(a, b) that connect the distinct fingerprints of fps (fp, check: long) exactly as all pairs would that differ in at
-    most ``bits`` bits of fp and, if check_bits is under 64, in at most so many of check.
+    most ``bits`` bits of fp and, if check_bits is under 64, in at most so many of check. node: the column that names them.
 
     A bucket that may hold more than most_in_bucket fingerprints (known from the counts of its two segment
     values) is cut again by its other bits, up to MOST_CUTS times; no candidate is dropped.
@@ -263,7 +264,7 @@ def links_within(fps: DataFrame, bits: int, check_bits: int = 64, most_in_bucket
                 made = made.join(broadcast_if_small(keys, n_hot), f"{side}_key", "left")
             made = written(made.select(*carried, "path", (F.col("off").isNotNull() | F.col("on").isNotNull()).alias("hot")), "variants")
         plain = made.where("not hot") if n_hot else made
-        found = plain.select(*carried).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_links(bits, check_bits), "a long, b long")
+        found = plain.select(*carried).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_links(bits, check_bits, 1 + (node == "check")), "a long, b long")
         out = found if out is None else out.unionByName(found)
         if not n_hot:
             return out
@@ -278,21 +279,25 @@ def near_duplicates(docs: DataFrame, words: int = 5, bits: int = 9, check_bits:
     is one shingle, an empty, blank or null one has fingerprint 0 and links like any other. component_id: the smallest
     doc_id (nulls aside) reachable over links of at most ``bits`` differing bits. Repeated rows and ids each keep their row.
 
-    Where unrelated texts come within ``bits`` by chance (many documents, many bits), check_bits under 64 asks for a
-    second fingerprint from the same shingles within so many bits.
+    Where unrelated texts come within ``bits`` by chance (many documents, many bits), check_bits under 64 asks that a
+    second fingerprint from the same shingles be within so many bits. Then the two change places for a second index,
+    which finds the pairs that only the second fingerprint brings within ``bits``.
     """
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     prints = written(docs.select("doc_id", "text").mapInArrow(_fingerprints(words, check_bits < 64), f"doc_id {kind}, fp long, check long"), "prints")
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("check").alias("check")), "nodes")
-    parts = connected_components(links_within(nodes.select("fp", "check"), bits, check_bits, most_in_bucket)).withColumnRenamed("node", "fp")
+    links = links_within(nodes.select("fp", "check"), bits, check_bits, most_in_bucket)
+    if check_bits < 64:
+        links = links.unionByName(links_within(nodes.select(F.col("check").alias("fp"), F.col("fp").alias("check")), bits, check_bits, most_in_bucket, "check"))
+    parts = connected_components(links).withColumnRenamed("node", "fp")
     rooted = nodes.join(parts, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def without_duplicates(docs: DataFrame, words: int = 5, bits: int = 9, check_bits: int = 16) -> DataFrame:
+def without_duplicates(docs: DataFrame, words: int = 5, bits: int = 9, check_bits: int = 18) -> DataFrame:
     """docs without near duplicates: of each group the rows with the smallest doc_id stay, and of them one row each.
 
     Two fingerprints of 64 bits at most 9 bits apart have an estimated angle whose cosine c is at least 0.904, and sets
