@@ -55,6 +55,16 @@ def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def least_marks(marks: DataFrame, n: int) -> list[int]:
+    """The n least distinct values of marks (mark long: a hash of what a row is), for samples of bounded size.
+
+    Only marks below twice the share that is needed are sorted, so tasks send the driver what it needs and no more.
+    """
+    total = marks.count()
+    few = marks if total <= 4 * n else marks.where(F.col("mark") <= -(2**63) + 2**64 * 2 * n // total)
+    return [r.mark for r in few.distinct().orderBy("mark").limit(n).collect()]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -18,7 +18,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, small_batches
+from .common import BROADCAST_ROWS, least_marks, small_batches
 
 #: Rows of labels, and unlabelled rows, that the models are fitted on: those of least hash.
 LABELLED = 4_000
@@ -144,10 +144,13 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, rounds: int = RO
 def samples(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text view, metadata view, label or nan) of the labelled ids and of the other ids with the least hashes. Of an id
     with several labels the worst counts; null labels and ids are left out."""
-    by_hash = F.xxhash64(F.lit("co-training"), "doc_id")
-    marked = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("y"))
-    known = {r.doc_id: float(r.y > 0) for r in marked.orderBy(by_hash).limit(labelled).collect()}
-    ids = {r.doc_id for r in docs.where("doc_id is not null").select("doc_id").orderBy(by_hash).limit(labelled + unlabelled).collect()}
+    mark = F.xxhash64(F.lit("co-training"), "doc_id").alias("mark")
+    marked = labels.where("quality is not null and doc_id is not null").select("doc_id", "quality", mark)
+    cut = max(least_marks(marked.select("mark"), labelled), default=-(2**63))
+    known = {r.doc_id: float(r.y > 0) for r in marked.where(F.col("mark") <= cut).groupBy("doc_id").agg(F.min("quality").alias("y")).collect()}
+    others = docs.where("doc_id is not null").select("doc_id", mark)
+    cut = max(least_marks(others.select("mark"), labelled + unlabelled), default=-(2**63))
+    ids = {r.doc_id for r in others.where(F.col("mark") <= cut).select("doc_id").distinct().collect()}
     ids = known.keys() | set(sorted(ids - known.keys(), key=lambda i: zlib.crc32(str(i).encode()))[:unlabelled])
     if len(ids) > BROADCAST_ROWS:
         raise ValueError(f"the samples must have at most {BROADCAST_ROWS} rows")
