@@ -41,7 +41,7 @@ def table_side(side: Column, longer: Column) -> Column:
 
 
 def illumination_kernel(w: Column, h: Column) -> Column:
-    size = F.expr(f"greatest(31, least({w._jc.toString()}, {h._jc.toString()}) div 8)")
+    size = F.greatest(F.lit(31), F.floor(F.least(w, h) / 8))
     return F.when(size % 2 == 0, size + 1).otherwise(size)
 
 

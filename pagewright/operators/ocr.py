@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import half_up
@@ -36,23 +38,27 @@ def line_order(lines: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
     return lines.where(~blank(F.col("text"))).withColumn("line_no", (F.row_number().over(flow) - 1).cast("int"))
 
 
-def word_boxes(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """keys, line_no, word_no, text, left, top, right, bottom, confidence (0): each word gets a share of its line's box by
-    its length. The running edge is a 32-bit float that is rounded at every word, so it is a fold and not a window sum."""
-    ws = words(F.col("text"))
-    total = F.greatest(F.lit(1), F.aggregate(ws, F.lit(0), lambda a, w: a + F.length(w)))
-    start = F.struct(F.col("left").cast("float").alias("at"), F.array().cast("array<struct<text:string,left:int,right:int>>").alias("out"))
+def _edges(columns: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+    """Left and right edges of the words of each line (lengths, left, right). The running edge is a 32-bit float that is
+    rounded at every word, which a window sum of doubles would not give."""
+    for lengths, lefts, rights in columns:
+        out = []
+        for n, left, right in zip(lengths.to_pylist(), lefts.to_pylist(), rights.to_pylist()):
+            size = np.array(n, np.float32)
+            widths = np.float32(right - left) * (size / np.float32(max(1, sum(n))))
+            out.append(np.cumsum(np.concatenate([[np.float32(left)], widths]), dtype=np.float32).astype(np.int64))
+        yield pa.array(out, pa.list_(pa.int64()))
 
-    def step(a: Column, w: Column) -> Column:
-        width = ((F.col("right") - F.col("left")).cast("float") * (F.length(w).cast("float") / F.col("_total").cast("float")).cast("float")).cast("float")
-        edge = (a["at"] + width).cast("float")
-        word = F.struct(w.alias("text"), a["at"].cast("int").alias("left"), edge.cast("int").alias("right"))
-        return F.struct(edge.alias("at"), F.array_append(a["out"], word).alias("out"))
 
-    made = lines.withColumn("_total", total).withColumn("_w", F.aggregate(ws, start, step)["out"])
-    return made.select(*keys, "line_no", "top", "bottom", F.posexplode("_w").alias("word_no", "w")).select(
-        *keys, "line_no", "word_no", "w.text", "w.left", "top", "w.right", "bottom", F.lit(0.0).cast("float").alias("confidence")
-    )
+def word_boxes(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, line_no, word_no, text, left, top, right, bottom, confidence (0): each word gets a share of its line's box by
+    its length."""
+    ws = lines.withColumn("_w", words(F.col("text")))
+    edges = F.arrow_udf(_edges, "array<long>")(F.transform("_w", lambda w: F.length(w)), F.col("left"), F.col("right"))
+    made = ws.select(*keys, "line_no", "top", "bottom", "_w", edges.alias("_e"))
+    each = made.select(*keys, "line_no", "top", "bottom", "_e", F.posexplode("_w").alias("word_no", "text"))
+    edge = lambda i: F.get("_e", i).cast("int")
+    return each.select(*keys, "line_no", "word_no", "text", edge(F.col("word_no")).alias("left"), "top", edge(F.col("word_no") + 1).alias("right"), "bottom", F.lit(0.0).cast("float").alias("confidence"))
 
 
 def paragraphs(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -78,7 +84,7 @@ def line_page(lines: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
     """keys, full_text, n_words, paragraphs: a page of recognised lines (text, box) put together."""
     ordered = line_order(lines, keys, order)
     text = ordered.groupBy(*keys).agg(in_order(("line_no",), "text", "\n").alias("full_text"))
-    counted = word_boxes(ordered, keys).groupBy(*keys).agg(F.count("*").alias("n_words"))
+    counted = ordered.groupBy(*keys).agg(F.sum(F.size(words(F.col("text")))).alias("n_words"))
     pars = paragraphs(ordered, keys).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("par_no", "text"))), lambda x: x["text"]).alias("paragraphs"))
     return text.join(counted, [*keys]).join(pars, [*keys])
 
