@@ -20,7 +20,7 @@ HEAD = CLASSES * IN_CLASS  # frequent ids, those that the softmax tells apart
 TAIL = HEAD  # input code of all other ids
 START = HEAD + 1
 PAD = HEAD + 2
-BLOCK = 512  # windows computed at a time
+BLOCK = 256  # windows computed at a time
 PARAMETERS = {
     "E": (HEAD + 3, WIDTH), "Q": (WIDTH, WIDTH), "K": (WIDTH, WIDTH), "V": (WIDTH, WIDTH), "r": (2 * CHUNK,),
     "A": (WIDTH, HIDDEN), "a": (HIDDEN,), "B": (HIDDEN, WIDTH),
@@ -74,6 +74,14 @@ def windows(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return np.concatenate([chunks[:-1], chunks[1:]], axis=1)[real], goal[1:][real], own[1:][real]
 
 
+def exp_sums(s: np.ndarray) -> np.ndarray:
+    """Replaces s by its exponentials and returns their sums over the last axis, in 32-bit floats. Logits of a trained model
+    are far from the limits of the type; the bound keeps even others finite."""
+    np.minimum(s, np.float32(80), out=s)
+    np.exp(s, out=s)
+    return np.maximum(s @ np.ones(s.shape[-1], np.float32), np.float32(1e-30))
+
+
 @dataclass
 class Scorer:
     """Weights with the products that don't depend on the text worked out once."""
@@ -97,27 +105,30 @@ class Scorer:
         s += self.bias
         if (x == PAD).any():
             s += np.where(x == PAD, np.float32(-1e9), np.float32(0))[:, None, :]
-        s -= s.max(-1, keepdims=True)
-        np.exp(s, out=s)
-        c = np.matmul(s, self.v[x])
-        c /= s.sum(-1, keepdims=True)
-        h = (w["E"][last] + c).reshape(-1, WIDTH)
-        h = h + np.maximum(h @ w["A"] + w["a"], 0) @ w["B"]
+        total = exp_sums(s)
+        c = np.matmul(s, self.v[x]).reshape(-1, WIDTH)
+        h = w["E"][last].reshape(-1, WIDTH) + c / total.reshape(-1, 1)
+        m = h @ w["A"]
+        m += w["a"]
+        h += np.maximum(m, 0, out=m) @ w["B"]
         goal = t.ravel()
         kind = np.minimum(np.maximum(goal, 0) // IN_CLASS, CLASSES)
         z = h @ w["U"]
         z += w["u"]
-        z -= z.max(1, keepdims=True)
-        out = z[np.arange(len(z)), kind] - np.log(np.exp(z).sum(1))
+        out = np.take_along_axis(z, kind[:, None], 1)[:, 0]
+        out -= np.log(exp_sums(z))
+        # targets by class: each class multiplies its own slice, and the sums run over all slices at once
         order = np.argsort(kind.astype(np.uint8), kind="stable")
         ends = np.searchsorted(kind[order], np.arange(CLASSES + 1))
+        own, n = h[order], ends[CLASSES]
+        y = np.empty((n, IN_CLASS), np.float32)
         for g in range(CLASSES):
-            own = order[ends[g] : ends[g + 1]]
-            if len(own):
-                y = h[own] @ w["O"][g]
-                y += w["o"][g]
-                y -= y.max(1, keepdims=True)
-                out[own] += y[np.arange(len(own)), goal[own] % IN_CLASS] - np.log(np.exp(y).sum(1))
+            if ends[g + 1] > ends[g]:
+                np.matmul(own[ends[g] : ends[g + 1]], w["O"][g], out=y[ends[g] : ends[g + 1]])
+        head = order[:n]
+        y += w["o"][kind[head]]
+        inside = np.take_along_axis(y, (goal[head] % IN_CLASS)[:, None], 1)[:, 0]
+        out[head] += inside - np.log(exp_sums(y))
         out[goal < 0] = 0
         return out.reshape(t.shape)
 

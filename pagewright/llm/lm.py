@@ -28,16 +28,19 @@ END = b""  # no word is empty
 VOCABULARY = 50_257
 END_ID = VOCABULARY - 1
 #: Frequent words whose counts go to all executors; the counts of other words are joined.
-MOST_SHARED = 400_000
+MOST_SHARED = 200_000
 MOST_COUNTED = 400_000
-MOST_KEPT = 200_000
-#: One in so many training documents gives windows to train on, in so many rounds.
-TRAIN_SHARE = 64
+MOST_KEPT = 400_000
+#: At most one in so many training documents gives windows to train on, but so many that they have TRAIN_TOKENS subword ids
+#: if the corpus has them; a task trains on about TASK_TOKENS of them at a time.
+TRAIN_SHARE = 128
+TRAIN_TOKENS = 2_000_000
+TASK_TOKENS = 250_000
 RATES = (0.01, 0.005, 0.003)
 SUMMERS = 8
-TARGETS_AT_ONCE = 1 << 15
+WORDS_AT_ONCE = 1 << 15
 LOG10 = 1 / math.log(10)
-SCORED = "doc_id {}, n_tokens long, n_known long, base_score double, score double, rare array<struct<w:binary,n:bigint>>"
+SCORED = "doc_id {}, n_tokens long, n_known long, base_score double, score double, rare array<binary>"
 
 
 def held_out(doc_id: Column) -> Column:
@@ -74,18 +77,20 @@ class Ids(dict):
     """Subword ids of words, kept while there is room."""
 
     def __init__(self, path: str, code_of: np.ndarray | None = None) -> None:
-        self.encoder, self.code_of = tokenizer(path), code_of
+        self.encoder, self.code_of = tokenizer(path), None if code_of is None else code_of.tolist()
 
     def __missing__(self, word: bytes) -> list[int]:
         if len(self) > MOST_KEPT:
             self.clear()
-        text = word.decode()
-        out = [END_ID] if word == END else [i for at in range(0, len(text), 4096) for i in self.encoder.encode_ordinary((" " if at == 0 else "") + text[at : at + 4096])]
-        if self.code_of is not None:
-            out = [out, self.code_of[out].tolist()]
-        self[word] = out
+        self[word] = out = self.encoded(word)
         return out
 
+    def encoded(self, word: bytes) -> list:
+        """Its ids or, with a table of codes, its ids and codes."""
+        text = " " + word.decode()
+        ids = [END_ID] if word == END else [i for at in range(0, len(text), 4096) for i in self.encoder.encode_ordinary(text[at : at + 4096])]
+        return ids if self.code_of is None else [ids, [self.code_of[i] for i in ids]]
+
 
 def _count_ids(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +160,7 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train_model(docs: DataFrame, counts: np.ndarray, path: str, share: int = TRAIN_SHARE, rates: tuple[float, ...] = RATES) -> Weights:
-    """Weights trained on the rows of docs; one in ``share`` of them, by hash, gives windows.
+    """Weights trained on the rows of docs; one in ``share`` of them, by hash, gives windows, or more if the corpus is small.
 
     Averages are formed in SUMMERS tasks, which stream through the tasks' weights, so the driver gets a fixed amount.
     """
@@ -163,63 +168,128 @@ def train_model(docs: DataFrame, counts: np.ndarray, path: str, share: int = TRA
     codes, _ = code_table(counts)
     by_code = np.bincount(codes, counts, minlength=HEAD + 1)
     now = attention.flat(attention.first_weights(by_code[:HEAD], by_code[TAIL]))
+    one_in = max(1, min(share, int(counts.sum()) // TRAIN_TOKENS))
+    n_tasks = max(1, round(int(counts.sum()) / one_in / TASK_TOKENS))
     mark = F.xxhash64(F.lit("lm"), "doc_id", F.xxhash64("text"))
-    picked = docs.where("length(text) > 0").select("text", mark.alias("mark")).where(F.pmod("mark", F.lit(share)) == 0)
+    picked = docs.where("length(text) > 0").select("text", mark.alias("mark")).where(F.pmod("mark", F.lit(one_in)) == 0)
     encoded = F.arrow_udf(_codes(path, spark.sparkContext.broadcast(codes)), "array<int>")(F.col("text"))
-    sequences = written(picked.select("mark", encoded.alias("codes")).repartition("mark").sortWithinPartitions("mark"), "windows")
+    sequences = written(picked.select("mark", encoded.alias("codes")), "windows")
     for r, rate in enumerate(rates):
         shared = spark.sparkContext.broadcast(now)
-        tuned = sequences.repartition("mark").sortWithinPartitions("mark").select("codes").mapInArrow(_train(shared, rate, r), "n long, w binary")
+        tuned = sequences.repartition(n_tasks, "mark").sortWithinPartitions("mark").select("codes").mapInArrow(_train(shared, rate, r), "n long, w binary")
         sums = tuned.repartition(SUMMERS).mapInArrow(_sum, "n long, w binary").collect()
         if sums:
             now = (sum(np.frombuffer(s.w, np.float64) for s in sums) / sum(s.n for s in sums)).astype(np.float32)
     return attention.unflat(now)
 
 
+class Lexicon(dict):
+    """Numbers of words, and by number what scoring needs of each word, in arrays. It is emptied when it grows too large."""
+
+    def __init__(self, path: str, code_of: np.ndarray, tail: np.ndarray, log10: dict[bytes, float], unseen: float) -> None:
+        self.ids, self.tail, self.log10, self.unseen = Ids(path, code_of), tail, log10, unseen
+        self.empty()
+
+    def empty(self) -> None:
+        self.clear()
+        self.words: list[bytes] = []
+        self.base, self.known, self.rest, self.start, self.codes = [], [], [], [0], []
+
+    def __missing__(self, word: bytes) -> int:
+        ids, codes = self.ids.encoded(word)
+        p = self.log10.get(word)
+        self.words.append(word)
+        self.base.append(self.unseen if p is None else p)
+        self.known.append(p is not None)
+        self.rest.append(sum(self.tail[i] for i, c in zip(ids, codes) if c == TAIL) if TAIL in codes else 0.0)
+        self.codes += codes
+        self.start.append(len(self.codes))
+        self[word] = n = len(self.words) - 1
+        return n
+
+
+class Table:
+    """A lexicon's arrays, brought up to date when it has grown."""
+
+    def __init__(self, lexicon: Lexicon) -> None:
+        self.lexicon = lexicon
+        self.clear()
+
+    def clear(self) -> None:
+        self.base, self.known, self.rest = np.empty(0), np.empty(0, bool), np.empty(0)
+        self.start, self.codes = np.zeros(1, np.int64), np.empty(0, np.int32)
+
+    def update(self) -> None:
+        x = self.lexicon
+        more = lambda old, new, kind: np.concatenate([old, np.array(new[len(old) :], kind)])
+        self.base, self.known, self.rest = more(self.base, x.base, np.float64), more(self.known, x.known, bool), more(self.rest, x.rest, np.float64)
+        self.start, self.codes = more(self.start, x.start, np.int64), more(self.codes, x.codes, np.int32)
+
+    def codes_of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of words one after another, and how many each word has."""
+        first = self.start[words]
+        sizes = self.start[words + 1] - first
+        ends = np.cumsum(sizes)
+        return self.codes[np.repeat(first - ends + sizes, sizes) + np.arange(ends[-1])], sizes
+
+
 def _score(path: str, model: Broadcast, known: Broadcast, unseen: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, code_of, tail = model.value
-        scorer, ids, log10 = Scorer(weights), Ids(path, code_of), known.value
+        scorer = Scorer(weights)
+        lexicon = Lexicon(path, code_of, tail, known.value, unseen)
+        table = Table(lexicon)
+
+        def scored(texts: list[np.ndarray]) -> tuple:
+            """tokens, known, base, score by text, and the words without a known count with the number of their text."""
+            table.update()
+            words, sizes = np.concatenate(texts), np.array(list(map(len, texts)))
+            first = np.cumsum(sizes) - sizes
+            codes, per_word = table.codes_of(words)
+            ends = np.cumsum(np.add.reduceat(per_word, first))
+            x, t, own = attention.windows(np.split(codes, ends[:-1]))
+            score = np.bincount(own, scorer.log_probs(x, t).sum(1, dtype=np.float64), minlength=len(texts))
+            is_known = table.known[words]
+            rare = words[~is_known]
+            owners = np.repeat(np.arange(len(texts)), sizes)[~is_known]
+            found = (sizes, np.add.reduceat(is_known, first, dtype=np.int64), np.add.reduceat(table.base[words], first), (score + np.add.reduceat(table.rest[words], first)) * LOG10)
+            return *found, [lexicon.words[i] for i in rare.tolist()], np.bincount(owners, minlength=len(texts))
+
         for batch in batches:
-            n = batch.num_rows
-            tokens, in_base, base, score, rare = [0] * n, [0] * n, [0.0] * n, np.zeros(n), [None] * n
-            held: list[tuple[int, np.ndarray]] = []
-
-            def told() -> None:
-                x, t, own = attention.windows([c for _, c in held])
-                sums = np.bincount(own, scorer.log_probs(x, t).sum(1, dtype=np.float64), minlength=len(held))
-                for (i, _), s in zip(held, sums):
-                    score[i] += s
-                held.clear()
-
-            waiting = 0
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                words = [*words_of(text), END]
-                found = list(map(log10.get, words))
-                missing = Counter(w for w, p in zip(words, found) if p is None)
-                n_missing = missing.total()
-                tokens[i], in_base[i], rare[i] = len(words), len(words) - n_missing, [{"w": w, "n": k} for w, k in missing.items()]
-                base[i] = math.fsum(p for p in found if p is not None) + n_missing * unseen
-                codes: list[int] = []
-                for w in words:
-                    own_ids, own_codes = ids[w]
-                    codes += own_codes
-                    if TAIL in own_codes:
-                        score[i] += sum(tail[k] for k, c in zip(own_ids, own_codes) if c == TAIL)
-                held.append((i, np.array(codes, np.int32)))
-                waiting += len(codes)
-                if waiting >= TARGETS_AT_ONCE:
-                    told()
-                    waiting = 0
-            told()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(tokens, pa.int64()), pa.array(in_base, pa.int64()), pa.array(base, pa.float64()), pa.array(score * LOG10), pa.array(rare, pa.list_(pa.struct([("w", pa.binary()), ("n", pa.int64())])))],
-                ["doc_id", "n_tokens", "n_known", "base_score", "score", "rare"],
-            )
+            parts, held, waiting = [], [], 0
+            for text in batch.column(1).to_pylist():
+                words = words_of(text)
+                words.append(END)
+                held.append(np.fromiter(map(lexicon.__getitem__, words), np.int64, len(words)))
+                waiting += len(words)
+                if waiting >= WORDS_AT_ONCE:
+                    parts.append(scored(held))
+                    held, waiting = [], 0
+                    if len(lexicon) > MOST_KEPT:
+                        lexicon.empty()
+                        table.clear()
+            if held:
+                parts.append(scored(held))
+            if parts:
+                tokens, in_base, base, score, _, n_rare = (np.concatenate(p) if not isinstance(p[0], list) else None for p in zip(*parts))
+                rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_rare)]), pa.int32()), pa.array([w for p in parts for w in p[4]], pa.binary()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in (tokens, in_base, base, score)), rare], ["doc_id", "n_tokens", "n_known", "base_score", "score", "rare"])
 
     return run
 
 
+def least_shared(words: DataFrame, most: int) -> int:
+    """The least count from which on there are at most ``most`` words. Counts of counts are few numbers."""
+    kinds = sorted(((r.n, r.k) for r in words.groupBy("n").agg(F.count("*").alias("k")).collect()), reverse=True)
+    total, least = 0, kinds[0][0] + 1 if kinds else 1
+    for n, k in kinds:
+        total += k
+        if total > most:
+            break
+        least = n
+    return least
+
+
 def score_documents(docs: DataFrame, path: str | None = None, share: int = TRAIN_SHARE, rates: tuple[float, ...] = RATES, most_shared: int = MOST_SHARED) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs (doc_id, text needed).
 
@@ -235,7 +305,7 @@ def score_documents(docs: DataFrame, path: str | None = None, share: int = TRAIN
     words = word_counts(training)
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     denominator = total + distinct + 1
-    frequent = words.orderBy(F.desc("n"), "word").limit(most_shared).collect()
+    frequent = words.where(F.col("n") >= least_shared(words, most_shared)).collect()
     known = {bytes(r.word): math.log10((r.n + 1) / denominator) for r in frequent}
     counts = id_counts(words, path)
     weights = train_model(training, counts, path, share, rates)
@@ -245,9 +315,8 @@ def score_documents(docs: DataFrame, path: str | None = None, share: int = TRAIN
     scored = docs.mapInArrow(_score(path, model, spark.sparkContext.broadcast(known), unseen), SCORED.format(docs.schema["doc_id"].dataType.simpleString()))
     if distinct > most_shared:
         scored = written(scored.withColumn("row", F.expr("uuid()")), "scored")
-        others = scored.select("row", F.explode("rare").alias("x")).select("row", F.col("x.w").alias("word"), F.col("x.n").alias("times"))
-        gain = F.log10((F.col("n") + 1).cast("double"))
-        more = others.join(words, "word").groupBy("row").agg(F.sum(F.col("times") * gain).alias("gain"), F.sum("times").alias("more"))
+        others = scored.select("row", F.explode("rare").alias("word"))
+        more = others.join(words, "word").groupBy("row").agg(F.sum(F.log10((F.col("n") + 1).cast("double"))).alias("gain"), F.count("*").alias("more"))
         scored = scored.join(more, "row", "left").select(
             "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), (F.col("base_score") + F.coalesce("gain", F.lit(0.0))).alias("base_score"), "score"
         )
