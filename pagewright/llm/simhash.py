@@ -24,6 +24,8 @@ SEED = 42
 CHUNK = 1 << 15
 #: Distinct fingerprints of one bucket that are compared directly; a larger bucket is cut again by its other bits.
 MOST_IN_BUCKET = 16_384
+#: The same for a bucket whose fingerprints are of one root, which costs memory but no comparisons.
+MOST_OF_ROOT = 1_000_000
 #: Times a bucket is cut again; three cuts leave at most about 20 free bits.
 MOST_CUTS = 3
 
@@ -96,43 +98,44 @@ def _segment_keys(bucket: np.ndarray, value: np.ndarray, segment: int) -> np.nda
 
 
 def _segments(segments: int, cuts: int):
-    """(bucket, fp, check, path) to one row for each segment: the key of its value in its bucket."""
+    """(bucket, fp, check, root, path) to one row for each segment: the key of its value in its bucket, and the root."""
     free = paths(segments, cuts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bucket, fp, path = (batch.column(i).to_numpy() for i in (0, 1, 3))
-            bucket, fp, keys = bucket.view(np.uint64), fp.view(np.uint64), []
+            bucket, fp, root, path = (batch.column(i).to_numpy() for i in (0, 1, 3, 4))
+            bucket, fp, keys, roots = bucket.view(np.uint64), fp.view(np.uint64), [], []
             for p in np.unique(path):
                 here = path == p
                 for i, bits in enumerate(cut(free[p], segments)):
                     mask = np.uint64(sum(1 << b for b in bits))
                     keys.append(_segment_keys(bucket[here], fp[here] & mask, i))
+                    roots.append(root[here])
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64))], ["value_key"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(roots))], ["value_key", "root"])
 
     return run
 
 
 def _variants(segments: int, cuts: int, with_values: bool, checked: bool):
-    """(bucket, fp, check, path) to a row for each free bit: the bucket of its segment's variant without that bit.
+    """(bucket, fp, check, root, path) to a row for each free bit: the bucket of its segment's variant without that bit.
     with_values: also the keys of the two segment values that share the variant."""
     free = paths(segments, cuts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bucket, fp, check, path = (batch.column(i).to_numpy() for i in range(4))
+            bucket, fp, check, root, path = (batch.column(i).to_numpy() for i in range(5))
             bucket, fp = bucket.view(np.uint64), fp.view(np.uint64)
             for p in np.unique(path):
                 here = path == p
-                old, own, seen = bucket[here], fp[here], check[here]
+                old, own, seen, tree = bucket[here], fp[here], check[here], root[here]
                 for i, bits in enumerate(cut(free[p], segments)):
                     mask = np.uint64(sum(1 << b for b in bits))
                     for b in bits:
                         bit = np.uint64(1 << b)
                         rest = own & (mask & ~bit)
-                        columns = [mix(mix(old + np.uint64(b + 1)) ^ rest).view(np.int64), own.view(np.int64)]
-                        names = ["bucket", "fp"]
+                        columns = [mix(mix(old + np.uint64(b + 1)) ^ rest).view(np.int64), own.view(np.int64), tree]
+                        names = ["bucket", "fp", "root"]
                         if checked:
                             columns.append(seen)
                             names.append("check")
@@ -192,69 +195,103 @@ def bucket_tree(fp: np.ndarray, check: np.ndarray, bits: int, check_bits: int) -
 MATRIX = 512
 
 
-def _bucket_links(bits: int, check_bits: int, node: int):
-    """(bucket, fp, check) sorted by bucket within the partition, to links between rows of one bucket, named by column node.
-    A partition keeps a union-find of what it has linked and returns only links that join two trees."""
-
-    def links(bucket: np.ndarray, fp: np.ndarray, check: np.ndarray) -> Iterator[tuple[int, int]]:
-        ids = check if node == 2 else fp
-        starts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1])
-        sizes = np.diff(np.concatenate([starts, [len(bucket)]]))
-        for size in (2, 3):
-            at = starts[sizes == size]
-            for i in range(size):
-                for j in range(i + 1, size):
-                    close = near(fp[at + i], check[at + i], (fp[at + j], check[at + j]), bits, check_bits)
-                    yield from zip(ids[at + i][close].tolist(), ids[at + j][close].tolist())
-        for s, n in zip(starts[sizes > 3].tolist(), sizes[sizes > 3].tolist()):
-            f, c, own = fp[s : s + n], check[s : s + n], ids[s : s + n]
-            if n <= MATRIX:
-                a, b = np.nonzero(np.triu(near(f[None, :], c[None, :], (f[:, None], c[:, None]), bits, check_bits), 1))
-                if len(a) <= 4 * n:
-                    yield from zip(own[a].tolist(), own[b].tolist())
-                    continue
-            yield from ((int(own[a]), int(own[b])) for a, b in bucket_tree(f, c, bits, check_bits))
+def bucket_links(bucket: np.ndarray, fp: np.ndarray, root: np.ndarray, check: np.ndarray, bits: int, check_bits: int, most: int = 0) -> Iterator[tuple[int, int]]:
+    """Positions of linked rows of sorted buckets that have different roots, so many that they connect what all links would.
+    Rows of one root are connected already. most: a larger bucket is taken in pieces (only for links that may be missed)."""
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1])
+    if most:
+        starts = np.unique(np.concatenate([starts, np.arange(0, len(bucket), most)]))
+    sizes = np.diff(np.concatenate([starts, [len(bucket)]]))
+    for size in (2, 3):
+        at = starts[sizes == size]
+        for i in range(size):
+            for j in range(i + 1, size):
+                close = near(fp[at + i], check[at + i], (fp[at + j], check[at + j]), bits, check_bits) & (root[at + i] != root[at + j])
+                yield from zip((at + i)[close].tolist(), (at + j)[close].tolist())
+    many = sizes > 3
+    many[many] = np.minimum.reduceat(root, starts)[many] != np.maximum.reduceat(root, starts)[many]
+    for s, n in zip(starts[many].tolist(), sizes[many].tolist()):
+        f, c, r = fp[s : s + n], check[s : s + n], root[s : s + n]
+        if n <= MATRIX:
+            close = near(f[None, :], c[None, :], (f[:, None], c[:, None]), bits, check_bits) & (r[None, :] != r[:, None])
+            a, b = np.nonzero(np.triu(close, 1))
+            if len(a) <= 4 * n:
+                yield from zip((a + s).tolist(), (b + s).tolist())
+                continue
+        yield from ((a + s, b + s) for a, b in bucket_tree(f, c, bits, check_bits) if r[a] != r[b])
+
+
+def _bucket_links(bits: int, check_bits: int, node: int, most: int = 0):
+    """(bucket, fp, root, check) sorted by bucket within the partition, to links between rows of one bucket, named by column
+    node. A partition keeps a union-find of what it has linked and returns only links that join two trees."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, held, n_held = Forest(), [], 0
 
         def told(parts: list[np.ndarray]) -> pa.RecordBatch:
-            out = [(a, b) for a, b in links(*parts) if a != b and forest.join(a, b)] if len(parts[0]) else []
+            bucket, fp, root, check = parts
+            ids, trees = (check if node == 3 else fp), root.view(np.uint64)
+            found = bucket_links(*parts, bits, check_bits, most) if len(bucket) else ()
+            out = [(int(ids[a]), int(ids[b])) for a, b in found if forest.join(int(trees[a]), int(trees[b]))]
             both = np.array(out, np.uint64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(both[:, i].copy().view(np.int64)) for i in (0, 1)], ["a", "b"])
 
         for batch in batches:
             columns = [batch.column(i).to_numpy() for i in range(batch.num_columns)]
-            held.append([columns[0], columns[1].view(np.uint64), columns[-1].view(np.uint64)])
+            held.append([columns[0], columns[1].view(np.uint64), columns[2], columns[-1].view(np.uint64)])
             n_held += len(columns[0])
             if n_held < 1 << 16:
                 continue
             parts = [np.concatenate(x) for x in zip(*held)]
             last = np.searchsorted(parts[0], parts[0][-1])
-            held, n_held = [[x[last:] for x in parts]], 0
             yield told([x[:last] for x in parts])
+            held, n_held = [[x[last:] for x in parts]], 0
         if held:
             yield told([np.concatenate(x) for x in zip(*held)])
 
     return run
 
 
+def _whole_segments(segments: int):
+    """(fp, check) to a row for each two neighbouring segments: the bucket of their values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        masks = [np.uint64(sum(1 << b for b in bits)) for bits in cut(list(range(64)), segments)]
+        for batch in batches:
+            fp = batch.column(0).to_numpy().view(np.uint64)
+            for i in range(segments):
+                key = mix((fp & (masks[i] | masks[(i + 1) % segments])) + np.uint64(i))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0), batch.column(0), batch.column(1)], ["bucket", "fp", "root", "check"])
+
+    return run
+
+
+def easy_links(fps: DataFrame, bits: int, check_bits: int) -> DataFrame:
+    """Links (a, b) between fingerprints that agree in two neighbouring segments. They connect most of every crowd of near
+    copies by a few rows each, and the full index then has nothing more to say about these; what they miss, it finds.
+    A large bucket is sorted and taken in pieces."""
+    keyed = fps.select("fp", "check").mapInArrow(_whole_segments(bits // 2 + 1), "bucket long, fp long, root long, check long")
+    return keyed.repartition("bucket").sortWithinPartitions("bucket", "fp").mapInArrow(_bucket_links(bits, check_bits, 1, 4_096), "a long, b long")
+
+
 def links_within(fps: DataFrame, bits: int, check_bits: int = 64, most_in_bucket: int = MOST_IN_BUCKET, node: str = "fp") -> DataFrame:
-    """(a, b) that connect the distinct fingerprints of fps (fp, check: long) exactly as all pairs would that differ in at
-    most ``bits`` bits of fp and, if check_bits is under 64, in at most so many of check. node: the column that names them.
+    """(a, b) that connect the distinct fingerprints of fps (fp, check, root: long) exactly as all pairs would that differ in
+    at most ``bits`` bits of fp and, if check_bits is under 64, in at most so many of check; what has one root is connected
+    already. node: the column that names them.
 
-    A bucket that may hold more than most_in_bucket fingerprints (known from the counts of its two segment
+    A bucket that may hold more than most_in_bucket fingerprints of several roots (known from the counts of its two segment
     values) is cut again by its other bits, up to MOST_CUTS times; no candidate is dropped.
     """
     segments, checked = bits // 2 + 1, check_bits < 64
-    carried, zero = ["bucket", "fp"] + ["check"] * checked, F.lit(0).cast("long")
-    rows = fps.select(zero.alias("bucket"), "fp", (F.col("check") if checked else zero).alias("check"), zero.alias("path"))
+    carried, zero = ["bucket", "fp", "root"] + ["check"] * checked, F.lit(0).cast("long")
+    check = (F.col("check") if checked else zero).alias("check")
+    rows = fps.select(zero.alias("bucket"), "fp", check, "root", zero.alias("path"))
     out = None
     for cuts in range(MOST_CUTS + 1):
         hot, n_hot = None, 0
         if cuts < MOST_CUTS:
-            counts = rows.mapInArrow(_segments(segments, cuts), "value_key long").groupBy("value_key").count()
-            hot = written(counts.where(F.col("count") > most_in_bucket // 2).select("value_key"), "hot")
+            counts = rows.mapInArrow(_segments(segments, cuts), "value_key long, root long").groupBy("value_key").agg(F.count("*").alias("n"), F.min("root").alias("x"), F.max("root").alias("y"))
+            hot = written(counts.where((F.col("n") > MOST_OF_ROOT) | (F.col("n") > most_in_bucket // 2) & (F.col("x") < F.col("y"))).select("value_key"), "hot")
             n_hot = hot.count()
         kinds = [*carried, "off_key", "on_key", "path"] if n_hot else carried
         made = rows.mapInArrow(_variants(segments, cuts, n_hot > 0, checked), ", ".join(f"{k} long" for k in kinds))
@@ -264,11 +301,11 @@ def links_within(fps: DataFrame, bits: int, check_bits: int = 64, most_in_bucket
                 made = made.join(broadcast_if_small(keys, n_hot), f"{side}_key", "left")
             made = written(made.select(*carried, "path", (F.col("off").isNotNull() | F.col("on").isNotNull()).alias("hot")), "variants")
         plain = made.where("not hot") if n_hot else made
-        found = plain.select(*carried).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_links(bits, check_bits, 1 + (node == "check")), "a long, b long")
+        found = plain.select(*carried).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_links(bits, check_bits, 3 if node == "check" else 1), "a long, b long")
         out = found if out is None else out.unionByName(found)
         if not n_hot:
             return out
-        rows = made.where("hot").select("bucket", "fp", (F.col("check") if checked else zero).alias("check"), "path")
+        rows = made.where("hot").select("bucket", "fp", check, "root", "path")
     return out
 
 
@@ -287,10 +324,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, bits: int = 9, check_bits:
     kind = docs.schema["doc_id"].dataType.simpleString()
     prints = written(docs.select("doc_id", "text").mapInArrow(_fingerprints(words, check_bits < 64), f"doc_id {kind}, fp long, check long"), "prints")
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("check").alias("check")), "nodes")
-    links = links_within(nodes.select("fp", "check"), bits, check_bits, most_in_bucket)
+    easy = written(easy_links(nodes, bits, check_bits), "easy")
+    trees = connected_components(easy).withColumnRenamed("node", "fp")
+    grown = written(nodes.join(trees, "fp", "left").select("fp", "check", F.coalesce("root", "fp").alias("root")), "grown")
+    links = links_within(grown, bits, check_bits, most_in_bucket)
     if check_bits < 64:
-        links = links.unionByName(links_within(nodes.select(F.col("check").alias("fp"), F.col("fp").alias("check")), bits, check_bits, most_in_bucket, "check"))
-    parts = connected_components(links).withColumnRenamed("node", "fp")
+        swapped = grown.select(F.col("check").alias("fp"), F.col("fp").alias("check"), "root")
+        links = links.unionByName(links_within(swapped, bits, check_bits, most_in_bucket, "check"))
+    parts = connected_components(easy.unionByName(links)).withColumnRenamed("node", "fp")
     rooted = nodes.join(parts, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
@@ -306,7 +347,8 @@ def without_duplicates(docs: DataFrame, words: int = 5, bits: int = 9, check_bit
     """
     groups = near_duplicates(docs, words, bits, check_bits)
     heads = written(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("head")).distinct(), "heads")
-    stays = docs.join(heads, F.col("doc_id").eqNullSafe(F.col("head")), "left_semi")
+    # the texts are dealt out by id whatever the number of heads, as it grows with the corpus
+    stays = docs.join(heads.hint("shuffle_merge"), F.col("doc_id").eqNullSafe(F.col("head")), "left_semi")
     repeated = written(stays.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("again")), "repeated")
     n = repeated.count()
     if not n:

@@ -58,6 +58,10 @@ def test_hard_rows(hard, clashing, empty):
     assert sorted(r.doc_id for r in simhash.without_duplicates(clashing).where("doc_id is not null").collect()) == [1, 4, 6, 7, 8]
 
 
+def signed(f):
+    return f - 2**64 if f >> 63 else f
+
+
 def near_fingerprints(n, seed):
     rng = random.Random(seed)
     out = []
@@ -71,11 +75,17 @@ def near_fingerprints(n, seed):
     return sorted({*out, *(rng.getrandbits(64) for _ in range(n))})
 
 
-@pytest.mark.parametrize("most", [4, 20, 10_000])
-@pytest.mark.parametrize("bits", [2, 4, 7])
+def test_known_trees_are_not_linked_again(spark):
+    fps = near_fingerprints(40, 3)
+    df = spark.createDataFrame([(signed(f), 0, 0) for f in fps], "fp long, check long, root long")
+    assert simhash.links_within(df, 4, most_in_bucket=4).count() == 0
+
+
+@pytest.mark.parametrize("most", [6, 10_000])
+@pytest.mark.parametrize("bits", [4, 7])
 def test_crowded_buckets_lose_no_link(spark, most, bits):
-    fps = near_fingerprints(40, most)
-    df = spark.createDataFrame([(f - 2**64 if f >> 63 else f, 0) for f in fps], "fp long, check long")
+    fps = near_fingerprints(14, most)
+    df = spark.createDataFrame([(signed(f), 0, signed(f)) for f in fps], "fp long, check long, root long")
     forest = simhash.Forest()
     for r in simhash.links_within(df, bits, most_in_bucket=most).collect():
         a, b = r.a % 2**64, r.b % 2**64
