@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +26,8 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     added = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    return chat.read_back(chat.format_turns(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
+    return chat.read_back(chat.format_turns(rows)).drop("n_tokens", "loss_tokens")
 
 
 def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,4 +68,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_secret_scan, op2_simhash, op3_chat_format, op4_quality_model, op5_quality_rules, op6_decontaminate, op7_pii, op8_lm_scores, op9_mixing, op10_language_id)
 }
 QUERIES["pipeline"] = corpus_pipeline.run
-ORACLE_SQL: dict[str, str] = {}
+
+#: As the template escapes: one backslash more before each control string with the backslashes before it.
+_CONTROL = "|".join(re.escape(c) for c in chat.CONTROL)
+_ESCAPED = f"regexp_replace(text, '(\\\\*)({_CONTROL})', '\\\\\\1\\2', 'g')"
+_MARK = "CASE WHEN role IN ('system', 'user', 'assistant') THEN length(role) + 4 ELSE 9 + length(role) END"
+OP3_SQL = f"""WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+t AS (SELECT *, length({_ESCAPED}) AS n FROM turns)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, {len(chat.MARKS[chat.CONVERSATION])} + sum({_MARK} + {len(chat.MARKS[chat.TEXT])} + n + {len(chat.MARKS[chat.END])})::BIGINT AS formatted_chars FROM t GROUP BY conv_id"""
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+OP6_SQL = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS ws FROM documents), b AS (SELECT item_id::VARCHAR AS item_id, {_WORDS} AS ws FROM benchmark),
+bw AS (SELECT DISTINCT item_id, size, array_to_string(ws[i:i + size - 1], ' ') AS key FROM (SELECT *, unnest(generate_series(1, len(ws) - size + 1)) AS i FROM (SELECT *, least(10, len(ws)) AS size FROM b WHERE len(ws) > 0))),
+dw AS (SELECT r, size, i, array_to_string(ws[i:i + size - 1], ' ') AS key FROM (SELECT *, unnest(generate_series(1, len(ws) - size + 1)) AS i FROM d, (SELECT DISTINCT size FROM bw) WHERE len(ws) >= size)),
+met AS (SELECT DISTINCT r, i, size, item_id FROM dw JOIN bw USING (size, key)),
+hit AS (SELECT r, count(DISTINCT w) AS n FROM (SELECT r, unnest(generate_series(i, i + size - 1)) AS w FROM met) GROUP BY r),
+own AS (SELECT r, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id FROM met) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(own.n, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated FROM d LEFT JOIN hit USING (r) LEFT JOIN own USING (r)"""
+
+OP9_SQL = """WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, md5('mix|' || coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM d GROUP BY source),
+w AS (SELECT *, [5.0, 2.0, 1.0][((place - 1) % 3 + 1)::INT]::DOUBLE AS weight, source_size * 2.0::DOUBLE AS most, sum(source_size) OVER () * 1.5::DOUBLE AS budget FROM s),
+o AS (SELECT *, most / weight AS stop FROM w),
+l AS (SELECT *, (budget - coalesce(sum(most) OVER (ORDER BY stop, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)) / sum(weight) OVER (ORDER BY stop, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM o),
+t AS (SELECT source, source_size, least(most, weight * coalesce((SELECT arg_min(level, (stop, place)) FROM l WHERE level < stop), 1e300)) AS target FROM l),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS epochs FROM t),
+f AS (SELECT *, floor(target - epochs * source_size)::BIGINT AS rest FROM e),
+k AS (SELECT source, key, sum(size) AS ks, sum(sum(size)) OVER (PARTITION BY source ORDER BY key) AS upto FROM d GROUP BY source, key)
+SELECT doc_id, size, source_size, target, (epochs * size + CASE WHEN upto <= rest THEN size WHEN upto - ks >= rest THEN 0 ELSE floor(size * (rest - (upto - ks)) / ks) END)::BIGINT AS taken
+FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source JOIN k ON k.source IS NOT DISTINCT FROM d.source AND k.key = d.key"""
+
+ORACLE_SQL: dict[str, str] = {"op3_chat_format": OP3_SQL, "op6_decontaminate": OP6_SQL, "op9_mixing": OP9_SQL}
