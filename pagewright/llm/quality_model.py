@@ -104,13 +104,13 @@ class Model:
 
 
 def calibrate(z: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Platt's scaling of one or more logits, as weights with the constant last. Classes count as often as they occur."""
+    """Platt's scaling of one or more logits, as weights with the constant last. Classes count as often as they occur.
+    Steps use the bound of the curvature at its greatest, so they descend even where the classes are apart."""
     x = np.hstack([np.clip(z, -20, 20), np.ones((len(z), 1))])
-    w = np.append(np.full(z.shape[1], 1 / z.shape[1]), 0.0)
-    for _ in range(50):
-        p = sigmoid(x @ w)
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(w))
-        w -= np.linalg.solve(h, x.T @ (p - y) + 1e-2 * (w - np.append(np.full(z.shape[1], 1 / z.shape[1]), 0.0)))
+    start = np.append(np.full(z.shape[1], 1 / z.shape[1]), 0.0)
+    w, bound = start.copy(), np.linalg.inv(x.T @ x / 4 + 0.1 * np.eye(len(start)))
+    for _ in range(300):
+        w -= bound @ (x.T @ (sigmoid(x @ w) - y) + 0.1 * (w - start))
     return w
 
 
@@ -124,7 +124,9 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, rounds: int = RO
     for _ in range(rounds):
         given = []
         for view, w in zip(views, weights):
-            p = sigmoid(logits(view[pool], w)) if len(pool) else np.empty(0)
+            # how sure a view is counts by its calibrated probabilities, so a view that tells little hands over nothing
+            slope, constant = calibrate(logits(view[held], w)[:, None], y[held])
+            p = sigmoid(slope * logits(view[pool], w) + constant) if len(pool) else np.empty(0)
             share = y[base].mean() if len(base) else 0.5
             best = np.argsort(-p, kind="stable")[: int(handed * share)]
             worst = np.argsort(p, kind="stable")[: handed - int(handed * share)]

@@ -1,16 +1,4 @@
 import pytest
-from pyspark.sql import SparkSession
-
-
-@pytest.fixture(scope="session")
-def spark(tmp_path_factory):
-    session = (
-        SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g").config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared"))).getOrCreate()
-    )
-    session.sparkContext.setLogLevel("ERROR")
-    return session
-
 
 #: Rows that every operator must take: nulls in any column, empty, blank and long texts, ties and repeated rows.
 HARD = [
