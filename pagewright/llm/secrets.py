@@ -18,7 +18,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import least_marks, small_batches
 from .spans import Span, Taken, in_order, secret_spans
 
 KINDS = ["assign", "access", "hex", "random"]
@@ -88,10 +88,13 @@ def ordinary_values(words: list[str], n: int, rng: random.Random) -> list[str]:
 def labelled_samples(docs: DataFrame, n: int = SAMPLES, n_docs: int = SAMPLE_DOCS) -> list[tuple[str, bool]]:
     """n random and n ordinary values. Words come from n_docs documents, those with the least hash of their ids, and
     from each SAMPLE_WORDS of its ASCII words by hash; both bounds are parameters, so the driver's share is bounded."""
+    mark = F.xxhash64(F.lit("secrets"), "doc_id")
+    marks = least_marks(docs.select(mark.alias("mark")), n_docs)
+    picked = docs.select("text", mark.alias("mark")).where(F.col("mark") <= max(marks, default=-(2**63)))
     ascii_words = F.array_distinct(F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit("\\b[A-Za-z]{2,12}\\b"), F.lit(0)))
-    picked = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(n_docs)
     by_hash = F.slice(F.array_sort(F.transform(ascii_words, lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w")))), 1, SAMPLE_WORDS)
-    words = sorted({x.w for r in picked.select(by_hash.alias("x")).collect() for x in r.x})
+    lists = picked.select("mark", by_hash.alias("x")).groupBy("mark").agg(F.min("x").alias("x"))
+    words = sorted({w.w for r in lists.collect() for w in r.x})
     rng = random.Random(SEED)
     samples = [(v, True) for v in random_values(n, rng)] + [(v, False) for v in ordinary_values(words, n, rng)]
     rng.shuffle(samples)
