@@ -6,7 +6,11 @@ regions and table words from order lines, frames from events, pixels and logits
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -15,17 +19,28 @@ from ..functions.geometry import clamp
 CHAR_WIDTH, LINE_HEIGHT, WORD_HEIGHT = 8, 20, 16
 
 
+def _starts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in batches:
+        out = [[np.concatenate([[0], np.cumsum(np.array(line[:-1], np.int64) + 1)]) if line else [] for line in lines] for lines in batch.to_pylist()]
+        yield pa.array(out, pa.list_(pa.list_(pa.int64())))
+
+
+def word_starts(lengths: Column) -> Column:
+    """Where each word of each line begins if one blank stands between words."""
+    return F.arrow_udf(_starts, "array<array<long>>")(lengths)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, line_no, word_no, text, left, top, right, bottom: words of documents on a grid of characters."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    split = lines.select("doc_id", "line_no", tx.words(F.col("line")).alias("ws"))
-    each = split.select("doc_id", "line_no", "ws", F.posexplode("ws").alias("word_no", "text"))
-    before = F.length(F.array_join(F.slice("ws", 1, F.col("word_no")), " ")) + F.when(F.col("word_no") > 0, 1).otherwise(0)
-    left = (before * CHAR_WIDTH).cast("int")
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.transform(F.split("text", "\n"), lambda x: tx.words(x)).alias("ws"))
+    placed = docs.select("doc_id", "ws", word_starts(F.transform("ws", lambda ws: F.transform(ws, lambda w: F.length(w)))).alias("at"))
+    lines = placed.select("doc_id", F.posexplode(F.arrays_zip("ws", "at")).alias("line_no", "x"))
+    each = lines.select("doc_id", "line_no", F.posexplode(F.arrays_zip(F.col("x.ws").alias("w"), F.col("x.at").alias("at"))).alias("word_no", "y")).select("doc_id", "line_no", "word_no", F.col("y.w").alias("text"), "y.at")
+    left = (F.col("at") * CHAR_WIDTH).cast("int")
     return each.select(
         "doc_id", "line_no", "word_no", "text", left.alias("left"), (F.col("line_no") * LINE_HEIGHT).alias("top"),
         (left + F.length("text") * CHAR_WIDTH).cast("int").alias("right"), (F.col("line_no") * LINE_HEIGHT + WORD_HEIGHT).alias("bottom"),
@@ -43,23 +58,24 @@ words AS (SELECT doc_id, line_no, word_no, text, "left", line_no * 20 AS top, "l
 def hocr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, hocr: the documents as hOCR pages, one paragraph each, lines and words with boxes; every seventh word
     has no confidence. Built on the split text, without a shuffle."""
-    split = table(spark, sf_dir, "documents").select("doc_id", F.transform(F.split("text", "\n"), lambda x: tx.words(x)).alias("lines"))
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.transform(F.split("text", "\n"), lambda x: tx.words(x)).alias("lines"))
+    split = docs.select("doc_id", "lines", word_starts(F.transform("lines", lambda ws: F.transform(ws, lambda w: F.length(w)))).alias("at"))
 
     def escaped(w):
         for entity, char in [("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'")]:
             w = F.replace(w, F.lit(char), F.lit(entity))
         return w
 
-    def word(ws, y):
+    def word(y):
         def one(w, i):
-            left = (F.length(F.array_join(F.slice(ws, 1, i), " ")) + F.when(i > 0, 1).otherwise(0)) * CHAR_WIDTH
+            left = F.get(F.get("at", y), i) * CHAR_WIDTH
             box = F.concat_ws(" ", left, y * LINE_HEIGHT, left + F.length(w) * CHAR_WIDTH, y * LINE_HEIGHT + WORD_HEIGHT)
             conf = F.when(i % 7 == 6, F.lit("")).otherwise(F.concat(F.lit("; x_wconf "), (90 + i % 10).cast("string")))
             return F.concat(F.lit("<span class='ocrx_word' id='w' title='bbox "), box, conf, F.lit("'>"), escaped(w), F.lit("</span>"))
 
         return one
 
-    line = lambda ws, y: F.concat(F.lit("<span class='ocr_line' title='x'>"), F.array_join(F.transform(ws, word(ws, y)), " "), F.lit("</span>"))
+    line = lambda ws, y: F.concat(F.lit("<span class='ocr_line' title='x'>"), F.array_join(F.transform(ws, word(y)), " "), F.lit("</span>"))
     page = F.concat(F.lit("<p class='ocr_par' lang='x'>"), F.array_join(F.transform("lines", line), "\n"), F.lit("</p>"))
     return split.select("doc_id", page.alias("hocr"))
 
