@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import intervals, quality, raster, shapes
+from ..functions.geometry import DEVIATION, MEAN
+from ..operators import intervals, models, quality, raster, shapes
+from ..sinks import pdf
 from ..sources import adapters, files
 from .common import widened
 
@@ -166,7 +168,48 @@ def page_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return widened(c.select("n_nationkey", F.size("c").alias("n"), *[F.get(F.get("c", F.lit(i)), F.lit(k)).alias(f"{a}{i}") for i in range(4) for k, a in enumerate("xy")]))
 
 
-QUERIES = {f.__name__: f for f in (scan_quality, quality_scores, turned_pictures, ruled_lines, edge_fits, quad_corners, largest_quads, enhanced_pictures, page_corners)}
+class BrightInk:
+    """A stand-in for trained weights: bright pixels are text, and each picture column says its brightest row."""
+
+    def probabilities(self, picture):
+        return picture / 255.0
+
+    def detect(self, picture):
+        return [[2.0, 0.9, 0.0, 0.0, float(picture.shape[1]), float(picture.shape[0])]]
+
+
+def model_text_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of a text detector on pictures, holes included, and the layout detector's rows: the model boundary. No SQL:
+    boxes are those of connected areas."""
+    one = F.struct("h", "w", F.lit(1).alias("channels"), F.transform("data", lambda v: v.cast("double")).alias("data"))
+    rows = adapters.rasters(spark, sf_dir).select("page_id", one.alias("picture"))
+    found = rows.select("page_id", models.detect_text(BrightInk, 0.52)(F.col("picture")).alias("boxes"), models.detect_layout(BrightInk)(F.col("picture")).alias("layout"))
+    each = found.select("page_id", F.size("layout").alias("n_layout"), F.posexplode("boxes").alias("box_no", "b"))
+    return widened(each.select("page_id", "n_layout", "box_no", "b.x", "b.y", "b.w", "b.h", F.round("b.score", 6).alias("score")))
+
+
+def input_tensors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of the planes of model inputs made of pictures. No SQL: resizing interpolates."""
+    rows = _pictures(spark, sf_dir)
+    detector = raster.applied(F.col("picture"), lambda a: raster.tensor(a, 32, 32, MEAN, DEVIATION).transpose(1, 2, 0))
+    table = raster.applied(F.col("picture"), lambda a: raster.tensor(a, 18, 24, MEAN, DEVIATION, 24).transpose(1, 2, 0))
+    total = lambda p: F.round(F.aggregate(p["data"], F.lit(0.0), lambda a, v: a + v), 4)
+    return widened(rows.select("page_id", total(detector).alias("detector"), total(table).alias("table"), (F.size(table["data"])).alias("numbers")))
+
+
+def pdf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searchable PDFs of five pictures each with their text, plain and compressed: their sizes and pages. No SQL: the
+    result is a file."""
+    pages = adapters.rasters(spark, sf_dir).select(
+        F.expr("page_id div 5").alias("doc_id"), (F.col("page_id") % 5).cast("int").alias("page_no"), "w", "h",
+        F.unhex(F.array_join(F.transform("data", lambda v: F.lpad(F.hex(v), 2, "0")), "")).alias("picture"),
+        F.array(F.struct(F.lit(1.0).alias("x"), F.lit(7.0).alias("y"), F.lit(6.0).alias("size"), F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("text"))).alias("ops"),
+    )
+    both = pdf.documents(pages, ["doc_id"]).withColumnRenamed("pdf", "plain").join(pdf.documents(pages, ["doc_id"], compress=True), "doc_id")
+    return widened(both.select("doc_id", F.length("plain").alias("plain_bytes"), F.length("pdf").alias("compressed_bytes"), F.regexp_extract(F.decode("plain", "ISO-8859-1"), r"/Count (\d+)", 1).cast("int").alias("pages")))
+
+
+QUERIES = {f.__name__: f for f in (scan_quality, quality_scores, turned_pictures, ruled_lines, edge_fits, quad_corners, largest_quads, enhanced_pictures, page_corners, model_text_boxes, input_tensors, pdf_files)}
 ORACLE_SQL = {
     "scan_quality": SCAN_QUALITY, "quality_scores": QUALITY_SCORES, "turned_pictures": TURNED_PICTURES, "ruled_lines": RULED_LINES, "edge_fits": EDGE_FITS, "quad_corners": QUAD_CORNERS,
     "largest_quads": LARGEST_QUADS,
