@@ -73,32 +73,32 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return written(docs.select("text").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
 
 
-class Ids(dict):
-    """Subword ids of words, kept while there is room."""
+class Encoder:
+    """Subword ids of many words at a time. Words hold no blanks, and every blank begins an id, so words that are encoded
+    together with a blank before each can be told apart again."""
 
-    def __init__(self, path: str, code_of: np.ndarray | None = None) -> None:
-        self.encoder, self.code_of = tokenizer(path), None if code_of is None else code_of.tolist()
+    def __init__(self, path: str) -> None:
+        self.encoder = tokenizer(path)
+        self.first = np.array([self.encoder.decode_single_token_bytes(i)[:1] == b" " for i in range(END_ID)] + [False])
 
-    def __missing__(self, word: bytes) -> list[int]:
-        if len(self) > MOST_KEPT:
-            self.clear()
-        self[word] = out = self.encoded(word)
-        return out
-
-    def encoded(self, word: bytes) -> list:
-        """Its ids or, with a table of codes, its ids and codes."""
-        text = " " + word.decode()
-        ids = [END_ID] if word == END else [i for at in range(0, len(text), 4096) for i in self.encoder.encode_ordinary(text[at : at + 4096])]
-        return ids if self.code_of is None else [ids, [self.code_of[i] for i in ids]]
+    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words one after another, and how many each word has."""
+        ids = np.array(self.encoder.encode_ordinary((b" " + b" ".join(words)).decode()), np.int64) if words else np.empty(0, np.int64)
+        starts = np.flatnonzero(self.first[ids])
+        if len(starts) == len(words):
+            return ids, np.diff(np.append(starts, len(ids)))
+        each = [self.encoder.encode_ordinary(" " + w.decode()) for w in words]
+        return np.array([i for x in each for i in x], np.int64), np.array(list(map(len, each)))
 
 
 def _count_ids(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, counts = Ids(path), np.zeros(VOCABULARY, np.int64)
+        encode, counts = Encoder(path), np.zeros(VOCABULARY, np.int64)
         for batch in batches:
-            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for i in ids[word]:
-                    counts[i] += n
+            rows = dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            counts[END_ID] += rows.pop(END, 0)
+            ids, sizes = encode(list(rows))
+            counts += np.bincount(ids, np.repeat(np.array(list(rows.values()), np.float64), sizes), VOCABULARY).astype(np.int64)
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(counts[seen])], ["id", "n"])
 
@@ -127,9 +127,9 @@ def code_table(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _codes(path: str, code_of: Broadcast):
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        ids = Ids(path, code_of.value)
+        encode, codes = Encoder(path), code_of.value
         for batch in texts:
-            yield pa.array([[c for w in [*words_of(t), END] for c in ids[w][1]] for t in batch.to_pylist()], pa.list_(pa.int32()))
+            yield pa.array([np.append(codes[encode(words_of(t))[0]], codes[END_ID]) for t in batch.to_pylist()], pa.list_(pa.int32()))
 
     return run
 
@@ -184,46 +184,40 @@ def train_model(docs: DataFrame, counts: np.ndarray, path: str, share: int = TRA
 
 
 class Lexicon(dict):
-    """Numbers of words, and by number what scoring needs of each word, in arrays. It is emptied when it grows too large."""
+    """Numbers of words, and by number what scoring needs of each word, in arrays; END is number 0. New words only get their
+    number at first, the rest follows for many of them at a time. It is emptied when it grows too large."""
 
     def __init__(self, path: str, code_of: np.ndarray, tail: np.ndarray, log10: dict[bytes, float], unseen: float) -> None:
-        self.ids, self.tail, self.log10, self.unseen = Ids(path, code_of), tail, log10, unseen
+        self.encode, self.code_of, self.log10, self.unseen = Encoder(path), code_of, log10, unseen
+        self.tail = np.where(np.isfinite(tail), tail, 0.0)
         self.empty()
 
     def empty(self) -> None:
         self.clear()
         self.words: list[bytes] = []
-        self.base, self.known, self.rest, self.start, self.codes = [], [], [], [0], []
+        self.base, self.known, self.rest = np.empty(0), np.empty(0, bool), np.empty(0)
+        self.start, self.codes = np.zeros(1, np.int64), np.empty(0, np.int32)
+        self[END]  # noqa: B018
 
     def __missing__(self, word: bytes) -> int:
-        ids, codes = self.ids.encoded(word)
-        p = self.log10.get(word)
+        self[word] = n = len(self.words)
         self.words.append(word)
-        self.base.append(self.unseen if p is None else p)
-        self.known.append(p is not None)
-        self.rest.append(sum(self.tail[i] for i, c in zip(ids, codes) if c == TAIL) if TAIL in codes else 0.0)
-        self.codes += codes
-        self.start.append(len(self.codes))
-        self[word] = n = len(self.words) - 1
         return n
 
-
-class Table:
-    """A lexicon's arrays, brought up to date when it has grown."""
-
-    def __init__(self, lexicon: Lexicon) -> None:
-        self.lexicon = lexicon
-        self.clear()
-
-    def clear(self) -> None:
-        self.base, self.known, self.rest = np.empty(0), np.empty(0, bool), np.empty(0)
-        self.start, self.codes = np.zeros(1, np.int64), np.empty(0, np.int32)
-
     def update(self) -> None:
-        x = self.lexicon
-        more = lambda old, new, kind: np.concatenate([old, np.array(new[len(old) :], kind)])
-        self.base, self.known, self.rest = more(self.base, x.base, np.float64), more(self.known, x.known, bool), more(self.rest, x.rest, np.float64)
-        self.start, self.codes = more(self.start, x.start, np.int64), more(self.codes, x.codes, np.int32)
+        new = self.words[len(self.base) :]
+        if not new:
+            return
+        ids, sizes = self.encode(new[1:] if new[0] == END else new)
+        if new[0] == END:
+            ids, sizes = np.concatenate([[END_ID], ids]), np.concatenate([[1], sizes])
+        found = [self.log10.get(w) for w in new]
+        ends = np.cumsum(sizes)
+        self.known = np.concatenate([self.known, np.array([p is not None for p in found])])
+        self.base = np.concatenate([self.base, np.array([self.unseen if p is None else p for p in found])])
+        self.rest = np.concatenate([self.rest, np.add.reduceat(self.tail[ids], ends - sizes)])
+        self.codes = np.concatenate([self.codes, self.code_of[ids].astype(np.int32)])
+        self.start = np.concatenate([self.start, self.start[-1] + ends])
 
     def codes_of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of words one after another, and how many each word has."""
@@ -238,21 +232,20 @@ def _score(path: str, model: Broadcast, known: Broadcast, unseen: float):
         weights, code_of, tail = model.value
         scorer = Scorer(weights)
         lexicon = Lexicon(path, code_of, tail, known.value, unseen)
-        table = Table(lexicon)
 
         def scored(texts: list[np.ndarray]) -> tuple:
             """tokens, known, base, score by text, and the words without a known count with the number of their text."""
-            table.update()
+            lexicon.update()
             words, sizes = np.concatenate(texts), np.array(list(map(len, texts)))
             first = np.cumsum(sizes) - sizes
-            codes, per_word = table.codes_of(words)
+            codes, per_word = lexicon.codes_of(words)
             ends = np.cumsum(np.add.reduceat(per_word, first))
             x, t, own = attention.windows(np.split(codes, ends[:-1]))
             score = np.bincount(own, scorer.log_probs(x, t).sum(1, dtype=np.float64), minlength=len(texts))
-            is_known = table.known[words]
+            is_known = lexicon.known[words]
             rare = words[~is_known]
             owners = np.repeat(np.arange(len(texts)), sizes)[~is_known]
-            found = (sizes, np.add.reduceat(is_known, first, dtype=np.int64), np.add.reduceat(table.base[words], first), (score + np.add.reduceat(table.rest[words], first)) * LOG10)
+            found = (sizes, np.add.reduceat(is_known, first, dtype=np.int64), np.add.reduceat(lexicon.base[words], first), (score + np.add.reduceat(lexicon.rest[words], first)) * LOG10)
             return *found, [lexicon.words[i] for i in rare.tolist()], np.bincount(owners, minlength=len(texts))
 
         for batch in batches:
@@ -267,7 +260,6 @@ def _score(path: str, model: Broadcast, known: Broadcast, unseen: float):
                     held, waiting = [], 0
                     if len(lexicon) > MOST_KEPT:
                         lexicon.empty()
-                        table.clear()
             if held:
                 parts.append(scored(held))
             if parts:
