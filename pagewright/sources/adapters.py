@@ -163,7 +163,7 @@ def rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RASTERS_SQL = """
-rasters AS (SELECT vec_id AS page_id, list_transform(embedding, lambda v: greatest(0, least(255, floor(128 + 256 * v::FLOAT)::BIGINT))) AS data FROM embeddings),
+rasters AS (SELECT vec_id AS page_id, list_transform(embedding, lambda v: greatest(0, least(255, floor(128 + 256 * v::DOUBLE)::BIGINT))) AS data FROM embeddings),
 pixels AS (SELECT page_id, i // 8 AS y, i % 8 AS x, data[i + 1] AS v FROM (SELECT page_id, data, unnest(generate_series(0, 63)) AS i FROM rasters))"""
 
 
