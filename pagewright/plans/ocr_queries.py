@@ -14,7 +14,7 @@ from .table_queries import BEST_SQL
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recognised lines: lines of documents, three to a row, with uneven heights."""
-    docs = adapters.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text"))
+    docs = adapters.documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text"))
     left, top = (F.col("n") % 3) * 400, F.expr("n div 3") * 24 + (F.col("n") % 3) * 2 + F.when(F.expr("n div 3") % 4 == 3, 9).otherwise(0)
     return docs.select("doc_id", "n", "text", left.cast("int").alias("left"), top.cast("int").alias("top"), (left + 300 + F.length("text") % 50).cast("int").alias("right"), (top + 15).cast("int").alias("bottom"))
 

@@ -34,9 +34,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts dealt out by document. What follows explodes them into words and works document by document, so one shuffle of
+    the compact texts stands for later ones of the words, and few large row groups still keep all cores busy."""
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text").repartition("doc_id")
+
+
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, line_no, word_no, text, left, top, right, bottom: words of documents on a grid of characters."""
-    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.transform(F.split("text", "\n"), lambda x: tx.words(x)).alias("ws"))
+    docs = documents(spark, sf_dir).select("doc_id", F.transform(F.split("text", "\n"), lambda x: tx.words(x)).alias("ws"))
     placed = docs.select("doc_id", "ws", word_starts(F.transform("ws", lambda ws: F.transform(ws, lambda w: F.length(w)))).alias("at"))
     lines = placed.select("doc_id", F.posexplode(F.arrays_zip("ws", "at")).alias("line_no", "x"))
     each = lines.select("doc_id", "line_no", F.posexplode(F.arrays_zip(F.col("x.ws").alias("w"), F.col("x.at").alias("at"))).alias("word_no", "y")).select("doc_id", "line_no", "word_no", F.col("y.w").alias("text"), "y.at")
@@ -58,7 +64,7 @@ words AS (SELECT doc_id, line_no, word_no, text, "left", line_no * 20 AS top, "l
 def hocr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, hocr: the documents as hOCR pages, one paragraph each, lines and words with boxes; every seventh word
     has no confidence. Built on the split text, without a shuffle."""
-    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.transform(F.split("text", "\n"), lambda x: tx.words(x)).alias("lines"))
+    docs = documents(spark, sf_dir).select("doc_id", F.transform(F.split("text", "\n"), lambda x: tx.words(x)).alias("lines"))
     split = docs.select("doc_id", "lines", word_starts(F.transform("lines", lambda ws: F.transform(ws, lambda w: F.length(w)))).alias("at"))
 
     def escaped(w):
