@@ -38,6 +38,26 @@ def crops(regions: DataFrame, width: str = "width", height: str = "height", pad:
     return kept.where("crop_right > crop_left and crop_bottom > crop_top").withColumn("coord_scale", F.when(small, UPSCALE).otherwise(1))
 
 
+def line_crops(lines: DataFrame, width: str = "width", height: str = "height") -> DataFrame:
+    """Adds the crop of each text line: held to the page, at least one pixel, without padding."""
+    w, h = F.col(width), F.col(height)
+    held = lines.withColumns({"crop_left": clamp(F.col("left"), 0, w - 1), "crop_top": clamp(F.col("top"), 0, h - 1)})
+    return held.withColumns({"crop_right": F.least(F.greatest(F.col("right"), F.col("crop_left") + 1), w), "crop_bottom": F.least(F.greatest(F.col("bottom"), F.col("crop_top") + 1), h)})
+
+
+def detected(pages: DataFrame, keys: Sequence[str], rows: str) -> DataFrame:
+    """Detections of a model's output column: arrays of class, score and four edges, in order. Pages without any have no row."""
+    each = pages.select(*keys, F.posexplode(rows).alias("det_no", "d"))
+    names = ("class_id", "score", "x1", "y1", "x2", "y2")
+    wide = each.where(F.size("d") >= len(names))
+    return wide.select(*keys, "det_no", F.get("d", F.lit(0)).cast("int").alias("class_id"), *[F.get("d", F.lit(i)).alias(n) for i, n in enumerate(names) if i], F.lit(None).cast("int").alias("valid_count"))
+
+
+def analysed(pages: DataFrame, keys: Sequence[str], rows: str, threshold: float = SCORE) -> DataFrame:
+    """A layout model's output as regions in reading order."""
+    return reading_order(regions(detected(pages, keys, rows), threshold), keys, ["det_no"])
+
+
 def _bands(start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Band number of each interval."""
     order = np.argsort(start, kind="stable")

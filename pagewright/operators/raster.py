@@ -87,6 +87,20 @@ def lines(binary: np.ndarray, ky: int, kx: int) -> np.ndarray:
     return extremes(extremes(binary, ky, kx, True), ky, kx, False)
 
 
+def middles(hits: np.ndarray) -> list[int]:
+    """The middle of each run of hits."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], hits.astype(np.int8), [0]])))
+    return [int(a + b - 1) // 2 for a, b in zip(edges[::2], edges[1::2])]
+
+
+def ruled_boundaries(a: np.ndarray, share: float = 0.5) -> tuple[list[int], list[int]]:
+    """Places of ruled lines, rows and columns: dark strokes that fill at least half of the picture's width or height."""
+    ink = adaptive(grey(a), 15, 10, False, True)
+    h, w = ink.shape
+    rows, cols = lines(ink, 1, max(15, w // 20)), lines(ink, max(15, h // 20), 1)
+    return middles((rows > 0).sum(1) >= w * share), middles((cols > 0).sum(0) >= h * share)
+
+
 def even_light(a: np.ndarray) -> np.ndarray:
     k = min(a.shape[:2]) // 8
     k = max(31, k + (k % 2 == 0))
@@ -398,6 +412,23 @@ def applied(picture: Column, operation: Callable[[np.ndarray], np.ndarray]) -> C
     return F.arrow_udf(run, PICTURE)(picture)
 
 
+def boundaries(picture: Column) -> Column:
+    """Ruled lines of a column of pictures: rows and cols, or null if the picture can't be read. A lattice needs two of each."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            out = []
+            for x in batch.to_pylist():
+                try:
+                    rows, cols = ruled_boundaries(np.array(x["data"], np.float64).reshape(x["h"], x["w"], -1).squeeze())
+                    out.append({"rows": rows, "cols": cols})
+                except (TypeError, ValueError, IndexError):
+                    out.append(None)
+            yield pa.array(out, pa.struct([("rows", pa.list_(pa.int32())), ("cols", pa.list_(pa.int32()))]))
+
+    return F.arrow_udf(run, "rows array<int>, cols array<int>")(picture)
+
+
 def corners(picture: Column) -> Column:
     """Page corners of a column of pictures; null where none are found."""
 

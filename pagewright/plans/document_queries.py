@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import documents, pagination, session
 from ..schemas import STYLES, styles, values_sql
+from ..shared import shared_folder
 from ..sources import adapters
 from ..streaming import capture
 from .common import widened
@@ -154,31 +157,17 @@ SELECT session_id, frame_no, stable_count, stable_count >= 3 AS stable FROM c"""
 def capture_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same sessions as a stream: one row per session with its stable frames and captures. No SQL: the state is kept
     from batch to batch. The state store and the results are in the shared folder and not on one machine."""
-    import uuid
-
-    from pyspark.sql import types as T
-
-    folder = _stream_folder(spark)
+    folder = shared_folder(spark)
     name = f"frames_{uuid.uuid4().hex}"
     spark.conf.set(*capture.ROCKSDB)
     adapters.frames(spark, sf_dir).coalesce(4).write.parquet(f"{folder}/{name}/in")
-    schema = T.StructType(adapters.frames(spark, sf_dir).schema.fields)
-    source = spark.readStream.schema(schema).parquet(f"{folder}/{name}/in")
+    source = spark.readStream.schema(adapters.frames(spark, sf_dir).schema).parquet(f"{folder}/{name}/in")
     query = capture.steady_stream(source, needed=3).writeStream.format("parquet").option("checkpointLocation", f"{folder}/{name}/state").option("path", f"{folder}/{name}/out").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     out = spark.read.schema(capture.OUTPUT).parquet(f"{folder}/{name}/out")
     return widened(out.groupBy("session_id").agg(F.count("*").alias("frames"), F.count_if("stable").alias("stable_frames"), F.count_if("captured").alias("captures")))
 
 
-def _stream_folder(spark: SparkSession) -> str:
-    import tempfile
-
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pagewright-"))
-    return sc.getCheckpointDir()
-
-
 QUERIES = {f.__name__: f for f in (document_blocks, paginated_lines, stamped_pages, table_layout, session_edits, stable_frames, capture_stream)}
 ORACLE_SQL = {
     "document_blocks": DOCUMENT_BLOCKS, "paginated_lines": PAGINATED_LINES, "stamped_pages": STAMPED_PAGES, "table_layout": TABLE_LAYOUT, "session_edits": SESSION_EDITS, "stable_frames": STABLE_FRAMES,

@@ -115,8 +115,26 @@ def class_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CLASS_ROLES = f"WITH {adapters.DETECTIONS_SQL}, {CLASSES_SQL} SELECT role, count(*) AS n FROM detections JOIN classes USING (class_id) GROUP BY role"
 
-QUERIES = {f.__name__: f for f in (interval_clusters, word_rows, line_boundaries, layout_regions, region_crops, reading_order, class_roles)}
+def analysed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A layout model's output rows as regions in reading order; the rows come from detections."""
+    d = adapters.detections(spark, sf_dir)
+    row = F.array(*[F.col(c).cast("double") for c in ("class_id", "score", "x1", "y1", "x2", "y2")])
+    pages = d.groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("det_no", row.alias("r")))), lambda x: x["r"]).alias("rows"))
+    return widened(layout.analysed(pages, ["page_id"], "rows").select("page_id", "det_no", "reading_no"))
+
+
+def line_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crops of lines on pages of 300 by 60 pixels."""
+    lines = adapters.table_words(spark, sf_dir).withColumns({"width": F.lit(300), "height": F.lit(60), "left": F.col("left") - 5})
+    return widened(layout.line_crops(lines).select("table_id", "ord", "crop_left", "crop_top", "crop_right", "crop_bottom"))
+
+
+LINE_CROPS = f"""WITH {adapters.TABLE_WORDS_SQL}, c AS (SELECT table_id, ord, greatest(0, least("left" - 5, 299)) AS l, greatest(0, least(top, 59)) AS t, "right" AS r, bottom AS b FROM table_words)
+SELECT table_id, ord, l AS crop_left, t AS crop_top, least(greatest(r, l + 1), 300)::BIGINT AS crop_right, least(greatest(b, t + 1), 60)::BIGINT AS crop_bottom FROM c"""
+
+QUERIES = {f.__name__: f for f in (analysed_pages, line_crops, interval_clusters, word_rows, line_boundaries, layout_regions, region_crops, reading_order, class_roles)}
+# the model's rows are counted from 0 as they are, so all of a page's detections take part
 ORACLE_SQL = {
-    "interval_clusters": INTERVAL_CLUSTERS, "word_rows": WORD_ROWS, "line_boundaries": LINE_BOUNDARIES, "layout_regions": LAYOUT_REGIONS, "region_crops": REGION_CROPS,
+    "analysed_pages": READING_ORDER.replace(" AND (valid_count IS NULL OR det_no < valid_count)", ""), "line_crops": LINE_CROPS, "interval_clusters": INTERVAL_CLUSTERS, "word_rows": WORD_ROWS, "line_boundaries": LINE_BOUNDARIES, "layout_regions": LAYOUT_REGIONS, "region_crops": REGION_CROPS,
     "reading_order": READING_ORDER, "class_roles": CLASS_ROLES,
 }

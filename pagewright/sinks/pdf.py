@@ -21,6 +21,11 @@ def text_operations(words: DataFrame, keys: Sequence[str], order: Sequence[str],
     return kept.select(*keys, (F.row_number().over(place) - 1).cast("int").alias("op_no"), (F.col("left") * scale).alias("x"), (F.col("bottom") * scale).alias("y"), size.alias("size"), "text")
 
 
+def with_results(pages: DataFrame, results: DataFrame, doc: Sequence[str], page: str) -> DataFrame:
+    """Pages and recognition results of equal document and number."""
+    return pages.join(results, [*doc, page])
+
+
 def full_texts(pages: DataFrame, keys: Sequence[str], page: str, text: str) -> DataFrame:
     """keys, full_text: pages joined by the page break."""
     return pages.groupBy(*keys).agg(in_order((page,), text, PAGE_BREAK).alias("full_text"))

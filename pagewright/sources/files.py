@@ -41,6 +41,12 @@ def decode_netpbm(content: bytes) -> np.ndarray:
 ORIENTATIONS = {6: 90, 3: 180, 8: 270}
 
 
+def orientation_degrees(orientation: Column) -> Column:
+    """The turn of an EXIF orientation."""
+    turns = F.create_map(*[F.lit(x) for pair in ORIENTATIONS.items() for x in pair])
+    return F.coalesce(F.try_element_at(turns, orientation), F.lit(0))
+
+
 def pictures(spark: SparkSession, path: str, rotation: DataFrame | None = None) -> DataFrame:
     """path, modificationTime, picture of image files; null for files that can't be read. rotation (path, degrees) turns
     pictures by its right angles."""

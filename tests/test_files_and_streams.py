@@ -69,6 +69,9 @@ def test_rasters():
     assert np.abs(found - [[15, 10], [64, 10], [64, 49], [15, 49]]).max() <= 3
     assert raster.page_corners(np.full((30, 30), 9.0)) is None
     assert np.allclose(raster.warped(page, [[15, 10], [64, 10], [64, 49], [15, 49]])[2:-2, 2:-2], 230)
+    ruled = np.full((80, 100), 240.0)
+    ruled[[10, 11, 40, 70]] = ruled[:, [5, 50, 90]] = 20
+    assert raster.ruled_boundaries(ruled) == ([10, 40, 70], [5, 50, 90])
     ring = np.zeros((12, 12))
     ring[2:10, 2:10], ring[4:8, 4:8] = 1, 0
     assert sorted(b[:4] for b in raster.box_regions(ring)) == [(2, 2, 8, 8), (4, 4, 4, 4)]
@@ -86,6 +89,11 @@ def broken():
     raise OSError("no weights")
 
 
+def test_orientations(spark):
+    rows = spark.createDataFrame([(o,) for o in (1, 2, 3, 6, 8, None)], "o int").select(files.orientation_degrees(F.col("o")).alias("d"))
+    assert [r.d for r in rows.collect()] == [0, 0, 180, 90, 270, 0]
+
+
 def test_models(spark):
     rows = spark.createDataFrame([(2, 3, 1, [0.0] * 6), (1, 1, 1, [0.0])], "h int, w int, channels int, data array<double>").select(F.struct("*").alias("p"))
     got = rows.select(models.detect_layout(Detector)(F.col("p")).alias("d")).collect()
