@@ -42,12 +42,12 @@ pars AS (SELECT *, (sum(new) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNB
 
 
 def line_word_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flow = ocr.line_order(_lines(spark, sf_dir).where("n < 20"), ["doc_id"], ["n"])
+    flow = ocr.line_order(_lines(spark, sf_dir), ["doc_id"], ["n"])
     return widened(ocr.word_boxes(flow, ["doc_id"]))
 
 
 # the running edge is a 32-bit float that is rounded at every word: a fold, as a running sum would be of doubles
-LINE_WORD_BOXES = f"""WITH {LINES_SQL.replace("FROM rec WHERE", "FROM rec WHERE n < 20 AND")}, ws AS (SELECT *, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS w FROM flow),
+LINE_WORD_BOXES = f"""WITH {LINES_SQL}, ws AS (SELECT *, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS w FROM flow),
 shares AS (SELECT *, list_transform(w, lambda x: ((("right" - "left")::FLOAT) * (length(x)::FLOAT / greatest(1, list_sum(list_transform(w, lambda y: length(y))))::FLOAT)::FLOAT)::FLOAT) AS s FROM ws),
 edges AS (SELECT *, list_transform(generate_series(0, len(w)), lambda k: CASE WHEN k = 0 THEN "left"::FLOAT ELSE list_reduce(list_prepend("left"::FLOAT, s[1:k]), lambda a, b: (a + b)::FLOAT) END) AS e FROM shares)
 SELECT doc_id, line_no, k - 1 AS word_no, w[k] AS text, trunc(e[k])::BIGINT AS "left", top, trunc(e[k + 1])::BIGINT AS "right", bottom, 0.0::DOUBLE AS confidence FROM (SELECT *, unnest(generate_series(1, len(w))) AS k FROM edges)"""

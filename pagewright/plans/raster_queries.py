@@ -76,7 +76,7 @@ def edge_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
     pts = adapters.table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 97).alias("page_id"), (F.col("l_partkey") % 43 - 1).alias("x"), ((F.col("l_suppkey") % 30) + F.col("l_quantity")).cast("double").alias("y"))
     curves = shapes.edge_curves(pts, ["page_id"], 40)
     top, bottom = shapes.quadratic_fit(curves, ["page_id"], "x", "top_y"), shapes.quadratic_fit(curves, ["page_id"], "x", "bottom_y")
-    mapped = shapes.dewarp_map(top, bottom, ["page_id"], 40).where("x % 13 = 0")
+    mapped = shapes.dewarp_map(top, bottom, ["page_id"], 40)
     at20 = mapped.select("page_id", "x", F.round(F.col("offset") + 20 * F.col("slope"), 4).alias("source_y"))
     return widened(at20.join(top.select("page_id", *[F.round(c, 6).alias(c) for c in "abc"]), "page_id"))
 
@@ -93,7 +93,7 @@ EDGE_FITS = f"""WITH curves AS (SELECT l_orderkey % 97 AS page_id, least(greates
 {_fit_sql("ty", "tf")}, {_fit_sql("bym", "bf")},
 pts AS (SELECT tf.page_id, x, tf.a, tf.b, tf.c, tf.a * x * x + tf.b * x + tf.c AS t, bf.a * x * x + bf.b * x + bf.c AS bt FROM tf JOIN bf USING (page_id), range(40) r(x)),
 lim AS (SELECT *, min(t) OVER (PARTITION BY page_id) AS tt, max(bt) OVER (PARTITION BY page_id) AS tb FROM pts)
-SELECT page_id, x, round(t - tt * (greatest(bt - t, 1.0) / greatest(tb - tt, 1.0)) + 20 * (greatest(bt - t, 1.0) / greatest(tb - tt, 1.0)), 4) AS source_y, round(a, 6) AS a, round(b, 6) AS b, round(c, 6) AS c FROM lim WHERE x % 13 = 0"""
+SELECT page_id, x, round(t - tt * (greatest(bt - t, 1.0) / greatest(tb - tt, 1.0)) + 20 * (greatest(bt - t, 1.0) / greatest(tb - tt, 1.0)), 4) AS source_y, round(a, 6) AS a, round(b, 6) AS b, round(c, 6) AS c  FROM lim"""
 
 
 def _quads(spark: SparkSession, sf_dir: str) -> DataFrame:

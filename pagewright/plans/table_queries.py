@@ -15,8 +15,8 @@ GRID_COLUMNS = "table_id, row_no, col_no, text"
 
 
 def _boundaries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Ruled lines of every other table: rows at 0, 25, ..., 100, columns at 0, 80, ..., 400."""
-    ids = adapters.table_words(spark, sf_dir).where("table_id % 2 = 0").select("table_id").distinct()
+    """Ruled lines of tables: rows at 0, 25, ..., 100, columns at 0, 80, ..., 400."""
+    ids = adapters.table_words(spark, sf_dir).select("table_id").distinct()
     lines = lambda n, step: ids.select("table_id", F.posexplode(F.sequence(F.lit(0), F.lit(n * step), F.lit(step))).alias("boundary_no", "pos"))
     return lines(4, 25), lines(5, 80)
 
@@ -38,7 +38,7 @@ def table_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return widened(tables.lattice_grid(rows, cols, adapters.table_words(spark, sf_dir), KEYS))
 
 
-LATTICE_CTE = """grid AS (SELECT table_id, r AS row_no, c AS col_no, r * 25 AS y1, r * 25 + 25 AS y2, c * 80 AS x1, c * 80 + 80 AS x2 FROM (SELECT DISTINCT table_id FROM table_words WHERE table_id % 2 = 0), range(4) a(r), range(5) b(c)),
+LATTICE_CTE = """grid AS (SELECT table_id, r AS row_no, c AS col_no, r * 25 AS y1, r * 25 + 25 AS y2, c * 80 AS x1, c * 80 + 80 AS x2 FROM (SELECT DISTINCT table_id FROM table_words), range(4) a(r), range(5) b(c)),
 lattice AS (SELECT g.table_id, row_no, col_no, coalesce(string_agg(text, ' ' ORDER BY "left", ord), '') AS text FROM grid g
   LEFT JOIN table_words w ON w.table_id = g.table_id AND ("left" + "right") // 2 BETWEEN x1 AND x2 AND (top + bottom) // 2 BETWEEN y1 AND y2 GROUP BY ALL)"""
 TABLE_LATTICE = f"WITH {adapters.TABLE_WORDS_SQL}, {LATTICE_CTE} SELECT {GRID_COLUMNS} FROM lattice"
@@ -65,10 +65,8 @@ SELECT table_id, cell_no, row_start, col_start, row_span, col_span, "left"::DOUB
 
 
 def table_learned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grids of learned cells of every third table, filled with words."""
-    streams = adapters.table_tokens(spark, sf_dir).where("table_id % 3 = 0")
-    words = adapters.table_words(spark, sf_dir).where("table_id % 3 = 0")
-    return widened(tables.learned_grid(tables.cells_of_tokens(streams, KEYS), words, KEYS))
+    """Grids of learned cells, filled with words."""
+    return widened(tables.learned_grid(tables.cells_of_tokens(adapters.table_tokens(spark, sf_dir), KEYS), adapters.table_words(spark, sf_dir), KEYS))
 
 
 LEARNED_CTE = """sized AS (SELECT table_id, max(row_start + row_span) AS n_rows, max(col_start + col_span) AS n_cols FROM cells GROUP BY table_id),
@@ -76,35 +74,38 @@ filled AS (SELECT c.table_id, row_start, col_start, cell_no, coalesce(string_agg
   AND (w."left" + w."right") / 2 BETWEEN c."left" AND c."right" AND (w.top + w.bottom) / 2 BETWEEN c.top AND c.bottom GROUP BY ALL),
 latest AS (SELECT table_id, row_start AS row_no, col_start AS col_no, max_by(text, cell_no) AS text FROM filled GROUP BY ALL),
 learned AS (SELECT p.table_id, p.row_no, p.col_no, coalesce(l.text, '') AS text FROM (SELECT table_id, row_no, unnest(range(n_cols)) AS col_no FROM (SELECT table_id, n_cols, unnest(range(n_rows)) AS row_no FROM sized)) p LEFT JOIN latest l USING (table_id, row_no, col_no))"""
-TABLE_LEARNED = f"WITH RECURSIVE {adapters.TABLE_WORDS_SQL}, {CELLS_CTE}, {LEARNED_CTE} SELECT {GRID_COLUMNS} FROM learned WHERE table_id % 3 = 0"
+TABLE_LEARNED = f"WITH RECURSIVE {adapters.TABLE_WORDS_SQL}, {CELLS_CTE}, {LEARNED_CTE} SELECT {GRID_COLUMNS} FROM learned"
 
 
 def table_recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grids of recognised lines: words of documents of up to 40 lines, lines as rows."""
-    w = adapters.words(spark, sf_dir).where("line_no < 40").withColumnRenamed("doc_id", "table_id")
+    """Grids of recognised lines: words of documents, lines as rows."""
+    w = adapters.words(spark, sf_dir).withColumnRenamed("doc_id", "table_id")
     # words are set apart so that there are columns at all
     spread = w.withColumns({"left": F.col("left") + (F.col("word_no") % 4) * 3000, "right": F.col("right") + (F.col("word_no") % 4) * 3000})
     return widened(tables.recovered_grid(spread, KEYS))
 
 
-TABLE_RECOVERED = f"""WITH {adapters.WORDS_SQL}, spread AS (SELECT doc_id AS table_id, line_no, word_no, text, "left" + (word_no % 4) * 3000 AS "left", "right" + (word_no % 4) * 3000 AS "right" FROM words WHERE line_no < 40),
+TABLE_RECOVERED = f"""WITH {adapters.WORDS_SQL}, spread AS (SELECT doc_id AS table_id, line_no, word_no, text, "left" + (word_no % 4) * 3000 AS "left", "right" + (word_no % 4) * 3000 AS "right" FROM words),
 {bands_sql("spread", "table_id", "left", "right", "line_no, word_no", span_gap("table_id", "left", "right", 0.035), "col")},
 filled AS (SELECT table_id, line_no AS row_no, col_no, string_agg(text, ' ' ORDER BY "left", word_no) AS text FROM col GROUP BY ALL)
 SELECT table_id, row_no, col_no, coalesce(text, '') AS text FROM (SELECT DISTINCT table_id, row_no FROM filled) JOIN (SELECT DISTINCT table_id, col_no FROM filled) USING (table_id) LEFT JOIN filled USING (table_id, row_no, col_no)"""
 
 
 def table_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each table by the first way that gives it a grid."""
+    """Each table by the first way that gives it a grid: here the model knows tables of five words or more, and lines are
+    ruled in those of three or more."""
     words = adapters.table_words(spark, sf_dir)
-    streams = adapters.table_tokens(spark, sf_dir).where("table_id % 3 = 0")
+    sizes = words.groupBy("table_id").agg(F.count("*").alias("n"))
+    streams = adapters.table_tokens(spark, sf_dir).join(sizes.where("n >= 5"), KEYS, "left_semi")
+    ruled = sizes.where("n >= 3")
+    rows, cols = (b.join(ruled, KEYS, "left_semi") for b in _boundaries(spark, sf_dir))
     learned = tables.learned_grid(tables.cells_of_tokens(streams, KEYS), words, KEYS)
-    rows, cols = _boundaries(spark, sf_dir)
     return widened(tables.recognised(words, KEYS, learned, tables.lattice_grid(rows, cols, words, KEYS)))
 
 
-TABLE_CASCADE = f"""WITH RECURSIVE {adapters.TABLE_WORDS_SQL}, {CELLS_CTE}, {LEARNED_CTE}, {LATTICE_CTE}, {STREAM_CTE}
-SELECT {GRID_COLUMNS}, 'LEARNED_MODEL' AS source FROM learned WHERE table_id % 3 = 0 UNION ALL SELECT {GRID_COLUMNS}, 'RULED_LINES' FROM lattice WHERE table_id % 3 <> 0
-UNION ALL SELECT {GRID_COLUMNS}, 'WORD_CLUSTERING' FROM stream WHERE table_id % 3 <> 0 AND table_id % 2 <> 0"""
+TABLE_CASCADE = f"""WITH RECURSIVE {adapters.TABLE_WORDS_SQL}, {CELLS_CTE}, {LEARNED_CTE}, {LATTICE_CTE}, {STREAM_CTE}, n AS (SELECT table_id, count(*) AS n FROM table_words GROUP BY table_id)
+SELECT {GRID_COLUMNS}, 'LEARNED_MODEL' AS source FROM learned JOIN n USING (table_id) WHERE n >= 5 UNION ALL SELECT {GRID_COLUMNS}, 'RULED_LINES' FROM lattice JOIN n USING (table_id) WHERE n BETWEEN 3 AND 4
+UNION ALL SELECT {GRID_COLUMNS}, 'WORD_CLUSTERING' FROM stream JOIN n USING (table_id) WHERE n < 3"""
 
 
 def table_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
