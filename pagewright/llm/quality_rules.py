@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, broadcast_if_small, words_in, written
+from .common import SPACES, broadcast_if_small, written
 
 SYMBOLS = "#*$%&|<>"
 #: Measure, and the least distance of its quartiles: below it a group is only uniform, and nearly equal values are no outliers.
