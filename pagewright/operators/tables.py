@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank, in_order
+from ..shared import stored
 from . import intervals
 
 COLUMN_GAP = 0.035
@@ -104,13 +105,14 @@ def learned_grid(cells: DataFrame, words: DataFrame, keys: Sequence[str]) -> Dat
     included. A cell without a box or word is blank, as are the places that a span covers; of two cells in one place
     the later one counts."""
     xs, ys = (F.transform(F.sequence(F.lit(i), F.lit(i + 6), F.lit(2)), lambda k: F.get("box", k)) for i in (0, 1))
-    sized = cells.select(*keys, "cell_no", "row_start", "col_start", *[f(c).alias(n) for f, c, n in ((F.array_min, xs, "x1"), (F.array_max, xs, "x2"), (F.array_min, ys, "y1"), (F.array_max, ys, "y2"))])
+    edges = [f(c).alias(n) for n, f, c in (("x1", F.array_min, xs), ("x2", F.array_max, xs), ("y1", F.array_min, ys), ("y2", F.array_max, ys))]
+    sized = cells.select(*keys, "cell_no", F.col("row_start").alias("row_no"), F.col("col_start").alias("col_no"), (F.col("row_start") + F.col("row_span")).alias("row_end"), (F.col("col_start") + F.col("col_span")).alias("col_end"), *edges)
     cx, cy = (F.col("left") + F.col("right")) / 2, (F.col("top") + F.col("bottom")) / 2
-    centred = words.select(*keys, "ord", "text", "left", cx.alias("cx"), cy.alias("cy"))
-    met = _left_range(sized, centred, keys)
-    filled = met.groupBy(*keys, "cell_no", "row_start", "col_start").agg(in_order(("left", "ord"), "text", " ").alias("text"))
-    last = filled.groupBy(*keys, F.col("row_start").alias("row_no"), F.col("col_start").alias("col_no")).agg(F.max_by("text", "cell_no").alias("text"))
-    return dense(last, cells.groupBy(*keys).agg(F.max(F.col("row_start") + F.col("row_span")).alias("n_rows"), F.max(F.col("col_start") + F.col("col_span")).alias("n_cols")).where("n_rows > 0 and n_cols > 0"), keys)
+    met = _left_range(sized, words.select(*keys, "ord", "text", "left", cx.alias("cx"), cy.alias("cy")), keys)
+    texts = met.groupBy(*keys, "cell_no", "row_no", "col_no", "row_end", "col_end").agg(in_order(("left", "ord"), "text", " ").alias("text"))
+    filled = texts.groupBy(*keys, "row_no", "col_no").agg(F.max_by("text", "cell_no").alias("text"), F.max("row_end").alias("row_end"), F.max("col_end").alias("col_end"))
+    listed = filled.groupBy(*keys).agg(_places().alias("_m"), F.max("row_end").alias("_r"), F.max("col_end").alias("_c")).where("_r > 0 and _c > 0")
+    return _dense(listed, keys, F.sequence(F.lit(0), F.col("_r") - 1))
 
 
 def _left_range(cells: DataFrame, words: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -122,10 +124,17 @@ def _left_range(cells: DataFrame, words: DataFrame, keys: Sequence[str]) -> Data
     return c.join(w, same & inside, "left").select("c.*", "w.ord", "w.text", "w.left")
 
 
-def dense(filled: DataFrame, sizes: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """keys, row_no, col_no, text for all places of grids (keys, n_rows, n_cols); places without text are blank."""
-    places = sizes.select(*keys, F.explode(F.sequence(F.lit(0), F.col("n_rows") - 1)).alias("row_no"), "n_cols").select(*keys, "row_no", F.explode(F.sequence(F.lit(0), F.col("n_cols") - 1)).alias("col_no"))
-    return places.join(filled, [*keys, "row_no", "col_no"], "left").select(*keys, "row_no", "col_no", F.coalesce("text", F.lit("")).alias("text"))
+def _places():
+    """An aggregate: texts by their place."""
+    return F.map_from_entries(F.collect_list(F.struct(F.struct("row_no", "col_no").alias("k"), F.col("text").alias("v"))))
+
+
+def _dense(listed: DataFrame, keys: Sequence[str], rows) -> DataFrame:
+    """keys, row_no, col_no, text for all places of tables (keys, _m: texts by place, _c: columns); places without text are
+    blank. A table is one row here, so the grid needs no join."""
+    text = lambda r, c: F.coalesce(F.try_element_at("_m", F.struct(r.alias("row_no"), c.alias("col_no"))), F.lit(""))
+    grid = F.flatten(F.transform(rows, lambda r: F.transform(F.sequence(F.lit(0), F.col("_c") - 1), lambda c: F.struct(r.alias("row_no"), c.alias("col_no"), text(r, c).alias("text")))))
+    return listed.select(*keys, F.explode(grid).alias("g")).select(*keys, "g.*")
 
 
 def lattice_grid(rows: DataFrame, cols: DataFrame, words: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -141,43 +150,48 @@ def lattice_grid(rows: DataFrame, cols: DataFrame, words: DataFrame, keys: Seque
 
 def stream_grid(words: DataFrame, keys: Sequence[str], width: str = "width") -> DataFrame:
     """keys, row_no, col_no, text from word positions alone: rows of words that overlap, bands of words without wide gaps,
-    a word in the bands that its centre is in."""
-    rowed = intervals.rows(words, keys, "top", "bottom", ["ord"])
-    banded = intervals.bands(words, keys, "left", "right", ["ord"], F.col(width), "col_no")
-    limits = banded.groupBy(*keys, "col_no").agg(F.min("left").alias("x1"), F.max("right").alias("x2"))
-    placed = rowed.select(*keys, "row_no", "ord", "text", "left", F.expr("(left + right) div 2").alias("cx"))
-    a, b = placed.alias("a"), limits.alias("b")
-    same = F.col("a.cx").between(F.col("b.x1"), F.col("b.x2"))
-    for k in keys:
-        same = same & (F.col(f"a.{k}") == F.col(f"b.{k}"))
-    filled = a.join(b, same).select("a.*", "b.col_no").groupBy(*keys, "row_no", "col_no").agg(in_order(("left", "ord"), "text", " ").alias("text"))
-    sizes = rowed.groupBy(*keys).agg((F.max("row_no") + 1).alias("n_rows")).join(limits.groupBy(*keys).agg((F.max("col_no") + 1).alias("n_cols")), [*keys])
-    return dense(filled, sizes, keys)
+    a word in the band that its centre is in.
+
+    Bands don't overlap and hold their words whole, so that band is the word's own, and the search for it needs no join:
+    all windows and sums work on one shuffle by table."""
+    banded = intervals.bands(intervals.rows(words, keys, "top", "bottom", ["ord"]), keys, "left", "right", ["ord"], F.col(width), "col_no")
+    return _grid_of(banded, keys, ("left", "ord"))
+
+
+def _grid_of(placed: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    filled = placed.groupBy(*keys, "row_no", "col_no").agg(in_order(order, "text", " ").alias("text"))
+    listed = filled.groupBy(*keys).agg(_places().alias("_m"), F.array_sort(F.collect_set("row_no")).alias("_r"), (F.max("col_no") + 1).alias("_c"))
+    return _dense(listed, keys, F.col("_r"))
 
 
 def recovered_grid(words: DataFrame, keys: Sequence[str]) -> DataFrame:
     """keys, row_no, col_no, text with recognised lines as rows (line_no, word_no) and columns clustered over all words."""
     numbered = intervals.clusters(words, keys, "left", "right", ["line_no", "word_no"], COLUMN_GAP, "col_no")
-    filled = numbered.groupBy(*keys, F.col("line_no").alias("row_no"), "col_no").agg(in_order(("left", "word_no"), "text", " ").alias("text"))
-    sizes = numbered.groupBy(*keys).agg((F.max("col_no") + 1).alias("n_cols"))
-    rows = numbered.select(*keys, F.col("line_no").alias("row_no")).distinct()
-    places = rows.join(sizes, [*keys]).select(*keys, "row_no", F.explode(F.sequence(F.lit(0), F.col("n_cols") - 1)).alias("col_no"))
-    return places.join(filled, [*keys, "row_no", "col_no"], "left").select(*keys, "row_no", "col_no", F.coalesce("text", F.lit("")).alias("text"))
-
-
-def recognised(words: DataFrame, keys: Sequence[str], learned: DataFrame | None = None, lattice: DataFrame | None = None) -> DataFrame:
-    """keys, row_no, col_no, text, source: each table with words by the first way that gives it a grid: learned cells, ruled
-    lines, word positions. Later ways run only on the tables that are left."""
-    tables = words.select(*keys).distinct()
-    out, left = None, words
-    for grid, source in ((learned, "LEARNED_MODEL"), (lattice, "RULED_LINES")):
-        if grid is not None:
-            got = grid.join(tables, [*keys], "left_semi").withColumn("source", F.lit(source))
-            out = got if out is None else out.unionByName(got.join(out.select(*keys).distinct(), [*keys], "left_anti"))
-    if out is not None:
-        left = words.join(out.select(*keys).distinct(), [*keys], "left_anti")
-    stream = stream_grid(left, keys).withColumn("source", F.lit("WORD_CLUSTERING"))
-    return stream if out is None else out.unionByName(stream)
+    return _grid_of(numbered.withColumnRenamed("line_no", "row_no"), keys, ("left", "word_no"))
+
+
+def recognised(words: DataFrame, keys: Sequence[str], cells: DataFrame | None = None, rows: DataFrame | None = None, cols: DataFrame | None = None) -> DataFrame:
+    """keys, row_no, col_no, text, source: each table with words by the first way that gives it a grid: learned cells (if it
+    has any), ruled lines (if it has two on each axis), word positions.
+
+    The way is settled from counts by table before any grid is made, and each way runs on its own tables. The words with
+    their way are a table in the shared folder, as three ways read them."""
+    some = lambda df, least: df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select(*keys)
+    sizes = words.select(*keys).distinct()
+    if cells is not None:
+        sizes = sizes.join(some(cells.where("row_start + row_span > 0 and col_start + col_span > 0"), 1).withColumn("_learned", F.lit(True)), [*keys], "left")
+    if rows is not None and cols is not None:
+        sizes = sizes.join(some(rows, 2).join(some(cols, 2), [*keys]).withColumn("_ruled", F.lit(True)), [*keys], "left")
+    flags = [F.col(c).isNotNull() if c in sizes.columns else F.lit(False) for c in ("_learned", "_ruled")]
+    ways = sizes.select(*keys, F.when(flags[0], 0).when(flags[1], 1).otherwise(2).alias("_way"))
+    tagged = stored(words.join(ways, [*keys]), "tagged")
+    own = lambda df, way: df.join(tagged.where(F.col("_way") == way).select(*keys).distinct(), [*keys], "left_semi")
+    out = stream_grid(tagged.where("_way = 2"), keys).withColumn("source", F.lit("WORD_CLUSTERING"))
+    if cells is not None:
+        out = out.unionByName(learned_grid(own(cells, 0), tagged.where("_way = 0"), keys).withColumn("source", F.lit("LEARNED_MODEL")))
+    if rows is not None and cols is not None:
+        out = out.unionByName(lattice_grid(own(rows, 1), own(cols, 1), tagged.where("_way = 1"), keys).withColumn("source", F.lit("RULED_LINES")))
+    return out
 
 
 def rows_without_words(pages: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -96,11 +96,10 @@ def table_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     ruled in those of three or more."""
     words = adapters.table_words(spark, sf_dir)
     sizes = words.groupBy("table_id").agg(F.count("*").alias("n"))
-    streams = adapters.table_tokens(spark, sf_dir).join(sizes.where("n >= 5"), KEYS, "left_semi")
+    streams = adapters.table_tokens(spark, sf_dir).where(F.size(F.array_compact("boxes")) >= 5)
     ruled = sizes.where("n >= 3")
     rows, cols = (b.join(ruled, KEYS, "left_semi") for b in _boundaries(spark, sf_dir))
-    learned = tables.learned_grid(tables.cells_of_tokens(streams, KEYS), words, KEYS)
-    return widened(tables.recognised(words, KEYS, learned, tables.lattice_grid(rows, cols, words, KEYS)))
+    return widened(tables.recognised(words, KEYS, tables.cells_of_tokens(streams, KEYS), rows, cols))
 
 
 TABLE_CASCADE = f"""WITH RECURSIVE {adapters.TABLE_WORDS_SQL}, {CELLS_CTE}, {LEARNED_CTE}, {LATTICE_CTE}, {STREAM_CTE}, n AS (SELECT table_id, count(*) AS n FROM table_words GROUP BY table_id)
