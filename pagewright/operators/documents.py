@@ -43,13 +43,21 @@ def flat_blocks(pages: DataFrame, keys: Sequence[str]) -> DataFrame:
     return each.select(*keys, F.lit(0).alias("region_no"), "part_no", F.lit("PARAGRAPH").alias("kind"), "text", F.lit(None).cast(NO_ROWS).alias("rows"), F.lit(None).cast("string").alias("image_ref"))
 
 
-def assembled(pages: DataFrame, regions: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Blocks of pages (keys, paragraphs): structured where a page has regions, flat where it has none or where its layout
-    failed (failed true: what regions it has don't count)."""
-    bad = pages.where(F.coalesce(F.col("failed"), F.lit(False))).select(*keys) if "failed" in pages.columns else None
-    good = regions if bad is None else regions.join(bad, [*keys], "left_anti")
-    bare = pages.join(good.select(*keys).distinct(), [*keys], "left_anti")
-    return structured_blocks(good, keys).unionByName(flat_blocks(bare, keys))
+def by_layout(pages: DataFrame, regions: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Regions of the pages (keys, failed if any) whose layout counts, and the pages that have none or whose layout failed.
+    A page meets its regions as one list, so both results and all that follows from them read the same two shuffles."""
+    own = [c for c in regions.columns if c not in keys]
+    whole = pages.join(regions.groupBy(*keys).agg(F.collect_list(F.struct(*own)).alias("_r")), [*keys], "left")
+    if "failed" in pages.columns:
+        whole = whole.withColumn("_r", F.when(~F.coalesce("failed", F.lit(False)), F.col("_r")))
+    return whole.where("_r is not null").select(*keys, F.inline("_r")), whole.where("_r is null").drop("_r")
+
+
+def assembled(pages: DataFrame, regions: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Blocks of pages (keys, paragraphs, failed if any), structured where a page has regions and flat elsewhere; and the
+    regions that counted, for running_texts()."""
+    good, bare = by_layout(pages, regions, keys)
+    return structured_blocks(good, keys).unionByName(flat_blocks(bare, keys)), good
 
 
 def numbered(blocks: DataFrame, doc: Sequence[str], page: str) -> DataFrame:

@@ -61,13 +61,17 @@ def word_boxes(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
     return each.select(*keys, "line_no", "word_no", "text", edge(F.col("word_no")).alias("left"), "top", edge(F.col("word_no") + 1).alias("right"), "bottom", F.lit(0.0).cast("float").alias("confidence"))
 
 
-def paragraphs(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """keys, par_no, text: a gap to the line before of over 0.6 of that line's height begins a new paragraph."""
+def numbered_paragraphs(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Adds par_no to lines in order of line_no: a gap to the line before of over 0.6 of that line's height begins a new one."""
     flow = Window.partitionBy(*keys).orderBy("line_no")
     height = F.greatest(F.lit(1), F.lag("bottom").over(flow) - F.lag("top").over(flow))
     new = F.when(F.col("top") - F.lag("bottom").over(flow) > height * PARAGRAPH_GAP, 1).otherwise(0)
-    numbered = lines.withColumn("_new", new).withColumn("par_no", F.sum("_new").over(flow.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
-    return numbered.groupBy(*keys, "par_no").agg(in_order(("line_no",), "text", " ").alias("text"))
+    return lines.withColumn("_new", new).withColumn("par_no", F.sum("_new").over(flow.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_new")
+
+
+def paragraphs(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, par_no, text."""
+    return numbered_paragraphs(lines, keys).groupBy(*keys, "par_no").agg(in_order(("line_no",), "text", " ").alias("text"))
 
 
 def greedy_text(steps: DataFrame, keys: Sequence[str], vocabulary: Sequence[str]) -> DataFrame:
@@ -82,11 +86,10 @@ def greedy_text(steps: DataFrame, keys: Sequence[str], vocabulary: Sequence[str]
 
 def line_page(lines: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """keys, full_text, n_words, paragraphs: a page of recognised lines (text, box) put together."""
-    ordered = line_order(lines, keys, order)
-    text = ordered.groupBy(*keys).agg(in_order(("line_no",), "text", "\n").alias("full_text"))
-    counted = ordered.groupBy(*keys).agg(F.sum(F.size(words(F.col("text")))).alias("n_words"))
-    pars = paragraphs(ordered, keys).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("par_no", "text"))), lambda x: x["text"]).alias("paragraphs"))
-    return text.join(counted, [*keys]).join(pars, [*keys])
+    numbered = numbered_paragraphs(line_order(lines, keys, order), keys)
+    pars = numbered.groupBy(*keys, "par_no").agg(in_order(("line_no",), "text", " ").alias("text"), in_order(("line_no",), "text", "\n").alias("_lines"), F.sum(F.size(words(F.col("text")))).alias("_n"))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("par_no", "text"))), lambda x: x["text"])
+    return pars.groupBy(*keys).agg(in_order(("par_no",), "_lines", "\n").alias("full_text"), F.sum("_n").alias("n_words"), texts.alias("paragraphs"))
 
 
 def recogniser_vocabulary(lines: Sequence[str]) -> list[str]:

@@ -103,12 +103,13 @@ def flow_items(items: DataFrame) -> DataFrame:
     return each.withColumns({"height": F.when(F.col("n_lines") > 0, F.col("line_h")).otherwise(0).cast("double"), "space": F.when(F.col("line_no") == n - 1, F.col("after")).otherwise(0.0)})
 
 
-def paginated(items: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """keys, order, page_no, y of items (keys, order, height, space, margin_px, bottom_y). The fold over a document carries y,
-    so it is no window; a document's items are one list in one Arrow batch row."""
-    listed = items.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, "height", F.col("space").alias("after")))).alias("i"), F.first("margin_px").alias("t"), F.first("bottom_y").alias("b"))
-    done = listed.select(*keys, "i", F.arrow_udf(_placed, PLACED)(F.transform("i", lambda x: F.struct(x["height"].alias("height"), x["after"].alias("after"))), F.col("t"), F.col("b")).alias("p"))
-    return done.select(*keys, F.explode(F.arrays_zip("i", "p")).alias("x")).select(*keys, *[F.col(f"x.i.{o}").alias(o) for o in order], "x.p.page_no", "x.p.y")
+def paginated(items: DataFrame, keys: Sequence[str], order: Sequence[str], carried: Sequence[str] = ()) -> DataFrame:
+    """keys, order, page_no, y and the carried columns (one value a document) of items (keys, order, height, space, margin_px,
+    bottom_y). The fold over a document carries y, so it is no window; a document's items are one list in one Arrow batch row."""
+    first = [F.first(c).alias(c) for c in carried]
+    listed = items.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, "height", F.col("space").alias("after")))).alias("i"), F.first("margin_px").alias("t"), F.first("bottom_y").alias("b"), *first)
+    done = listed.select(*keys, *carried, "i", F.arrow_udf(_placed, PLACED)(F.transform("i", lambda x: F.struct(x["height"].alias("height"), x["after"].alias("after"))), F.col("t"), F.col("b")).alias("p"))
+    return done.select(*keys, *carried, F.explode(F.arrays_zip("i", "p")).alias("x")).select(*keys, *[F.col(f"x.i.{o}").alias(o) for o in order], "x.p.page_no", "x.p.y", *carried)
 
 
 def fitted(text: Column, width: Column, size: float, metric: Metric = Metric()) -> Column:

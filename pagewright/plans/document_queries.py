@@ -38,9 +38,9 @@ def document_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     regions give their plain paragraphs; of a failed page, regions don't count."""
     regions = _regions(spark, sf_dir)
     pages = adapters.table(spark, sf_dir, "pages").select(F.expr("page_id div 5").alias("doc_id"), (F.col("page_id") % 5).cast("int").alias("page_no"), F.array("url", F.lit(" ")).alias("paragraphs"), (F.col("page_id") % 11 == 4).alias("failed"))
-    blocks = documents.numbered(documents.assembled(pages, regions, ["doc_id", "page_no"]), ["doc_id"], "page_no")
-    bad = pages.where("failed").select("doc_id", "page_no")
-    texts = documents.running_texts(regions.join(bad, ["doc_id", "page_no"], "left_anti"), ["doc_id"], "page_no")
+    blocks, good = documents.assembled(pages, regions, ["doc_id", "page_no"])
+    blocks = documents.numbered(blocks, ["doc_id"], "page_no")
+    texts = documents.running_texts(good, ["doc_id"], "page_no")
     whole = blocks.join(texts, "doc_id", "left")
     return widened(whole.select("doc_id", "page_no", "block_no", "kind", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.size("rows"), F.lit(0)).alias("n_rows"), F.coalesce("image_ref", F.lit("")).alias("image_ref"), F.coalesce("header_text", F.lit("")).alias("header_text"), F.coalesce("footer_text", F.lit("")).alias("footer_text")))
 
@@ -86,11 +86,11 @@ PAGINATED_LINES = f"WITH RECURSIVE {ITEMS_CTE.replace('items AS (', 'items AS MA
 
 def stamped_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels, headers and footers of laid-out pages."""
-    items = _items(spark, sf_dir)
-    placed = pagination.paginated(items, ["doc_id"], ["block_no", "line_no"])
-    pages = placed.groupBy("doc_id").agg(F.max("page_no").alias("last")).select("doc_id", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("page_no"))
-    texts = items.groupBy("doc_id").agg(F.first("header_text").alias("header_text"), F.first("footer_text").alias("footer_text"), F.first("content_w").alias("content_w"))
-    return widened(pagination.stamped(pages.join(texts, "doc_id"), ["doc_id"]).select("doc_id", "page_no", "label", "header", "footer"))
+    carried = ["header_text", "footer_text", "content_w"]
+    placed = pagination.paginated(_items(spark, sf_dir), ["doc_id"], ["block_no", "line_no"], carried)
+    docs = placed.groupBy("doc_id").agg(F.max("page_no").alias("last"), *[F.first(c).alias(c) for c in carried])
+    pages = docs.select("doc_id", *carried, F.explode(F.sequence(F.lit(0), F.col("last"))).alias("page_no"))
+    return widened(pagination.stamped(pages, ["doc_id"]).select("doc_id", "page_no", "label", "header", "footer"))
 
 
 def _fit(text: str, width: str) -> str:
