@@ -27,7 +27,7 @@ CONVERSATION, SYSTEM, USER, ASSISTANT, OTHER, TEXT, END = range(len(MARKS))
 ROLES = {"system": SYSTEM, "user": USER, "assistant": ASSISTANT}
 #: Strings that trainers read as control: the template's and those of common chat formats.
 CONTROL = [*MARKS, "<s>", "</s>", "<unk>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|endoftext|>", "<|startoftext|>", "<|im_start|>", "<|im_end|>"]
-ESCAPED = re.compile(r"(\\*)(" + "|".join(map(re.escape, CONTROL)) + ")")
+ESCAPED = re.compile(r"(?<!\\)(\\*+)(" + "|".join(map(re.escape, CONTROL)) + ")")
 PLAIN_TOKENS = 50_257  # of the default vocabulary, whose last id is free
 
 

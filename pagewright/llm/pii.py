@@ -22,7 +22,9 @@ from .common import small_batches, written
 from .spans import Span, Taken, in_order, private_spans
 
 KINDS = ["email", "ip", "card", "phone", "context"]
-TOKEN = re.compile(r"\S+")
+#: Tokens with a digit or an @; matched from their start only, so that a long one costs linear time.
+TOKEN = re.compile(r"(?<!\S)[^\s\d@]*+[\d@]\S*+")
+MARK = re.compile(r"[\d@]")
 #: Identifiers without the punctuation around them.
 CORE = re.compile(r"[\w+(](?:\S*\w)?")
 CUE = re.compile(r"[^\W\d_]{2,20}[:=#.]?\Z")
@@ -61,7 +63,7 @@ def contexts(text: str, start: int, end: int) -> list[str]:
 def identifiers(text: str, base: list[Span]) -> Iterator[tuple[int, int]]:
     """Spans of tokens that look like identifiers and meet no base span."""
     taken = Taken(base)
-    for m in re.finditer(r"\S*(?:\d\S{0,8}){4}\S*|\S+@\S+", text) if re.search(r"\d\S*\d|@", text) else ():
+    for m in TOKEN.finditer(text) if MARK.search(text) else ():
         core = CORE.search(m[0])
         if core and looks_like_identifier(core[0]):
             span = (m.start() + core.start(), m.start() + core.end())

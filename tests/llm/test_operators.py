@@ -55,6 +55,11 @@ def test_long_runs_take_linear_time():
     for text in ("a" * 300_000 + "@", "1" * 300_000, "+1(" * 100_000, "f" * 300_000, "1." * 150_000, "AKIA" * 70_000, "a@" * 150_000):
         spans.secret_spans(text)
         spans.private_spans(text)
+    for text in ("x" * 300_000 + "1x1 1234567", "1" * 300_000 + " x", "a1" * 150_000, "@" * 300_000, "(" * 300_000 + "1"):
+        list(pii.tuples(text))
+    for text in ("\\" * 300_000, "\\" * 300_000 + "</s>", "<|" * 150_000):
+        assert chat.unescape(chat.escape(text)) == text
+    secrets.random_spans("aB3" * 100_000 + "é", [], np.zeros((secrets.ENDS + 1,) * 2), 1.0)
 
 
 @pytest.mark.parametrize(("query", "patterns"), [(queries.op1_secret_scan, BASE), (queries.op7_pii, PRIVATE)])
