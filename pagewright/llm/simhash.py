@@ -332,9 +332,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, bits: int = 9, check_bits:
         swapped = grown.select(F.col("check").alias("fp"), F.col("fp").alias("check"), "root")
         links = links.unionByName(links_within(swapped, bits, check_bits, most_in_bucket, "check"))
     parts = connected_components(easy.unionByName(links)).withColumnRenamed("node", "fp")
-    rooted = nodes.join(parts, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
+    rooted = written(nodes.join(parts, "fp", "left").select("fp", "least", "root"), "rooted")
+    linked = rooted.where("root is not null")
+    # a table of its own, so that Spark can split the join where one root has many fingerprints
+    least = written(linked.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    alone = rooted.where("root is null").select("fp", F.col("least").alias("component_id"))
+    named = linked.join(least, "root").select("fp", "component_id").unionByName(alone)
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
