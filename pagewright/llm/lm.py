@@ -36,7 +36,7 @@ MOST_KEPT = 400_000
 TRAIN_SHARE = 128
 TRAIN_TOKENS = 2_000_000
 TASK_TOKENS = 250_000
-RATES = (0.01, 0.005, 0.003)
+RATES = (0.01, 0.007, 0.005, 0.003)
 SUMMERS = 8
 WORDS_AT_ONCE = 1 << 15
 LOG10 = 1 / math.log(10)
@@ -161,6 +161,7 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train_model(docs: DataFrame, counts: np.ndarray, path: str, share: int = TRAIN_SHARE, rates: tuple[float, ...] = RATES) -> Weights:
     """Weights trained on the rows of docs; one in ``share`` of them, by hash, gives windows, or more if the corpus is small.
+    Each round takes its own part of them, so every window is learnt from once.
 
     Averages are formed in SUMMERS tasks, which stream through the tasks' weights, so the driver gets a fixed amount.
     """
@@ -169,14 +170,15 @@ def train_model(docs: DataFrame, counts: np.ndarray, path: str, share: int = TRA
     by_code = np.bincount(codes, counts, minlength=HEAD + 1)
     now = attention.flat(attention.first_weights(by_code[:HEAD], by_code[TAIL]))
     one_in = max(1, min(share, int(counts.sum()) // TRAIN_TOKENS))
-    n_tasks = max(1, round(int(counts.sum()) / one_in / TASK_TOKENS))
+    n_tasks = max(1, round(int(counts.sum()) / one_in / len(rates) / TASK_TOKENS))
     mark = F.xxhash64(F.lit("lm"), "doc_id", F.xxhash64("text"))
     picked = docs.where("length(text) > 0").select("text", mark.alias("mark")).where(F.pmod("mark", F.lit(one_in)) == 0)
     encoded = F.arrow_udf(_codes(path, spark.sparkContext.broadcast(codes)), "array<int>")(F.col("text"))
     sequences = written(picked.select("mark", encoded.alias("codes")), "windows")
     for r, rate in enumerate(rates):
         shared = spark.sparkContext.broadcast(now)
-        tuned = sequences.repartition(n_tasks, "mark").sortWithinPartitions("mark").select("codes").mapInArrow(_train(shared, rate, r), "n long, w binary")
+        part = sequences.where(F.pmod(F.xxhash64("mark"), F.lit(len(rates))) == r)
+        tuned = part.repartition(n_tasks, "mark").sortWithinPartitions("mark").select("codes").mapInArrow(_train(shared, rate, r), "n long, w binary")
         sums = tuned.repartition(SUMMERS).mapInArrow(_sum, "n long, w binary").collect()
         if sums:
             now = (sum(np.frombuffer(s.w, np.float64) for s in sums) / sum(s.n for s in sums)).astype(np.float32)
