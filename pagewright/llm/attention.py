@@ -141,8 +141,10 @@ def gradients(w: Weights, x: np.ndarray, t: np.ndarray) -> tuple[float, Weights]
     q, k, v = e @ w["Q"] * scale, e_all @ w["K"], e_all @ w["V"]
     bias = np.where(DISTANCE >= 0, w["r"][np.maximum(DISTANCE, 0)], np.float32(-1e9))
     s = np.matmul(q, k.transpose(0, 2, 1)) + bias
-    s = np.where((x == PAD)[:, None, :], np.float32(-1e9), s)
-    p = np.exp(s - s.max(-1, keepdims=True))
+    if (x == PAD).any():
+        s = np.where((x == PAD)[:, None, :], np.float32(-1e9), s)
+    s -= s.max(-1, keepdims=True)
+    p = np.exp(s, out=s)
     p /= p.sum(-1, keepdims=True)
     h = (e + np.matmul(p, v)).reshape(-1, WIDTH)
     m = h @ w["A"] + w["a"]
@@ -154,11 +156,13 @@ def gradients(w: Weights, x: np.ndarray, t: np.ndarray) -> tuple[float, Weights]
     g: Weights = {n: np.zeros_like(a) for n, a in w.items()}
 
     def softmax(y: np.ndarray, aim: np.ndarray) -> tuple[float, np.ndarray]:
-        y = y - y.max(1, keepdims=True)
-        total = np.log(np.exp(y).sum(1, keepdims=True))
-        d = np.exp(y - total)
+        y -= y.max(1, keepdims=True)
         at = np.arange(len(aim))
-        lost = float((total[:, 0] - y[at, aim]).sum())
+        aimed = y[at, aim]
+        d = np.exp(y, out=y)
+        total = d.sum(1, keepdims=True)
+        lost = float((np.log(total[:, 0]) - aimed).sum())
+        d /= total
         d[at, aim] -= 1
         return lost, d
 
@@ -179,7 +183,8 @@ def gradients(w: Weights, x: np.ndarray, t: np.ndarray) -> tuple[float, Weights]
     dh = (df + dm @ w["A"].T).reshape(e.shape)
     dv = np.matmul(p.transpose(0, 2, 1), dh)
     dp = np.matmul(dh, v.transpose(0, 2, 1))
-    ds = p * (dp - (p * dp).sum(-1, keepdims=True))
+    dp -= np.einsum("nij,nij->ni", p, dp)[:, :, None]
+    ds = np.multiply(p, dp, out=dp)
     np.add.at(g["r"], np.maximum(DISTANCE, 0).ravel(), np.where(DISTANCE >= 0, ds.sum(0), 0).ravel())
     dq, dk = np.matmul(ds, k) * scale, np.matmul(ds.transpose(0, 2, 1), q)
 
@@ -195,7 +200,7 @@ def gradients(w: Weights, x: np.ndarray, t: np.ndarray) -> tuple[float, Weights]
     return loss, g
 
 
-def train(w: Weights, x: np.ndarray, t: np.ndarray, rate: float, seed: int, batch: int = 32) -> Weights:
+def train(w: Weights, x: np.ndarray, t: np.ndarray, rate: float, seed: int, batch: int = 128) -> Weights:
     """One pass of Adam over the windows in random order."""
     now = flat(w).astype(np.float32)
     mean, square = np.zeros_like(now), np.zeros_like(now)

@@ -2,9 +2,8 @@
 
 All counts cover every training document: words by one distributed count, subword ids by encoding each distinct word once.
 They give the base its probabilities and the model its vocabulary, biases and the shares of rare ids. The model's other
-weights are trained where the data are: each task runs Adam over its share of the training windows and the tasks' weights
-are averaged, round after round; the share of documents that these windows come from is a parameter, so their number
-grows with the corpus. Scoring reads each text once; words repeat, so their ids are looked up and not encoded again.
+weights are trained where the data are, on the windows of every training document: each task runs Adam over its share of
+them and the tasks' weights are averaged, round after round. Scoring reads each text once; words repeat, so their ids are looked up and not encoded again.
 """
 
 from __future__ import annotations
@@ -31,11 +30,8 @@ END_ID = VOCABULARY - 1
 MOST_SHARED = 200_000
 MOST_COUNTED = 400_000
 MOST_KEPT = 400_000
-#: At most one in so many training documents gives windows to train on, but so many that they have TRAIN_TOKENS subword ids
-#: if the corpus has them; a task trains on about TASK_TOKENS of them at a time.
-TRAIN_SHARE = 128
-TRAIN_TOKENS = 2_000_000
-TASK_TOKENS = 250_000
+#: A task trains on about so many subword ids in a round.
+TASK_TOKENS = 1_000_000
 RATES = (0.01, 0.007, 0.005, 0.003)
 SUMMERS = 8
 WORDS_AT_ONCE = 1 << 15
@@ -126,10 +122,28 @@ def code_table(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _codes(path: str, code_of: Broadcast):
+    """Texts to their codes, two bytes each."""
+
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encode, codes = Encoder(path), code_of.value
+        lexicon = Lexicon(path, code_of.value, np.zeros(VOCABULARY), {}, 0.0)
+
+        def told(texts: list[np.ndarray]) -> list[bytes]:
+            lexicon.update()
+            return [lexicon.codes_of(words)[0].astype(np.int16).tobytes() for words in texts]
+
         for batch in texts:
-            yield pa.array([np.append(codes[encode(words_of(t))[0]], codes[END_ID]) for t in batch.to_pylist()], pa.list_(pa.int32()))
+            out, held, waiting = [], [], 0
+            for text in batch.to_pylist():
+                words = words_of(text)
+                words.append(END)
+                held.append(np.fromiter(map(lexicon.__getitem__, words), np.int64, len(words)))
+                waiting += len(words)
+                if waiting >= WORDS_AT_ONCE:
+                    out += told(held)
+                    held, waiting = [], 0
+                    if len(lexicon) > MOST_KEPT:
+                        lexicon.empty()
+            yield pa.array(out + told(held), pa.binary())
 
     return run
 
@@ -138,7 +152,7 @@ def _train(weights: Broadcast, rate: float, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, n = attention.unflat(weights.value.copy()), 0
         for batch in batches:  # a batch is bounded, so a partition of any size streams through
-            x, t, _ = attention.windows([np.array(c, np.int32) for c in batch.column(0).to_pylist()])
+            x, t, _ = attention.windows([np.frombuffer(c, np.int16).astype(np.int32) for c in batch.column(0).to_pylist()])
             if len(x):
                 w = attention.train(w, x, t, rate, seed)
                 n += int((t >= 0).sum())
@@ -159,9 +173,8 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["n", "w"])
 
 
-def train_model(docs: DataFrame, counts: np.ndarray, path: str, share: int = TRAIN_SHARE, rates: tuple[float, ...] = RATES) -> Weights:
-    """Weights trained on the rows of docs; one in ``share`` of them, by hash, gives windows, or more if the corpus is small.
-    Each round takes its own part of them, so every window is learnt from once.
+def train_model(docs: DataFrame, counts: np.ndarray, path: str, rates: tuple[float, ...] = RATES) -> Weights:
+    """Weights trained on all rows of docs. Each round takes its own part of them, by hash, so every window is learnt from once.
 
     Averages are formed in SUMMERS tasks, which stream through the tasks' weights, so the driver gets a fixed amount.
     """
@@ -169,15 +182,13 @@ def train_model(docs: DataFrame, counts: np.ndarray, path: str, share: int = TRA
     codes, _ = code_table(counts)
     by_code = np.bincount(codes, counts, minlength=HEAD + 1)
     now = attention.flat(attention.first_weights(by_code[:HEAD], by_code[TAIL]))
-    one_in = max(1, min(share, int(counts.sum()) // TRAIN_TOKENS))
-    n_tasks = max(1, round(int(counts.sum()) / one_in / len(rates) / TASK_TOKENS))
+    n_tasks = max(1, round(int(counts.sum()) / len(rates) / TASK_TOKENS))
     mark = F.xxhash64(F.lit("lm"), "doc_id", F.xxhash64("text"))
-    picked = docs.where("length(text) > 0").select("text", mark.alias("mark")).where(F.pmod("mark", F.lit(one_in)) == 0)
-    encoded = F.arrow_udf(_codes(path, spark.sparkContext.broadcast(codes)), "array<int>")(F.col("text"))
-    sequences = written(picked.select("mark", encoded.alias("codes")), "windows")
+    marked = docs.where("length(text) > 0").select("text", mark.alias("mark"))
+    encoded = F.arrow_udf(_codes(path, spark.sparkContext.broadcast(codes)), "binary")(F.col("text"))
     for r, rate in enumerate(rates):
         shared = spark.sparkContext.broadcast(now)
-        part = sequences.where(F.pmod(F.xxhash64("mark"), F.lit(len(rates))) == r)
+        part = marked.where(F.pmod(F.xxhash64("mark"), F.lit(len(rates))) == r).select("mark", encoded.alias("codes"))
         tuned = part.repartition(n_tasks, "mark").sortWithinPartitions("mark").select("codes").mapInArrow(_train(shared, rate, r), "n long, w binary")
         sums = tuned.repartition(SUMMERS).mapInArrow(_sum, "n long, w binary").collect()
         if sums:
@@ -284,7 +295,7 @@ def least_shared(words: DataFrame, most: int) -> int:
     return least
 
 
-def score_documents(docs: DataFrame, path: str | None = None, share: int = TRAIN_SHARE, rates: tuple[float, ...] = RATES, most_shared: int = MOST_SHARED) -> DataFrame:
+def score_documents(docs: DataFrame, path: str | None = None, rates: tuple[float, ...] = RATES, most_shared: int = MOST_SHARED) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs (doc_id, text needed).
 
     Rows with crc32(doc_id) mod 7 = 2 are held out; all others are learnt from. A null or empty text has one token, its
@@ -302,7 +313,7 @@ def score_documents(docs: DataFrame, path: str | None = None, share: int = TRAIN
     frequent = words.where(F.col("n") >= least_shared(words, most_shared)).collect()
     known = {bytes(r.word): math.log10((r.n + 1) / denominator) for r in frequent}
     counts = id_counts(words, path)
-    weights = train_model(training, counts, path, share, rates)
+    weights = train_model(training, counts, path, rates)
     codes, tail = code_table(counts)
     model = spark.sparkContext.broadcast((weights, codes, tail))
     unseen = math.log10(1 / denominator)

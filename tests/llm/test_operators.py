@@ -293,6 +293,17 @@ def test_lm_scores(spark, documents, clashing, shared):
     assert lm.score_documents(docs.where("false")).count() == 0
 
 
+def test_every_document_trains_the_attention_weights(spark, monkeypatch):
+    monkeypatch.setattr(lm, "TASK_TOKENS", 10**12)
+    counts = np.full(lm.VOCABULARY, 20_000)  # as of a corpus of a milliard ids
+    codes, _ = lm.code_table(counts)
+    by_code = np.bincount(codes, counts, minlength=lm.HEAD + 1)
+    first = attention.flat(attention.first_weights(by_code[: lm.HEAD], by_code[lm.TAIL]))
+    for i in range(2):
+        doc = spark.createDataFrame([(i, f"a text of some words, number {i}")], "doc_id long, text string")
+        assert not np.allclose(attention.flat(lm.train_model(doc, counts, chat.default_path(), rates=(0.01,))), first, atol=1e-4)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
