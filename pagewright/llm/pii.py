@@ -2,8 +2,9 @@
 
 Addresses, card and phone numbers that the base patterns find are seeds. Tokens that look like identifiers (five
 digits or an @) are instances; the words beside them, with the instance's shape, are lexical patterns. A pattern's
-confidence is the trust in its instances times how often its word has an identifier beside it at all (counted over
-all words of all documents); an instance is trusted as its patterns are. Spark iterates over this graph, and the
+confidence is the trust in its instances, or that in its word's instances of all shapes times that in the words beside
+its shape if this is more, times how often its word has an identifier beside it at all (counted over all words of all
+documents); an instance is trusted as its patterns are, so trust passes from shape to shape. Spark iterates over this graph, and the
 patterns it ends up sure of find further identifiers.
 """
 
@@ -11,7 +12,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import pyarrow as pa
 from pyspark import Broadcast
@@ -31,8 +32,8 @@ CUE = re.compile(r"[^\W\d_]{2,20}[:=#.]?\Z")
 ROUNDS = 3
 LEAST_SEEDS = 5
 LEAST_CONFIDENCE = 0.5
-#: Patterns that one extraction uses, the surest first: the size of the model, as in other bootstrapping systems.
-MOST_PATTERNS = 10_000
+#: Patterns that are broadcast; more of them are joined.
+MOST_SHARED = 10_000
 MOST_COUNTED = 200_000
 RESULT = "n_email long, n_ip long, n_card long, n_phone long, base string, spans string"
 RESULT_TYPE = pa.struct([*((f"n_{k}", pa.int64()) for k in KINDS[:4]), ("base", pa.string()), ("spans", pa.string())])
@@ -100,10 +101,10 @@ def _graph(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield told()
 
 
-def learn_patterns(docs: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAST_SEEDS, least_confidence: float = LEAST_CONFIDENCE, most: int = MOST_PATTERNS) -> DataFrame:
-    """(pattern, confidence) of the patterns that the graph of all documents makes sure, at most ``most``.
+def learn_patterns(docs: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAST_SEEDS, least_confidence: float = LEAST_CONFIDENCE) -> DataFrame:
+    """(pattern, confidence) of the patterns that the graph of all documents makes sure.
 
-    A pattern needs least_seeds different seeds. All sums are formed before they are shuffled; instances stay in the graph
+    A pattern needs least_seeds different instances that are seeds or trusted. All sums are formed before they are shuffled; instances stay in the graph
     by their hash.
     """
     small_batches(docs.sparkSession)
@@ -118,16 +119,21 @@ def learn_patterns(docs: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEA
     trust = rated.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("trust"))
     seeds = trust.where("trust = 1").select("instance")
     for _ in range(rounds):
-        patterns = rated.join(trust, "instance").groupBy("pattern").agg(
-            (F.sum("trust") / F.count("*") * F.max("share")).alias("confidence"), F.count_if("seed").alias("seeds")
+        sums = rated.join(trust, "instance").groupBy("pattern", "word").agg(
+            F.sum("trust").alias("sum"), F.count("*").alias("n"), F.max("share").alias("share"), F.count_if(F.col("trust") >= least_confidence).alias("seeds")
         )
-        patterns = written(patterns, "patterns")
+        sums = written(sums.withColumn("shape", F.expr("substring(pattern, length(word) + 2)")), "sums")
+        by_word = sums.groupBy("word").agg((F.sum("sum") / F.sum("n")).alias("of_word"))
+        both = written(sums.join(by_word, "word"), "words")
+        by_shape = both.groupBy("shape").agg((F.sum(F.col("of_word") * F.col("n")) / F.sum("n")).alias("of_shape"))
+        confidence = F.greatest(F.col("sum") / F.col("n"), F.col("of_word") * F.col("of_shape")) * F.col("share")
+        patterns = written(both.join(by_shape, "shape").select("pattern", confidence.alias("confidence"), "seeds"), "patterns")
         trust = rated.join(patterns, "pattern").groupBy("instance").agg(F.max("confidence").alias("trust"))
         trust = written(trust.join(seeds.withColumn("seed", F.lit(1.0)), "instance", "left").select("instance", F.coalesce("seed", "trust").alias("trust")), "trust")
-    return patterns.where((F.col("seeds") >= least_seeds) & (F.col("confidence") >= least_confidence)).orderBy(F.desc("confidence"), "pattern").limit(most).select("pattern", "confidence")
+    return patterns.where((F.col("seeds") >= least_seeds) & (F.col("confidence") >= least_confidence)).select("pattern", "confidence")
 
 
-def extract(text: str | None, patterns: frozenset[str]) -> dict:
+def extract(text: str | None, patterns: Collection[str]) -> dict:
     text = text or ""
     base = private_spans(text)
     more: list[Span] = []
@@ -148,13 +154,30 @@ def _extract(patterns: Broadcast):
     return run
 
 
-def find_private(docs: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text) to the patterns that stand beside identifiers of the text."""
+    for batch in batches:
+        found = [(i, p) for i, text in zip(*(batch.column(c).to_pylist() for c in (0, 1))) for p in sorted({p for p, _, _, seed in tuples(text or "") if not seed})]
+        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.string()) for k in (0, 1)], ["id", "pattern"])
+
+
+def _extract_own(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for texts, patterns in columns:
+        yield pa.array([extract(t, frozenset(own or ())) for t, own in zip(texts.to_pylist(), patterns.to_pylist())], RESULT_TYPE)
+
+
+def find_private(docs: DataFrame, patterns: DataFrame | None = None, most_shared: int = MOST_SHARED) -> DataFrame:
     """A row per row of docs (text needed): row (struct of its columns), found (struct of the counts, base and spans:
     kind:start:end, comma-joined). Base spans stay; a span of kind context is added where a sure pattern stands beside
     an identifier that no base span meets. Null and empty texts have no spans. patterns: as from learn_patterns(),
-    by default learnt from docs; they are at most MOST_PATTERNS short strings.
+    by default learnt from docs; at most most_shared are broadcast, more are joined with those that the texts hold.
     """
     small_batches(docs.sparkSession)
-    known = learn_patterns(docs) if patterns is None else patterns
-    shared = docs.sparkSession.sparkContext.broadcast(frozenset(r.pattern for r in known.collect()))
-    return docs.select(F.struct("*").alias("row"), F.arrow_udf(_extract(shared), RESULT)(F.col("text")).alias("found"))
+    known = written((learn_patterns(docs) if patterns is None else patterns).select("pattern").distinct(), "known")
+    if known.count() <= most_shared:
+        shared = docs.sparkSession.sparkContext.broadcast(frozenset(r.pattern for r in known.collect()))
+        return docs.select(F.struct("*").alias("row"), F.arrow_udf(_extract(shared), RESULT)(F.col("text")).alias("found"))
+    keyed = written(docs.select(F.struct("*").alias("row"), F.expr("uuid()").alias("id")), "keyed")
+    held = keyed.select("id", "row.text").mapInArrow(_candidates, "id string, pattern string")
+    own = held.join(known, "pattern").groupBy("id").agg(F.collect_list("pattern").alias("own"))
+    return keyed.join(own, "id", "left").select("row", F.arrow_udf(_extract_own, RESULT)(F.col("row.text"), F.col("own")).alias("found"))
