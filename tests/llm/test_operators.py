@@ -102,17 +102,6 @@ def test_trust_passes_to_other_shapes(spark):
     assert all(got[100 + i] == "context:22:31" for i in range(8)) and not any(got[200 + i] for i in range(40))
 
 
-def test_no_sure_pattern_is_left_out(spark):
-    names = ["".join(chr(97 + i // 26**k % 26) for k in range(3)) for i in range(12_000)]
-    patterns = spark.createDataFrame([(f"L x{n}: 9", 0.9) for n in names], "pattern string, confidence double")
-    docs = spark.createDataFrame([*enumerate([f"so x{n}: 1234567" for n in names[::1000]]), (99, "so other: 1234567"), (None, None)], "doc_id long, text string")
-    want = {(None, ""), (99, ""), *((i, "context:9:16") for i in range(12))}
-    learnt = spark.createDataFrame([(i, " ".join(f"x{n}: a{k}{n}@mail.com" for k in range(5))) for i, n in enumerate(names[:10_050])], "doc_id long, text string")
-    assert pii.learn_patterns(learnt).count() >= 10_050
-    for most in (5, 20_000):
-        assert {(r.row.doc_id, r.found.spans) for r in pii.find_private(docs, patterns, most_shared=most).collect()} == want
-
-
 # --- chat ---
 
 
