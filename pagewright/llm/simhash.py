@@ -68,7 +68,7 @@ def _fingerprints(words: int, checked: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprints(t, words, checked) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([f[i] for f in found], pa.int64()) for i in (0, 1))], ["doc_id", "fp", "check"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)), batch.column("mark")], ["doc_id", "fp", "check", "mark"])
 
     return run
 
@@ -309,20 +309,13 @@ def links_within(fps: DataFrame, bits: int, check_bits: int = 64, most_in_bucket
     return out
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, bits: int = 9, check_bits: int = 64, most_in_bucket: int = MOST_IN_BUCKET) -> DataFrame:
-    """(doc_id, fp long, component_id) for every row of docs (doc_id, text; other columns are not read).
-
-    fp: SimHash over XXH64 (seed 42) of the ``words``-word shingles of the text with A-Z in lower case; a shorter text
-    is one shingle, an empty, blank or null one has fingerprint 0 and links like any other. component_id: the smallest
-    doc_id (nulls aside) reachable over links of at most ``bits`` differing bits. Repeated rows and ids each keep their row.
-
-    Where unrelated texts come within ``bits`` by chance (many documents, many bits), check_bits under 64 asks that a
-    second fingerprint from the same shingles be within so many bits. Then the two change places for a second index,
-    which finds the pairs that only the second fingerprint brings within ``bits``.
-    """
+def components(docs: DataFrame, words: int, bits: int, check_bits: int, most_in_bucket: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp, check, mark: hash of the text) for every row of docs, and (fp, least: smallest doc_id, root: the smallest
+    fingerprint of the component or null) for every fingerprint; as near_duplicates() links them."""
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    prints = written(docs.select("doc_id", "text").mapInArrow(_fingerprints(words, check_bits < 64), f"doc_id {kind}, fp long, check long"), "prints")
+    marked = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
+    prints = written(marked.mapInArrow(_fingerprints(words, check_bits < 64), f"doc_id {kind}, fp long, check long, mark long"), "prints")
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("check").alias("check")), "nodes")
     easy = written(easy_links(nodes, bits, check_bits), "easy")
     trees = connected_components(easy).withColumnRenamed("node", "fp")
@@ -333,6 +326,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, bits: int = 9, check_bits:
         links = links.unionByName(links_within(swapped, bits, check_bits, most_in_bucket, "check"))
     parts = connected_components(easy.unionByName(links)).withColumnRenamed("node", "fp")
     rooted = written(nodes.join(parts, "fp", "left").select("fp", "least", "root"), "rooted")
+    return prints, rooted
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, bits: int = 9, check_bits: int = 64, most_in_bucket: int = MOST_IN_BUCKET) -> DataFrame:
+    """(doc_id, fp long, component_id) for every row of docs (doc_id, text; other columns are not read).
+
+    fp: SimHash over XXH64 (seed 42) of the ``words``-word shingles of the text with A-Z in lower case; a shorter text
+    is one shingle, an empty, blank or null one has fingerprint 0 and links like any other. component_id: the smallest
+    doc_id (nulls aside) reachable over links of at most ``bits`` differing bits. Repeated rows and ids each keep their row.
+
+    Where unrelated texts come within ``bits`` by chance (many documents, many bits), check_bits under 64 asks that a
+    second fingerprint from the same shingles be within so many bits. Then the two change places for a second index,
+    which finds the pairs that only the second fingerprint brings within ``bits``.
+    """
+    prints, rooted = components(docs, words, bits, check_bits, most_in_bucket)
     linked = rooted.where("root is not null")
     # a table of its own, so that Spark can split the join where one root has many fingerprints
     least = written(linked.groupBy("root").agg(F.min("least").alias("component_id")), "least")
@@ -342,23 +350,27 @@ def near_duplicates(docs: DataFrame, words: int = 5, bits: int = 9, check_bits:
 
 
 def without_duplicates(docs: DataFrame, words: int = 5, bits: int = 9, check_bits: int = 18) -> DataFrame:
-    """docs without near duplicates: of each group the rows with the smallest doc_id stay, and of them one row each.
+    """docs without near duplicates: of each group one row stays, with the smallest doc_id if one has an id.
 
     Two fingerprints of 64 bits at most 9 bits apart have an estimated angle whose cosine c is at least 0.904, and sets
-    of such an angle a Jaccard similarity c / (2 - c) of at least 0.82; at 10 bits it is under 0.8. Rows without an id
-    can't be told apart: one of them stays if some group has no other rows.
+    of such an angle a Jaccard similarity c / (2 - c) of at least 0.82; at 10 bits it is under 0.8. Rows are told apart by
+    id and text, so different texts without an id, or with the same one, go only for a row of their own group.
     """
-    groups = near_duplicates(docs, words, bits, check_bits)
-    heads = written(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("head")).distinct(), "heads")
-    # the texts are dealt out by id whatever the number of heads, as it grows with the corpus
-    stays = docs.join(heads.hint("shuffle_merge"), F.col("doc_id").eqNullSafe(F.col("head")), "left_semi")
-    repeated = written(stays.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("again")), "repeated")
+    prints, rooted = components(docs, words, bits, check_bits, MOST_IN_BUCKET)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("head")
+    of_print = prints.groupBy("fp").agg(first).join(rooted.select("fp", F.coalesce("root", "fp").alias("group")), "fp")
+    heads = written(of_print.groupBy("group").agg(F.min("head").alias("head")).select(F.col("head.doc_id").alias("head"), F.col("head.mark").alias("of_text")), "heads")
+    is_head = F.col("doc_id").eqNullSafe(F.col("head")) & (F.xxhash64("text") == F.col("of_text"))
+    # the texts are dealt out by id and text whatever the number of heads, as it grows with the corpus
+    stays = docs.join(heads.hint("shuffle_merge"), is_head, "left_semi")
+    mark = F.xxhash64("text").alias("of_text")
+    repeated = written(stays.groupBy("doc_id", mark).agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("again"), "of_text"), "repeated")
     n = repeated.count()
     if not n:
         return stays
-    again = F.col("doc_id").eqNullSafe(F.col("again"))
+    again = F.col("doc_id").eqNullSafe(F.col("again")) & (F.xxhash64("text") == F.col("of_text"))
     once = stays.join(broadcast_if_small(repeated, n), again, "left_anti")
-    return once.unionByName(stays.join(broadcast_if_small(repeated, n), again, "left_semi").dropDuplicates(["doc_id"]))
+    return once.unionByName(stays.join(broadcast_if_small(repeated, n), again, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def fingerprint_hex(fp: Column) -> Column:

@@ -105,3 +105,11 @@ def test_copies_go_and_others_stay(spark):
     rows += [(200 + i, " ".join([*t[:150], "changed", *t[151:]])) for i, t in enumerate(texts[:20])]
     kept = {r.doc_id for r in simhash.without_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept == set(range(60))
+
+
+def test_rows_without_or_with_one_id_go_only_for_their_group(spark):
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(200)) for _ in range(8)]
+    rows = [(None, t) for t in texts[:4]] + [(7, t) for t in texts[4:]] + [(None, texts[0]), (7, texts[4]), (8, texts[5]), (None, texts[6])]
+    got = [(r.doc_id, r.text) for r in simhash.without_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == sorted([(None, t) for t in texts[:4]] + [(7, t) for t in texts[4:]], key=str)
