@@ -53,22 +53,24 @@ def count_ones(hashes: np.ndarray) -> np.ndarray:
     return np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.uint32)
 
 
-def fingerprints(text: str | None, words: int, checked: bool = False) -> tuple[int, int]:
-    """The SimHash of a text and, if asked for, a second one from the same hashes mixed anew; 0 if it has no word."""
-    n, ones, others = 0, np.zeros(64, np.int64), np.zeros(64, np.int64)
+def fingerprints(text: str | None, words: int, prints: int = 1) -> list[int]:
+    """The SimHash of a text, and further ones from the same hashes mixed anew; 0 if it has no word."""
+    n, ones = 0, np.zeros((prints, 64), np.int64)
     for hashes in shingle_hashes(text, words):
         n += len(hashes)
-        ones += count_ones(hashes)
-        if checked:
-            others += count_ones(mix(hashes.astype(np.uint64)))
-    return majority(ones, n), majority(others, n)
+        for i in range(prints):
+            ones[i] += count_ones(mix(hashes.astype(np.uint64) + np.uint64(i)) if i else hashes)
+    return [majority(o, n) for o in ones]
 
 
-def _fingerprints(words: int, checked: bool):
+def _fingerprints(words: int, prints: int):
+    """(doc_id, text, mark) to (doc_id, mark, p0, p1 and so on)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprints(t, words, checked) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)), batch.column("mark")], ["doc_id", "fp", "check", "mark"])
+            found = [fingerprints(t, words, prints) for t in batch.column("text").to_pylist()]
+            columns = [pa.array([f[i] for f in found], pa.int64()) for i in range(prints)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), *columns], ["doc_id", "mark", *(f"p{i}" for i in range(prints))])
 
     return run
 
@@ -98,12 +100,12 @@ def _segment_keys(bucket: np.ndarray, value: np.ndarray, segment: int) -> np.nda
 
 
 def _segments(segments: int, cuts: int):
-    """(bucket, fp, check, root, path) to one row for each segment: the key of its value in its bucket, and the root."""
+    """(bucket, fp, root, path) to one row for each segment: the key of its value in its bucket, and the root."""
     free = paths(segments, cuts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bucket, fp, root, path = (batch.column(i).to_numpy() for i in (0, 1, 3, 4))
+            bucket, fp, root, path = (batch.column(i).to_numpy() for i in range(4))
             bucket, fp, keys, roots = bucket.view(np.uint64), fp.view(np.uint64), [], []
             for p in np.unique(path):
                 here = path == p
@@ -117,18 +119,18 @@ def _segments(segments: int, cuts: int):
     return run
 
 
-def _variants(segments: int, cuts: int, with_values: bool, checked: bool):
-    """(bucket, fp, check, root, path) to a row for each free bit: the bucket of its segment's variant without that bit.
+def _variants(segments: int, cuts: int, with_values: bool):
+    """(bucket, fp, root, path) to a row for each free bit: the bucket of its segment's variant without that bit.
     with_values: also the keys of the two segment values that share the variant."""
     free = paths(segments, cuts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bucket, fp, check, root, path = (batch.column(i).to_numpy() for i in range(5))
+            bucket, fp, root, path = (batch.column(i).to_numpy() for i in range(4))
             bucket, fp = bucket.view(np.uint64), fp.view(np.uint64)
             for p in np.unique(path):
                 here = path == p
-                old, own, seen, tree = bucket[here], fp[here], check[here], root[here]
+                old, own, tree = bucket[here], fp[here], root[here]
                 for i, bits in enumerate(cut(free[p], segments)):
                     mask = np.uint64(sum(1 << b for b in bits))
                     for b in bits:
@@ -136,9 +138,6 @@ def _variants(segments: int, cuts: int, with_values: bool, checked: bool):
                         rest = own & (mask & ~bit)
                         columns = [mix(mix(old + np.uint64(b + 1)) ^ rest).view(np.int64), own.view(np.int64), tree]
                         names = ["bucket", "fp", "root"]
-                        if checked:
-                            columns.append(seen)
-                            names.append("check")
                         if with_values:
                             columns += [_segment_keys(old, rest, i).view(np.int64), _segment_keys(old, rest | bit, i).view(np.int64), np.full(len(own), p * segments + i, np.int64)]
                             names += ["off_key", "on_key", "path"]
@@ -170,20 +169,20 @@ class Forest:
         return True
 
 
-def near(fp: np.ndarray, check: np.ndarray, at: tuple, bits: int, check_bits: int) -> np.ndarray:
-    close = np.bitwise_count(fp ^ at[0]) <= bits
-    return close & (np.bitwise_count(check ^ at[1]) <= check_bits) if check_bits < 64 else close
+def near(fp: np.ndarray, at: np.ndarray, bits: int) -> np.ndarray:
+    return np.bitwise_count(fp ^ at) <= bits
 
 
-def bucket_tree(fp: np.ndarray, check: np.ndarray, bits: int, check_bits: int) -> list[tuple[int, int]]:
-    """Links, as positions, that connect one bucket's rows exactly as all its links would, fewer than it has rows.
+def bucket_tree(fp: np.ndarray, bits: int) -> list[tuple[int, int]]:
+    """Links, as positions, that connect one bucket's rows exactly as all its links would, fewer than it has rows. fp: a
+    row of fingerprints for each row of the bucket, which differ in the bits of all of them together.
     A search from any fingerprint takes what is within reach out of the rest, so a dense bucket takes few passes."""
     out, rest = [], np.arange(len(fp))
     while len(rest) > 1:
         reached, rest = [rest[0]], rest[1:]
         while reached and len(rest):
             at = reached.pop()
-            close = near(fp[rest], check[rest], (fp[at], check[at]), bits, check_bits)
+            close = np.bitwise_count(fp[rest] ^ fp[at]).sum(axis=1, dtype=np.int64) <= bits
             if close.any():
                 out += [(int(at), int(x)) for x in rest[close]]
                 reached += list(rest[close])
@@ -191,69 +190,80 @@ def bucket_tree(fp: np.ndarray, check: np.ndarray, bits: int, check_bits: int) -
     return out
 
 
-#: Buckets up to this size are compared as one matrix.
-MATRIX = 512
+#: Buckets up to this size are compared pair by pair, all at once; larger ones by a search.
+PAIRED = 64
 
 
-def bucket_links(bucket: np.ndarray, fp: np.ndarray, root: np.ndarray, check: np.ndarray, bits: int, check_bits: int, most: int = 0) -> Iterator[tuple[int, int]]:
-    """Positions of linked rows of sorted buckets that have different roots, so many that they connect what all links would.
-    Rows of one root are connected already. most: a larger bucket is taken in pieces (only for links that may be missed)."""
+def small_pairs(starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of all pairs of rows of the buckets of at most PAIRED rows, by their distance in the bucket."""
+    few = (sizes > 1) & (sizes <= PAIRED)
+    starts, sizes = starts[few], sizes[few]
+    offset = 1
+    while len(starts):
+        n = sizes - offset
+        ends = np.cumsum(n)
+        left = np.repeat(starts - ends + n, n) + np.arange(ends[-1])
+        yield left, left + offset
+        offset += 1
+        more = sizes > offset
+        starts, sizes = starts[more], sizes[more]
+
+
+def buckets(bucket: np.ndarray, most: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and sizes of the runs of one bucket. most: a larger one is taken in pieces (only for links that may be missed)."""
     starts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1])
     if most:
         starts = np.unique(np.concatenate([starts, np.arange(0, len(bucket), most)]))
-    sizes = np.diff(np.concatenate([starts, [len(bucket)]]))
-    for size in (2, 3):
-        at = starts[sizes == size]
-        for i in range(size):
-            for j in range(i + 1, size):
-                close = near(fp[at + i], check[at + i], (fp[at + j], check[at + j]), bits, check_bits) & (root[at + i] != root[at + j])
-                yield from zip((at + i)[close].tolist(), (at + j)[close].tolist())
-    many = sizes > 3
-    many[many] = np.minimum.reduceat(root, starts)[many] != np.maximum.reduceat(root, starts)[many]
-    for s, n in zip(starts[many].tolist(), sizes[many].tolist()):
-        f, c, r = fp[s : s + n], check[s : s + n], root[s : s + n]
-        if n <= MATRIX:
-            close = near(f[None, :], c[None, :], (f[:, None], c[:, None]), bits, check_bits) & (r[None, :] != r[:, None])
-            a, b = np.nonzero(np.triu(close, 1))
-            if len(a) <= 4 * n:
-                yield from zip((a + s).tolist(), (b + s).tolist())
-                continue
-        yield from ((a + s, b + s) for a, b in bucket_tree(f, c, bits, check_bits) if r[a] != r[b])
+    return starts, np.diff(np.concatenate([starts, [len(bucket)]]))
 
 
-def _bucket_links(bits: int, check_bits: int, node: int, most: int = 0):
-    """(bucket, fp, root, check) sorted by bucket within the partition, to links between rows of one bucket, named by column
-    node. A partition keeps a union-find of what it has linked and returns only links that join two trees."""
+def bucket_links(bucket: np.ndarray, fp: np.ndarray, root: np.ndarray, bits: int, most: int = 0) -> Iterator[tuple[int, int]]:
+    """Positions of linked rows of sorted buckets that have different roots, so many that they connect what all links would.
+    Rows of one root are connected already."""
+    starts, sizes = buckets(bucket, most)
+    for a, b in small_pairs(starts, sizes):
+        met = near(fp[a], fp[b], bits) & (root[a] != root[b])
+        yield from zip(a[met].tolist(), b[met].tolist())
+    many = sizes > PAIRED
+    many[many] = np.minimum.reduceat(root, starts)[many] != np.maximum.reduceat(root, starts)[many]
+    for s, n in zip(starts[many].tolist(), sizes[many].tolist()):
+        yield from ((a + s, b + s) for a, b in bucket_tree(fp[s : s + n, None], bits) if root[a + s] != root[b + s])
+
+
+def by_bucket(batches: Iterator[pa.RecordBatch], held_rows: int = 1 << 16) -> Iterator[list[np.ndarray]]:
+    """Columns of many whole buckets at a time, from rows that are sorted by the first column."""
+    held, n_held = [], 0
+    for batch in batches:
+        held.append([batch.column(i).to_numpy() for i in range(batch.num_columns)])
+        n_held += batch.num_rows
+        if n_held < held_rows:
+            continue
+        parts = [np.concatenate(x) for x in zip(*held)]
+        last = np.searchsorted(parts[0], parts[0][-1])
+        if last:
+            yield [x[:last] for x in parts]
+        held, n_held = [[x[last:] for x in parts]], 0
+    if held and (parts := [np.concatenate(x) for x in zip(*held)]) and len(parts[0]):
+        yield parts
+
+
+def _bucket_links(bits: int, most: int = 0):
+    """(bucket, fp, root) sorted by bucket within the partition, to links between rows of one bucket. A partition keeps a
+    union-find of what it has linked and returns only links that join two trees."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, held, n_held = Forest(), [], 0
-
-        def told(parts: list[np.ndarray]) -> pa.RecordBatch:
-            bucket, fp, root, check = parts
-            ids, trees = (check if node == 3 else fp), root.view(np.uint64)
-            found = bucket_links(*parts, bits, check_bits, most) if len(bucket) else ()
-            out = [(int(ids[a]), int(ids[b])) for a, b in found if forest.join(int(trees[a]), int(trees[b]))]
+        forest = Forest()
+        for bucket, fp, root in by_bucket(batches):
+            ids, trees = fp.view(np.uint64), root.view(np.uint64)
+            out = [(int(ids[a]), int(ids[b])) for a, b in bucket_links(bucket, ids, root, bits, most) if forest.join(int(trees[a]), int(trees[b]))]
             both = np.array(out, np.uint64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, i].copy().view(np.int64)) for i in (0, 1)], ["a", "b"])
-
-        for batch in batches:
-            columns = [batch.column(i).to_numpy() for i in range(batch.num_columns)]
-            held.append([columns[0], columns[1].view(np.uint64), columns[2], columns[-1].view(np.uint64)])
-            n_held += len(columns[0])
-            if n_held < 1 << 16:
-                continue
-            parts = [np.concatenate(x) for x in zip(*held)]
-            last = np.searchsorted(parts[0], parts[0][-1])
-            yield told([x[:last] for x in parts])
-            held, n_held = [[x[last:] for x in parts]], 0
-        if held:
-            yield told([np.concatenate(x) for x in zip(*held)])
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, i].copy().view(np.int64)) for i in (0, 1)], ["a", "b"])
 
     return run
 
 
 def _whole_segments(segments: int):
-    """(fp, check) to a row for each two neighbouring segments: the bucket of their values."""
+    """(p0, ...) to a row for each two neighbouring segments of p0: the bucket of their values, and all columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         masks = [np.uint64(sum(1 << b for b in bits)) for bits in cut(list(range(64)), segments)]
@@ -261,31 +271,28 @@ def _whole_segments(segments: int):
             fp = batch.column(0).to_numpy().view(np.uint64)
             for i in range(segments):
                 key = mix((fp & (masks[i] | masks[(i + 1) % segments])) + np.uint64(i))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0), batch.column(0), batch.column(1)], ["bucket", "fp", "root", "check"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *batch.columns], ["bucket", *batch.schema.names])
 
     return run
 
 
-def easy_links(fps: DataFrame, bits: int, check_bits: int) -> DataFrame:
+def easy_links(fps: DataFrame, bits: int) -> DataFrame:
     """Links (a, b) between fingerprints that agree in two neighbouring segments. They connect most of every crowd of near
     copies by a few rows each, and the full index then has nothing more to say about these; what they miss, it finds.
     A large bucket is sorted and taken in pieces."""
-    keyed = fps.select("fp", "check").mapInArrow(_whole_segments(bits // 2 + 1), "bucket long, fp long, root long, check long")
-    return keyed.repartition("bucket").sortWithinPartitions("bucket", "fp").mapInArrow(_bucket_links(bits, check_bits, 1, 4_096), "a long, b long")
+    keyed = fps.select("fp", F.col("fp").alias("root")).mapInArrow(_whole_segments(bits // 2 + 1), "bucket long, fp long, root long")
+    return keyed.repartition("bucket").sortWithinPartitions("bucket", "fp").mapInArrow(_bucket_links(bits, 4_096), "a long, b long")
 
 
-def links_within(fps: DataFrame, bits: int, check_bits: int = 64, most_in_bucket: int = MOST_IN_BUCKET, node: str = "fp") -> DataFrame:
-    """(a, b) that connect the distinct fingerprints of fps (fp, check, root: long) exactly as all pairs would that differ in
-    at most ``bits`` bits of fp and, if check_bits is under 64, in at most so many of check; what has one root is connected
-    already. node: the column that names them.
+def links_within(fps: DataFrame, bits: int, most_in_bucket: int = MOST_IN_BUCKET) -> DataFrame:
+    """(a, b) that connect the distinct fingerprints of fps (fp, root: long) exactly as all pairs would that differ in at
+    most ``bits`` bits; what has one root is connected already.
 
     A bucket that may hold more than most_in_bucket fingerprints of several roots (known from the counts of its two segment
     values) is cut again by its other bits, up to MOST_CUTS times; no candidate is dropped.
     """
-    segments, checked = bits // 2 + 1, check_bits < 64
-    carried, zero = ["bucket", "fp", "root"] + ["check"] * checked, F.lit(0).cast("long")
-    check = (F.col("check") if checked else zero).alias("check")
-    rows = fps.select(zero.alias("bucket"), "fp", check, "root", zero.alias("path"))
+    segments, carried, zero = bits // 2 + 1, ["bucket", "fp", "root"], F.lit(0).cast("long")
+    rows = fps.select(zero.alias("bucket"), "fp", "root", zero.alias("path"))
     out = None
     for cuts in range(MOST_CUTS + 1):
         hot, n_hot = None, 0
@@ -294,53 +301,44 @@ def links_within(fps: DataFrame, bits: int, check_bits: int = 64, most_in_bucket
             hot = written(counts.where((F.col("n") > MOST_OF_ROOT) | (F.col("n") > most_in_bucket // 2) & (F.col("x") < F.col("y"))).select("value_key"), "hot")
             n_hot = hot.count()
         kinds = [*carried, "off_key", "on_key", "path"] if n_hot else carried
-        made = rows.mapInArrow(_variants(segments, cuts, n_hot > 0, checked), ", ".join(f"{k} long" for k in kinds))
+        made = rows.mapInArrow(_variants(segments, cuts, n_hot > 0), ", ".join(f"{k} long" for k in kinds))
         if n_hot:
             for side in ("off", "on"):
                 keys = hot.select(F.col("value_key").alias(f"{side}_key"), F.lit(True).alias(side))
                 made = made.join(broadcast_if_small(keys, n_hot), f"{side}_key", "left")
             made = written(made.select(*carried, "path", (F.col("off").isNotNull() | F.col("on").isNotNull()).alias("hot")), "variants")
         plain = made.where("not hot") if n_hot else made
-        found = plain.select(*carried).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_links(bits, check_bits, 3 if node == "check" else 1), "a long, b long")
+        found = plain.select(*carried).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_links(bits), "a long, b long")
         out = found if out is None else out.unionByName(found)
         if not n_hot:
             return out
-        rows = made.where("hot").select("bucket", "fp", check, "root", "path")
+        rows = made.where("hot").select("bucket", "fp", "root", "path")
     return out
 
 
-def components(docs: DataFrame, words: int, bits: int, check_bits: int, most_in_bucket: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, fp, check, mark: hash of the text) for every row of docs, and (fp, least: smallest doc_id, root: the smallest
-    fingerprint of the component or null) for every fingerprint; as near_duplicates() links them."""
+def marked(docs: DataFrame, words: int, prints: int) -> DataFrame:
+    """(doc_id, mark: hash of the text, p0 and so on) for every row of docs."""
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    marked = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
-    prints = written(marked.mapInArrow(_fingerprints(words, check_bits < 64), f"doc_id {kind}, fp long, check long, mark long"), "prints")
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("check").alias("check")), "nodes")
-    easy = written(easy_links(nodes, bits, check_bits), "easy")
-    trees = connected_components(easy).withColumnRenamed("node", "fp")
-    grown = written(nodes.join(trees, "fp", "left").select("fp", "check", F.coalesce("root", "fp").alias("root")), "grown")
-    links = links_within(grown, bits, check_bits, most_in_bucket)
-    if check_bits < 64:
-        swapped = grown.select(F.col("check").alias("fp"), F.col("fp").alias("check"), "root")
-        links = links.unionByName(links_within(swapped, bits, check_bits, most_in_bucket, "check"))
-    parts = connected_components(easy.unionByName(links)).withColumnRenamed("node", "fp")
-    rooted = written(nodes.join(parts, "fp", "left").select("fp", "least", "root"), "rooted")
-    return prints, rooted
+    columns = "".join(f", p{i} long" for i in range(prints))
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).mapInArrow(_fingerprints(words, prints), f"doc_id {kind}, mark long{columns}")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, bits: int = 9, check_bits: int = 64, most_in_bucket: int = MOST_IN_BUCKET) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, bits: int = 9, most_in_bucket: int = MOST_IN_BUCKET) -> DataFrame:
     """(doc_id, fp long, component_id) for every row of docs (doc_id, text; other columns are not read).
 
     fp: SimHash over XXH64 (seed 42) of the ``words``-word shingles of the text with A-Z in lower case; a shorter text
     is one shingle, an empty, blank or null one has fingerprint 0 and links like any other. component_id: the smallest
-    doc_id (nulls aside) reachable over links of at most ``bits`` differing bits. Repeated rows and ids each keep their row.
-
-    Where unrelated texts come within ``bits`` by chance (many documents, many bits), check_bits under 64 asks that a
-    second fingerprint from the same shingles be within so many bits. Then the two change places for a second index,
-    which finds the pairs that only the second fingerprint brings within ``bits``.
+    doc_id (nulls aside) reachable over links of at most ``bits`` differing bits. Repeated rows and ids each keep their
+    row; a text of any length is hashed a part at a time; an empty table gives none.
     """
-    prints, rooted = components(docs, words, bits, check_bits, most_in_bucket)
+    prints = written(marked(docs, words, 1).select("doc_id", F.col("p0").alias("fp")), "prints")
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    easy = written(easy_links(nodes, bits), "easy")
+    trees = connected_components(easy).withColumnRenamed("node", "fp")
+    grown = written(nodes.join(trees, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "grown")
+    parts = connected_components(easy.unionByName(links_within(grown, bits, most_in_bucket))).withColumnRenamed("node", "fp")
+    rooted = written(nodes.join(parts, "fp", "left").select("fp", "least", "root"), "rooted")
     linked = rooted.where("root is not null")
     # a table of its own, so that Spark can split the join where one root has many fingerprints
     least = written(linked.groupBy("root").agg(F.min("least").alias("component_id")), "least")
@@ -349,30 +347,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, bits: int = 9, check_bits:
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def without_duplicates(docs: DataFrame, words: int = 5, bits: int = 9, check_bits: int = 18) -> DataFrame:
-    """docs without near duplicates: of each group one row stays, with the smallest doc_id if one has an id.
-
-    Two fingerprints of 64 bits at most 9 bits apart have an estimated angle whose cosine c is at least 0.904, and sets
-    of such an angle a Jaccard similarity c / (2 - c) of at least 0.82; at 10 bits it is under 0.8. Rows are told apart by
-    id and text, so different texts without an id, or with the same one, go only for a row of their own group.
-    """
-    prints, rooted = components(docs, words, bits, check_bits, MOST_IN_BUCKET)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("head")
-    of_print = prints.groupBy("fp").agg(first).join(rooted.select("fp", F.coalesce("root", "fp").alias("group")), "fp")
-    heads = written(of_print.groupBy("group").agg(F.min("head").alias("head")).select(F.col("head.doc_id").alias("head"), F.col("head.mark").alias("of_text")), "heads")
-    is_head = F.col("doc_id").eqNullSafe(F.col("head")) & (F.xxhash64("text") == F.col("of_text"))
-    # the texts are dealt out by id and text whatever the number of heads, as it grows with the corpus
-    stays = docs.join(heads.hint("shuffle_merge"), is_head, "left_semi")
-    mark = F.xxhash64("text").alias("of_text")
-    repeated = written(stays.groupBy("doc_id", mark).agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("again"), "of_text"), "repeated")
-    n = repeated.count()
-    if not n:
-        return stays
-    again = F.col("doc_id").eqNullSafe(F.col("again")) & (F.xxhash64("text") == F.col("of_text"))
-    once = stays.join(broadcast_if_small(repeated, n), again, "left_anti")
-    return once.unionByName(stays.join(broadcast_if_small(repeated, n), again, "left_semi").dropDuplicates(["doc_id", "text"]))
-
-
 def fingerprint_hex(fp: Column) -> Column:
     """16 lower-case hexadecimal digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

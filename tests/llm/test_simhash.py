@@ -3,7 +3,7 @@ import random
 import pytest
 import xxhash
 
-from pagewright.llm import simhash
+from pagewright.llm import similar, simhash
 
 
 def plain_fingerprint(text, k):
@@ -54,8 +54,9 @@ def test_hard_rows(hard, clashing, empty):
     assert found(simhash.near_duplicates(hard, 4, 4)) == want
     assert found(simhash.near_duplicates(clashing, 4, 4)) == want
     assert found(simhash.near_duplicates(empty, 4, 4)) == []
-    assert simhash.without_duplicates(empty).count() == 0
-    assert sorted(r.doc_id for r in simhash.without_duplicates(clashing).where("doc_id is not null").collect()) == [1, 4, 6, 7, 8]
+    assert similar.without_duplicates(empty).count() == 0
+    kept = similar.without_duplicates(clashing)
+    assert kept.columns == clashing.columns and sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 4, 6, 7, 8]
 
 
 def signed(f):
@@ -77,7 +78,7 @@ def near_fingerprints(n, seed):
 
 def test_known_trees_are_not_linked_again(spark):
     fps = near_fingerprints(40, 3)
-    df = spark.createDataFrame([(signed(f), 0, 0) for f in fps], "fp long, check long, root long")
+    df = spark.createDataFrame([(signed(f), 0) for f in fps], "fp long, root long")
     assert simhash.links_within(df, 4, most_in_bucket=4).count() == 0
 
 
@@ -85,7 +86,7 @@ def test_known_trees_are_not_linked_again(spark):
 @pytest.mark.parametrize("bits", [4, 7])
 def test_crowded_buckets_lose_no_link(spark, most, bits):
     fps = near_fingerprints(14, most)
-    df = spark.createDataFrame([(signed(f), 0, signed(f)) for f in fps], "fp long, check long, root long")
+    df = spark.createDataFrame([(signed(f), signed(f)) for f in fps], "fp long, root long")
     forest = simhash.Forest()
     for r in simhash.links_within(df, bits, most_in_bucket=most).collect():
         a, b = r.a % 2**64, r.b % 2**64
@@ -103,7 +104,7 @@ def test_copies_go_and_others_stay(spark):
     rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
     rows += [(100 + i, " ".join(t)) for i, t in enumerate(texts[:20])]
     rows += [(200 + i, " ".join([*t[:150], "changed", *t[151:]])) for i, t in enumerate(texts[:20])]
-    kept = {r.doc_id for r in simhash.without_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    kept = {r.doc_id for r in similar.without_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept == set(range(60))
 
 
@@ -111,5 +112,66 @@ def test_rows_without_or_with_one_id_go_only_for_their_group(spark):
     rng = random.Random(8)
     texts = [" ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(200)) for _ in range(8)]
     rows = [(None, t) for t in texts[:4]] + [(7, t) for t in texts[4:]] + [(None, texts[0]), (7, texts[4]), (8, texts[5]), (None, texts[6])]
-    got = [(r.doc_id, r.text) for r in simhash.without_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    got = [(r.doc_id, r.text) for r in similar.without_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert sorted(got, key=str) == sorted([(None, t) for t in texts[:4]] + [(7, t) for t in texts[4:]], key=str)
+
+
+def plain_similar(texts, least=0.8):
+    """Groups of texts by exact similarity of all pairs that share a shingle."""
+    sets = []
+    for t in texts:
+        words = (t or "").translate({c: c + 32 for c in range(65, 91)}).encode().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    owners = {}
+    for i, s in enumerate(sets):
+        for x in s or {()}:
+            owners.setdefault(x, []).append(i)
+    forest, met = simhash.Forest(), set()
+    for own in owners.values():
+        met |= {(a, b) for k, a in enumerate(own) for b in own[k + 1 :]}
+    for a, b in met:
+        both = len(sets[a] & sets[b])
+        if not sets[a] or both >= least * (len(sets[a]) + len(sets[b]) - both):
+            forest.join(a, b)
+    return [forest.root(i) for i in range(len(texts))]
+
+
+def changed(rng, words, text, n):
+    out = list(text)
+    for at in rng.sample(range(len(out)), n):
+        out[at] = rng.choice(words)
+    return out
+
+
+def test_stage_against_exact_similarity(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(4000)]
+    texts = [rng.choices(words, k=200) for _ in range(120)]
+    rows = [*texts, *(changed(rng, words, t, n) for t in texts for n in (2, 4, 6, 9, 14))]
+    rows = [" ".join(r) for r in rows]
+    group = plain_similar(rows)
+    want = {min(i for i, h in enumerate(group) if h == g) for g in group}
+    got = {r.doc_id for r in similar.without_duplicates(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert len(want) < 0.75 * len(rows) and want <= got and len(got - want) <= 0.01 * len(rows)
+
+
+def test_stage_on_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = sorted(((r.doc_id, r.text) for r in docs.collect()), key=lambda r: r[0])
+    group = plain_similar([t for _, t in rows])
+    first = {}
+    for (i, _), g in zip(rows, group):
+        first.setdefault(g, i)
+    got = {r.doc_id for r in similar.without_duplicates(docs).collect()}
+    assert set(first.values()) <= got and len(got) - len(first) <= 2
+
+
+def test_a_crowd_of_near_copies_stays_few_rows(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(4000)]
+    text = rng.choices(words, k=100)
+    near = [" ".join(changed(rng, words, text, 1)) for _ in range(400)]
+    far = [" ".join(changed(rng, words, text, 12)) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate([*near, *far])), "doc_id long, text string")
+    kept = {r.doc_id for r in similar.without_duplicates(docs).collect()}
+    assert len(kept & set(range(400))) == 1 and len(kept) > 390
