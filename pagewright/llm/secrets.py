@@ -77,14 +77,19 @@ def train(samples: list[tuple[str, bool]]) -> tuple[np.ndarray, float]:
 
 
 def random_values(n: int, rng: random.Random) -> list[str]:
-    kinds = ["0123456789abcdef", LETTERS[:62], LETTERS[:64], LETTERS[:62] + "_-", LETTERS[26:62], LETTERS[:26] + "0123456789"]
+    kinds = ["0123456789abcdef", LETTERS[:62], LETTERS[:64], LETTERS[:62] + "_-", LETTERS[26:62], LETTERS[:26] + "0123456789", LETTERS[26:52]]
     return ["".join(rng.choices(rng.choice(kinds), k=rng.randint(16, 64))) for _ in range(n)]
 
 
 def ordinary_values(words: list[str], n: int, rng: random.Random) -> list[str]:
-    """Identifiers as people write them: words and numbers joined as in paths, snake case, kebab case and camel case."""
+    """Identifiers as people write them: words and numbers joined as in paths, snake case, kebab case and camel case;
+    numbers, dates and rulers, too."""
     out = []
     while len(out) < n:
+        if rng.random() < 0.25:
+            number = "".join(rng.choices("0123456789", k=rng.randint(16, 24)))
+            out.append(rng.choice([number, number, f"{number[:4]}-{number[4:6]}-{number[6:8]}-{number[8:]}", rng.choice("-=_") * rng.randint(16, 60)]))
+            continue
         parts = rng.choices(words if words and rng.random() < 0.6 else COMMON, k=rng.randint(2, 6))
         if rng.random() < 0.3:
             parts.append(str(rng.randint(0, 10 ** rng.randint(1, 6))))
@@ -115,9 +120,7 @@ def random_spans(text: str, base: list[Span], table: np.ndarray, threshold: floa
     taken, out = Taken(base), []
     for m in CANDIDATE.finditer(text):
         value = m[0]
-        if value.isalpha() and (value.islower() or value[1:].islower()) or not any(map(str.isalpha, value)) or taken.meets(*m.span()):
-            continue  # one word, or a number
-        if ratio(table, value) > threshold:
+        if ratio(table, value) > threshold and not taken.meets(*m.span()):
             out.append(("random", *m.span()))
     return out
 
@@ -142,8 +145,10 @@ def find_secrets(docs: DataFrame, samples: list[tuple[str, bool]] | None = None)
     """A row per row of docs (doc_id, text needed): row (struct of its columns), found (struct of the counts, base and
     spans: kind:start:end, comma-joined).
 
-    Base spans stay as they are; a span of kind random is added where the models say so and no base span lies. Null and
-    empty texts have no spans. samples: (value, is_secret) rows; by default labelled_samples(docs).
+    Base spans stay as they are; a span of kind random is added where the models say so and no base span lies; every run
+    of at least 16 key characters is scored. Null and empty texts have no spans; texts are read whole in linear time at
+    any length; repeated rows each get their spans, an empty table none, and extra columns of any name stay inside row.
+    Spans that start at one place are listed in the order of KINDS. samples: (value, is_secret) rows; by default labelled_samples(docs).
     """
     small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(train(samples or labelled_samples(docs)))
