@@ -2,8 +2,8 @@
 
 Addresses, card and phone numbers that the base patterns find are seeds. Tokens that look like identifiers (five
 digits or an @) are instances; the words beside them, with the instance's shape, are lexical patterns. A pattern's
-confidence is the trust in its instances, or that in its word's instances of all shapes times that in the words beside
-its shape if this is more, times how often its word has an identifier beside it at all (counted over all words of all
+confidence is the trust in its instances, or the geometric mean of that in its word's instances of all shapes and that in
+the words beside its shape if this is more, times how often its word has an identifier beside it at all (counted over all words of all
 documents); an instance is trusted as its patterns are, so trust passes from shape to shape. Spark iterates over this graph, and the
 patterns it ends up sure of find further identifiers.
 """
@@ -19,7 +19,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import BROADCAST_ROWS, small_batches, written
 from .spans import Span, Taken, in_order, private_spans
 
 KINDS = ["email", "ip", "card", "phone", "context"]
@@ -37,7 +37,6 @@ MOST_SHARED = 10_000
 MOST_COUNTED = 200_000
 RESULT = "n_email long, n_ip long, n_card long, n_phone long, base string, spans string"
 RESULT_TYPE = pa.struct([*((f"n_{k}", pa.int64()) for k in KINDS[:4]), ("base", pa.string()), ("spans", pa.string())])
-TUPLE = "kind string, pattern string, word string, instance string, seed boolean, n long"
 
 
 def shape(token: str) -> str:
@@ -82,39 +81,73 @@ def tuples(text: str) -> Iterator[tuple[str, str, str, bool]]:
 
 
 def _graph(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges of the graph, and how often each word occurs that could be a cue."""
-    edges, words = Counter(), Counter()
+    """Edges of the graph, added up as far as a task can hold them."""
+    edges: Counter = Counter()
 
     def told() -> pa.RecordBatch:
-        rows = [("edge", *k, n) for k, n in edges.items()] + [("word", None, w, None, None, n) for w, n in words.items()]
+        rows = [(*k, n) for k, n in edges.items()]
         edges.clear()
-        words.clear()
-        kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds], ["kind", "pattern", "word", "instance", "seed", "n"])
+        kinds = [pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds], ["pattern", "word", "instance", "seed", "n"])
 
     for batch in batches:
         for text in batch.column(0).to_pylist():
             edges.update(tuples(text))
-            words.update(text.split())
-        if len(edges) + len(words) > MOST_COUNTED:
+        if len(edges) > MOST_COUNTED:
             yield told()
     yield told()
 
 
+def _seen(cues: Broadcast | None):
+    """How often each cue occurs; without a set of cues, each word that could be one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counted: Counter = Counter()
+        wanted = None if cues is None else cues.value
+
+        def told() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(counted), pa.string()), pa.array(list(counted.values()), pa.int64())], ["cue", "n"])
+            counted.clear()
+            return out
+
+        for batch in batches:
+            words: Counter = Counter()
+            for text in batch.column(0).to_pylist():
+                words.update(text.split())
+            for word, n in words.items():
+                cue = word.lower()
+                if cue in wanted if wanted is not None else CUE.match(word):
+                    counted[cue] += n
+            if len(counted) > MOST_COUNTED:
+                yield told()
+        yield told()
+
+    return run
+
+
+def cue_counts(docs: DataFrame, cues: DataFrame) -> DataFrame:
+    """(cue, seen): how often each of cues (cue: distinct) occurs in all documents. A set of at most BROADCAST_ROWS cues
+    is broadcast, and only they are counted; beside more of them all words that could be cues are counted and joined."""
+    few = cues.count() <= BROADCAST_ROWS
+    wanted = docs.sparkSession.sparkContext.broadcast(frozenset(r.cue for r in cues.collect())) if few else None
+    counted = docs.where("length(text) > 0").select("text").mapInArrow(_seen(wanted), "cue string, n long").groupBy("cue").agg(F.sum("n").alias("seen"))
+    return counted if few else counted.join(cues, "cue", "left_semi")
+
+
 def learn_patterns(docs: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAST_SEEDS, least_confidence: float = LEAST_CONFIDENCE) -> DataFrame:
     """(pattern, confidence) of the patterns that the graph of all documents makes sure.
 
     A pattern needs least_seeds different instances that are seeds or trusted. All sums are formed before they are shuffled; instances stay in the graph
-    by their hash.
+    by their hash. Null and empty texts tell nothing; repeated rows count as often as they occur, but an instance is one.
     """
     small_batches(docs.sparkSession)
-    made = written(docs.where("length(text) > 0").select("text").mapInArrow(_graph, TUPLE), "graph")
-    edges = made.where("kind = 'edge'").groupBy("pattern", "word", F.xxhash64("instance").alias("instance")).agg(F.max("seed").alias("seed"), F.sum("n").alias("n"))
+    edges = docs.where("length(text) > 0").select("text").mapInArrow(_graph, "pattern string, word string, instance string, seed boolean, n long")
+    edges = edges.groupBy("pattern", "word", F.xxhash64("instance").alias("instance")).agg(F.max("seed").alias("seed"), F.sum("n").alias("n"))
     edges = written(edges, "edges")
-    seen = made.where("kind = 'word'").groupBy(F.lower("word").alias("cue")).agg(F.sum("n").alias("seen"))
-    # a cue is needed only if it has an edge; its own occurrences give the share that has an identifier beside it
-    cues = edges.groupBy("word").agg(F.sum("n").alias("beside")).withColumn("cue", F.substring_index("word", " ", -1))
-    share = written(cues.join(seen, "cue", "left").select("word", F.least(F.lit(1.0), F.col("beside") / F.coalesce("seen", "beside")).alias("share")), "cues")
+    # a cue's own occurrences give the share that has an identifier beside it
+    beside = written(edges.groupBy("word").agg(F.sum("n").alias("beside")).withColumn("cue", F.substring_index("word", " ", -1)), "beside")
+    seen = cue_counts(docs, beside.select("cue").distinct())
+    share = beside.join(seen, "cue", "left").select("word", F.least(F.lit(1.0), F.col("beside") / F.coalesce("seen", "beside")).alias("share"))
     rated = written(edges.join(share, "word"), "rated")
     trust = rated.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("trust"))
     seeds = trust.where("trust = 1").select("instance")
@@ -123,10 +156,9 @@ def learn_patterns(docs: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEA
             F.sum("trust").alias("sum"), F.count("*").alias("n"), F.max("share").alias("share"), F.count_if(F.col("trust") >= least_confidence).alias("seeds")
         )
         sums = written(sums.withColumn("shape", F.expr("substring(pattern, length(word) + 2)")), "sums")
-        by_word = sums.groupBy("word").agg((F.sum("sum") / F.sum("n")).alias("of_word"))
-        both = written(sums.join(by_word, "word"), "words")
+        both = sums.join(sums.groupBy("word").agg((F.sum("sum") / F.sum("n")).alias("of_word")), "word")
         by_shape = both.groupBy("shape").agg((F.sum(F.col("of_word") * F.col("n")) / F.sum("n")).alias("of_shape"))
-        confidence = F.greatest(F.col("sum") / F.col("n"), F.col("of_word") * F.col("of_shape")) * F.col("share")
+        confidence = F.greatest(F.col("sum") / F.col("n"), F.sqrt(F.col("of_word") * F.col("of_shape"))) * F.col("share")
         patterns = written(both.join(by_shape, "shape").select("pattern", confidence.alias("confidence"), "seeds"), "patterns")
         trust = rated.join(patterns, "pattern").groupBy("instance").agg(F.max("confidence").alias("trust"))
         trust = written(trust.join(seeds.withColumn("seed", F.lit(1.0)), "instance", "left").select("instance", F.coalesce("seed", "trust").alias("trust")), "trust")
@@ -169,8 +201,10 @@ def _extract_own(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Ar
 def find_private(docs: DataFrame, patterns: DataFrame | None = None, most_shared: int = MOST_SHARED) -> DataFrame:
     """A row per row of docs (text needed): row (struct of its columns), found (struct of the counts, base and spans:
     kind:start:end, comma-joined). Base spans stay; a span of kind context is added where a sure pattern stands beside
-    an identifier that no base span meets. Null and empty texts have no spans. patterns: as from learn_patterns(),
-    by default learnt from docs; at most most_shared are broadcast, more are joined with those that the texts hold.
+    an identifier that no base span meets. Null and empty texts have no spans; texts are read whole in linear time at any
+    length; repeated rows each get their spans, an empty table none, and extra columns of any name stay inside row.
+    patterns: as from learn_patterns(), by default learnt from docs; at most most_shared are broadcast, more are joined
+    with those that the texts hold. Spans that start at one place are listed in the order of KINDS.
     """
     small_batches(docs.sparkSession)
     known = written((learn_patterns(docs) if patterns is None else patterns).select("pattern").distinct(), "known")
