@@ -100,4 +100,24 @@ k AS (SELECT source, key, sum(size) AS ks, sum(sum(size)) OVER (PARTITION BY sou
 SELECT doc_id, size, source_size, target, (epochs * size + CASE WHEN upto <= rest THEN size WHEN upto - ks >= rest THEN 0 ELSE floor(size * (rest - (upto - ks)) / ks) END)::BIGINT AS taken
 FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source JOIN k ON k.source IS NOT DISTINCT FROM d.source AND k.key = d.key"""
 
-ORACLE_SQL: dict[str, str] = {"op3_chat_format": OP3_SQL, "op6_decontaminate": OP6_SQL, "op9_mixing": OP9_SQL}
+_FENCES = ", ".join(f"('{m}', {reach}::DOUBLE, {least}::DOUBLE, {m in quality_rules.ONE_SIDED})" for m, (reach, least) in quality_rules.MEASURES.items())
+_QUARTILES = "SELECT {keys}, measure, max(total) AS n, min(bucket) FILTER (upto * 4 >= total) AS q1, min(bucket) FILTER (upto * 4 >= total * 3) AS q3 FROM (SELECT *, sum(n) OVER (PARTITION BY {keys}, measure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {keys}, measure) AS total FROM (SELECT {keys}, measure, bucket, count(*) AS n FROM b WHERE NOT base_failed GROUP BY ALL)) GROUP BY ALL"
+_HALF = quality_rules.HALF_WEIGHT
+OP5_SQL = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+w AS (SELECT r, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS win FROM (SELECT r, ws, unnest(generate_series(1, len(ws) - 2)) AS i FROM d WHERE len(ws) > 2)),
+again AS (SELECT r, i FROM (SELECT *, count(*) OVER (PARTITION BY r, win) AS k FROM w) WHERE k > 1),
+rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY r),
+lines AS (SELECT r, count(*) AS n, count(*) - count(DISTINCT l) AS dup FROM (SELECT r, unnest(string_split(text, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]') GROUP BY r),
+m AS (SELECT d.r, doc_id, lang, source, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+  coalesce(lines.n, 0) AS n_lines, coalesce(dup, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN rep USING (r) LEFT JOIN lines USING (r)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+b AS (SELECT r, lang, source, base_failed, measure, floor(ln(x) * {quality_rules.BUCKETS})::BIGINT AS bucket FROM (SELECT r, lang, source, base_failed, unnest(['symbols', 'dup_lines', 'repeats', 'chars_per_word']) AS measure,
+  unnest([(n_symbols + 1)::DOUBLE / (n_words + 1), (n_dup_lines + 1)::DOUBLE / (n_lines + 1), (n_repeat_words + 1)::DOUBLE / (n_words + 1), greatest(word_chars, 1)::DOUBLE / greatest(n_words, 1)]) AS x FROM f)),
+g AS ({_QUARTILES.format(keys="lang, source")}), l AS ({_QUARTILES.format(keys="lang")}), o AS ({_QUARTILES.format(keys="1")}),
+q AS (SELECT g.lang, g.source, g.measure, (g.n * g.q1 + {_HALF} * ((l.n * l.q1 + {_HALF} * o.q1)::DOUBLE / (l.n + {_HALF}))) / (g.n + {_HALF}) AS q1, (g.n * g.q3 + {_HALF} * ((l.n * l.q3 + {_HALF} * o.q3)::DOUBLE / (l.n + {_HALF}))) / (g.n + {_HALF}) AS q3
+  FROM g JOIN l ON g.lang IS NOT DISTINCT FROM l.lang AND g.measure = l.measure JOIN o ON g.measure = o.measure),
+t AS (SELECT lang, source, q.measure, CASE WHEN one_sided THEN -1e9 ELSE q1 - greatest(q3 - q1, least_) * reach END AS low, q3 + greatest(q3 - q1, least_) * reach AS high FROM q JOIN (VALUES {_FENCES}) v(measure, reach, least_, one_sided) ON q.measure = v.measure),
+k AS (SELECT b.r, bool_and(bucket BETWEEN low AND high) AS within FROM b JOIN t ON b.lang IS NOT DISTINCT FROM t.lang AND b.source IS NOT DISTINCT FROM t.source AND b.measure = t.measure GROUP BY b.r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(within, true) AS kept FROM f LEFT JOIN k USING (r)"""
+
+ORACLE_SQL: dict[str, str] = {"op3_chat_format": OP3_SQL, "op5_quality_rules": OP5_SQL, "op6_decontaminate": OP6_SQL, "op9_mixing": OP9_SQL}

@@ -168,12 +168,79 @@ def test_rules_on_hard_rows(hard, clashing, empty):
     assert quality_rules.quality_rules(empty).count() == 0
 
 
+def plain_kept(rows):
+    """Verdicts of (text, lang, source) rows by sorted lists of logarithms."""
+    counts = [plain_rules(t) for t, *_ in rows]
+    n_lines = [sum(1 for x in (t or "").split("\n") if WORD.search(x)) for t, *_ in rows]
+    values = [{k: math.floor(math.log(v) * 100) for k, v in {"symbols": (s + 1) / (n + 1), "dup_lines": (d + 1) / (ln + 1), "repeats": (r + 1) / (n + 1), "chars_per_word": max(c, 1) / max(n, 1)}.items()} for (n, c, s, d, r), ln in zip(counts, n_lines)]
+    fine = [n >= 50 and 100 * r <= 50 * n for n, *_, r in counts]
+    levels = [(lambda x: x[1:], 1), (lambda x: x[1], 1), (lambda x: None, 0)]
+
+    def quartile(i, m, level, q):
+        own = sorted(v[m] for v, ok, row in zip(values, fine, rows) if ok and levels[level][0](row) == levels[level][0](rows[i]))
+        return len(own), own[-(-len(own) * q // 4) - 1]
+
+    out = []
+    for i, ok in enumerate(fine):
+        for m, (reach, least) in quality_rules.MEASURES.items():
+            if not ok:
+                break
+            ends = []
+            for q in (1, 3):
+                at = None
+                for level in (2, 1, 0):
+                    n, own = quartile(i, m, level, q)
+                    at = own if at is None else (n * own + quality_rules.HALF_WEIGHT * at) / (n + quality_rules.HALF_WEIGHT)
+                ends.append(at)
+            width = max(ends[1] - ends[0], least) * reach
+            ok = values[i][m] <= ends[1] + width and (m in quality_rules.ONE_SIDED or values[i][m] >= ends[0] - width)
+        out.append(ok)
+    return out
+
+
+def test_verdicts_against_plain_python_and_partitionings(spark, documents):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(2, 9)))
+    rows = [(r.text, r.lang, r.source) for r in documents.collect()]
+    rows += [(" ".join(word() + ("|" if rng.random() < 0.4 else "") for _ in range(60)), "en", f"src{i % 3}") for i in range(30)] + [("x" * 900 + " y" * 60, None, None), (" ".join(["a b c d e f g h i j k l"] * 4) + " z" * 60, None, None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    want = dict(enumerate(plain_kept(rows)))
+    assert 10 < sum(not k for k in want.values()) < len(rows) // 2
+    for dealt in (df, df.repartition(7), df.coalesce(1)):
+        assert {r.row.doc_id: r.kept for r in quality_rules.quality_rules(dealt).collect()} == want
+
+
+def test_repeats_are_counted_alike_by_search_and_by_sort(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choices("abcdefghij"[: rng.randint(2, 10)], k=rng.randint(0, 300)))) for i in range(60)]
+    df = spark.createDataFrame([(*r, "en", "s") for r in rows], "doc_id long, text string, lang string, source string")
+    for few in (0, 5, 10**6):
+        monkeypatch.setattr(quality_rules, "FEW_REPEATED", few)
+        assert {r.row.doc_id: r.n_repeat_words for r in quality_rules.quality_rules(df).collect()} == {i: plain_rules(t)[4] for i, t in rows}
+
+
 def test_rules_follow_their_group(spark):
     rng = random.Random(6)
     text = lambda extra: " ".join("".join(rng.choices("abcdefgh", k=5)) + ("|" if rng.random() < extra else "") for _ in range(80))
-    rows = [(i, text(0.5), "en", "tables") for i in range(200)] + [(1000 + i, text(0.0), "en", "prose") for i in range(200)] + [(2000, text(0.5), "en", "prose")]
+    rows = [(i, text(0.5), "en", "tables") for i in range(200)] + [(1000 + i, text(0.0), "en", "prose") for i in range(200)] + [(2000, text(0.9), "en", "prose")]
+    limits = quality_rules.thresholds(rules_of(spark, rows)).collect()
+    high = {r.source: r.high_symbols for r in limits}
+    assert high["tables"] > high["prose"] + 50
     kept = {r.row.doc_id: r.kept for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
-    assert not kept[2000] and sum(kept.values()) == 400
+    assert sum(kept.values()) >= 400 and all(kept[i] for i in range(200))
+
+
+def rules_of(spark, rows):
+    rows = quality_rules.measured(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    return rows.select("row.lang", "row.source", *[x.alias(m) for m, x in quality_rules.buckets_of().items()])
+
+
+def test_good_labels_stay_and_bad_ones_go(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality_rules.quality_rules(docs).where("not base_failed").select("row.doc_id", "kept").join(labels, "doc_id").collect()
+    good, bad = ([r.kept for r in rows if r.quality == q] for q in (1, 0))
+    print("good kept", sum(good), "of", len(good), "bad kept", sum(bad), "of", len(bad))
+    assert sum(good) >= 0.995 * len(good) and sum(bad) <= 0.02 * len(bad)
 
 
 def plain_hits(text, items, size=10):
