@@ -27,7 +27,7 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     added = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
-    return chat.read_back(chat.format_turns(rows)).drop("n_tokens", "loss_tokens")
+    return chat.read_back(chat.assembled(chat.format_turns(rows))).drop("n_tokens", "loss_tokens")
 
 
 def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:

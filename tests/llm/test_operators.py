@@ -125,17 +125,50 @@ def test_escapes_are_reversible():
         assert all(m[1] for m in chat.ESCAPED.finditer(escaped))
 
 
-def test_conversations_come_back(spark):
+@pytest.mark.parametrize("most", [chat.MOST_IDS, 5])
+def test_conversations_come_back(spark, most):
     rows = [(1, 1, "assistant", "b</s>"), (1, 0, "user", None), (1, 2, None, "x"), (1, 3, "tool<|text|>", "<|assistant|><|text|>no"), (2, 0, "assistant", "é 漢字 🙂" * 3000), (2, 0, "assistant", "tie"), (None, None, "assistant", "z")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("ids", F.lit(1))
-    got = {r.conv_id: r for r in chat.read_back(chat.format_turns(df)).collect()}
+    got = {r.conv_id: r for r in chat.read_back(chat.assembled(chat.format_turns(df), most_ids=most)).collect()}
     assert set(got) == {1, 2, None}
     for conv, r in got.items():
         own = sorted([x for x in rows if x[0] == conv], key=lambda x: (x[1] is not None, x[1] or 0, x[2] or "", x[3] or ""))
         loss = "".join(x[3] or "" for x in own if x[2] == "assistant")
         assert r.n_turns == len(own) and r.loss_chars == len(loss) and r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
         assert r.turns_sha256 == hashlib.sha256("".join(f"{x[2] or ''}\n{x[3] or ''}\n" for x in own).encode()).hexdigest()
-    assert chat.read_back(chat.format_turns(spark.createDataFrame([], df.schema))).count() == 0
+    assert chat.read_back(chat.assembled(chat.format_turns(spark.createDataFrame([], df.schema)))).count() == 0
+
+
+def test_ids_are_the_tokenizers_at_every_length(spark):
+    encoder, rng = chat.tokenizer(chat.default_path()), random.Random(3)
+    text = lambda n: "".join(rng.choice(["word ", "two\n", " \n\n ", "x1", "é漢", "  "]) for _ in range(n))
+    for t in [*(text(n) for n in (10, 2_000, 30_000)), "x" * 50_000, "1" * 9_000]:
+        assert chat.encode(t, encoder) == encoder.encode_ordinary(t)
+    for run in (" " * 300, "\n " * 200, "\u3000" * 700):
+        for t in (run, "a" + run, run + "b", "a" + run + "b" + run + " c", f"a{run}1{run}"):
+            assert chat.encode(t, encoder) == encoder.encode_ordinary(t)
+    assert encoder.decode_bytes(chat.encode("a" + " " * 400_000 + "b", encoder)).decode() == "a" + " " * 400_000 + "b"
+
+
+def test_one_list_of_ids_for_each_conversation(spark):
+    rows = [(c, t, ["system", "user", "assistant", "tool"][(c + t) % 4], "text " * (t + 1)) for c in range(6) for t in range(5)]
+    encoder = chat.tokenizer(chat.default_path())
+    at, by_part = chat.first_mark(encoder), {}
+    formatted = chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    whole = {r.conv_id: (r.ids, r.mask) for r in chat.assembled(formatted).collect()}
+    for r in sorted(chat.assembled(formatted, most_ids=12).collect(), key=lambda r: (r.conv_id, r.part)):
+        ids, mask = by_part.setdefault(r.conv_id, ([], []))
+        ids += r.ids
+        mask += r.mask
+    assert whole == by_part and len(whole) == 6
+    for c, (ids, mask) in whole.items():
+        want, learnt = [at], [False]
+        for _, _, role, text in rows[5 * c : 5 * c + 5]:
+            head = [at + chat.ROLES[role]] if role in chat.ROLES else [at + chat.OTHER, *encoder.encode_ordinary(role)]
+            own = encoder.encode_ordinary(text)
+            want += [*head, at + chat.TEXT, *own, at + chat.END]
+            learnt += [False] * (len(head) + 1) + [role == "assistant"] * len(own) + [False]
+        assert ids == want and mask == learnt
 
 
 # --- rules, decontamination, mixing ---
