@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagewright.llm import attention, chat, decontaminate, langid, lm, mixing, pii, quality_model, quality_rules, queries, secrets, spans
+from pagewright.llm import attention, chat, common, decontaminate, langid, lm, mixing, pii, quality_model, quality_rules, queries, secrets, spans
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -288,12 +288,14 @@ def plain_hits(text, items, size=10):
     return len(words), len(hit), sorted(ids)
 
 
-@pytest.mark.parametrize("block", [10**9, 1500])
-def test_decontamination(spark, documents, clashing, block):
+@pytest.mark.parametrize("shared", [10**5, 0])
+def test_decontamination(spark, documents, clashing, shared, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", shared)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", shared)
     items = spark.read.parquet(f"{SF}/benchmark.parquet").unionByName(spark.createDataFrame([(-1, "Lonely WORDS without"), (-2, None), (None, "one two three"), (-3, " .. "), (-4, "word word")], "item_id long, text string"))
     plain_items = [(r.item_id, r.text) for r in items.collect() if r.item_id is not None and r.text]
     docs = documents.select("doc_id", "text").limit(60).unionByName(clashing.select("doc_id", "text").where("doc_id <> 7 or doc_id is null"))
-    rows = decontaminate.decontaminate(docs, items, block_chars=block).collect()
+    rows = decontaminate.decontaminate(docs, items).collect()
     assert len(rows) == docs.count()
     for r in rows:
         assert (r.n_words, r.n_hit, list(r.items)) == plain_hits(r.row.text, plain_items) and r.contaminated == (r.n_hit > 0)
@@ -307,6 +309,16 @@ def test_decontamination_of_long_and_no_rows(spark, hard, empty):
     assert not any(r.contaminated for r in decontaminate.decontaminate(hard, items.where("false")).collect())
 
 
+def test_windows_that_overlap_repeat_and_share_words(spark):
+    rng = random.Random(17)
+    text = lambda n: " ".join(rng.choice("abc") for _ in range(n))
+    items = [(i % 25, text(rng.choice([1, 3, 9, 10, 11, 25]))) for i in range(30)]
+    rows = [(i, text(rng.randint(0, 60))) for i in range(150)] + [(1000 + i, f"zz {items[3][1]} yy") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in decontaminate.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string")).collect():
+        assert (r.n_words, r.n_hit, list(r.items)) == plain_hits(r.row.text, items)
+
+
 def test_mixing(spark, documents, clashing, empty):
     docs = documents.select("doc_id", "text", "source").unionByName(clashing.select("doc_id", "text", "source"))
     rows = mixing.mix(docs).collect()
