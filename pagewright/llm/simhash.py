@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, small_batches, written
-from .components import connected_components
+from .components import Forest, connected_components
 
 SEED = 42
 #: Shingles hashed at a time; bounds the memory that one text takes.
@@ -146,29 +146,6 @@ def _variants(segments: int, cuts: int, with_values: bool):
     return run
 
 
-class Forest:
-    """Union-find over fingerprints; join() says whether two trees met."""
-
-    def __init__(self) -> None:
-        self.up: dict[int, int] = {}
-
-    def root(self, x: int) -> int:
-        up = self.up
-        while (y := up.get(x, x)) != x:
-            up[x] = up.get(y, y)
-            x = y
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.root(a), self.root(b)
-        if a == b:
-            return False
-        if a > b:
-            a, b = b, a
-        self.up[b] = a
-        return True
-
-
 def near(fp: np.ndarray, at: np.ndarray, bits: int) -> np.ndarray:
     return np.bitwise_count(fp ^ at) <= bits
 

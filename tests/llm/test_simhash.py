@@ -3,7 +3,7 @@ import random
 import pytest
 import xxhash
 
-from pagewright.llm import similar, simhash
+from pagewright.llm import components, similar, simhash
 
 
 def plain_fingerprint(text, k):
@@ -87,7 +87,7 @@ def test_known_trees_are_not_linked_again(spark):
 def test_crowded_buckets_lose_no_link(spark, most, bits):
     fps = near_fingerprints(14, most)
     df = spark.createDataFrame([(signed(f), signed(f)) for f in fps], "fp long, root long")
-    forest = simhash.Forest()
+    forest = components.Forest()
     for r in simhash.links_within(df, bits, most_in_bucket=most).collect():
         a, b = r.a % 2**64, r.b % 2**64
         assert (a ^ b).bit_count() <= bits
@@ -126,7 +126,7 @@ def plain_similar(texts, least=0.8):
     for i, s in enumerate(sets):
         for x in s or {()}:
             owners.setdefault(x, []).append(i)
-    forest, met = simhash.Forest(), set()
+    forest, met = components.Forest(), set()
     for own in owners.values():
         met |= {(a, b) for k, a in enumerate(own) for b in own[k + 1 :]}
     for a, b in met:
@@ -175,3 +175,19 @@ def test_a_crowd_of_near_copies_stays_few_rows(spark):
     docs = spark.createDataFrame(list(enumerate([*near, *far])), "doc_id long, text string")
     kept = {r.doc_id for r in similar.without_duplicates(docs).collect()}
     assert len(kept & set(range(400))) == 1 and len(kept) > 390
+
+
+@pytest.mark.parametrize("chunk", [1 << 19, 3])
+def test_components_of_chains_stars_and_loops(spark, monkeypatch, chunk):
+    monkeypatch.setattr(components, "CHUNK", chunk)
+    rng = random.Random(2)
+    links = [(i, i + 1) for i in range(100, 160)] + [(500, i) for i in range(501, 560)] + [(7, 7), (9, 8), (8, 9), (9, 8)] + [(rng.randrange(1000, 1200), rng.randrange(1000, 1200)) for _ in range(120)]
+    rng.shuffle(links)
+    forest = components.Forest()
+    for a, b in links:
+        forest.join(a, b)
+    want = {x: forest.root(x) for a, b in links for x in (a, b) if a != b}
+    df = spark.createDataFrame(links, "a long, b long").repartition(5)
+    got = components.connected_components(df).collect()
+    assert {r.node: r.root for r in got} == want and len(got) == len(want)
+    assert components.connected_components(df.where("false")).count() == 0
