@@ -1,32 +1,33 @@
 """Quality classifier by co-training.
 
 Two views of a document: the content of its text, and its metadata (source, language, length). A logistic model of each
-view starts from labelled rows. Round after round each labels the unlabelled rows that it is surest of, for the other
-view to learn from. Both are calibrated on labelled rows that neither has seen, together with the weights that combine
-them; the combination scores every document. The models are fitted on bounded samples, which are parameters.
+view starts from labelled rows. Round after round each scores all documents and labels those that it is surest of, for
+the other view to learn from. Both are calibrated on labelled rows that neither has seen, together with the weights that
+combine them; the combination scores every document. The models are fitted on the driver, on a bounded sample of labelled
+rows and on what the rounds hand over; both bounds are parameters.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, least_marks, small_batches
+from .common import BROADCAST_ROWS, least_marks, small_batches, written
 
-#: Rows of labels, and unlabelled rows, that the models are fitted on: those of least hash.
+#: Rows of labels that the models are fitted on, by least hash within each class; a class of few rows has a share at least.
 LABELLED = 4_000
-UNLABELLED = 4_000
+LEAST_SHARE = 0.1
 TEXT_SLOTS = 2_048
 META_SLOTS = 512
 ROUNDS = 4
-#: Unlabelled rows that a view hands over in a round, and how sure it must be of each.
+#: Documents that a view hands over in a round, and how sure it must be of each.
 HANDED = 400
 SURE = 0.95
 STEPS = 150
@@ -34,18 +35,31 @@ SYMBOLS = b"#*$%&|<>{}[]@^~\\/_=+"
 DIGITS = b"0123456789"
 CAPITALS = bytes(range(65, 91))
 STATS = 8
-FEATURES = "doc_id {}, slots array<int>, shares array<float>, stats array<float>, meta array<int>"
+#: Words whose slots a task remembers.
+MOST_KEPT = 400_000
+VIEWS = ["text", "source", "lang", "n_chars"]
+FEATURES = "mark long, y double, slots array<int>, shares array<float>, stats array<float>, meta array<int>"
 RESULT = "score_text double, score_meta double, score double, kept boolean"
 RESULT_TYPE = pa.struct([("score_text", pa.float64()), ("score_meta", pa.float64()), ("score", pa.float64()), ("kept", pa.bool_())])
 
 
-def text_view(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+class Slots(dict):
+    """Slots of words, remembered; emptied when it grows too large."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > MOST_KEPT:
+            self.clear()
+        self[word] = slot = zlib.crc32(word) % TEXT_SLOTS
+        return slot
+
+
+def text_view(text: str | None, slot_of: Slots) -> tuple[np.ndarray, np.ndarray]:
     """(slot of each word, statistics). Each statistic is a share or a bounded logarithm."""
     data = (text or "").encode()
     words = data.lower().split()
     n, size = max(1, len(words)), max(1, len(data))
     lines = [x for x in data.split(b"\n") if x.strip()]
-    slots = np.array([zlib.crc32(w) for w in words], np.int64) % TEXT_SLOTS
+    slots = np.fromiter(map(slot_of.__getitem__, words), np.int64, len(words))
     stats = [
         min(np.log1p(len(words)) / 10, 1.5), min(size / n / 20, 2.0), (size - len(data.translate(None, SYMBOLS))) / size * 5, (size - len(data.translate(None, DIGITS))) / size * 5,
         (size - len(data.translate(None, CAPITALS))) / size * 5, len(set(words)) / n, 1 - len(set(lines)) / max(1, len(lines)), min(size / max(1, len(lines)) / 1000, 2.0),
@@ -61,15 +75,17 @@ def meta_view(source: str | None, lang: str | None, n_chars: int | None) -> list
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(mark, y, text, source, lang, n_chars) to FEATURES."""
+    slot_of = Slots()
     for batch in batches:
         rows: list[list] = [[], [], [], []]
-        for text, source, lang, n_chars in zip(*(batch.column(i).to_pylist() for i in range(1, 5))):
-            slots, stats = text_view(text)
+        for text, source, lang, n_chars in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
+            slots, stats = text_view(text, slot_of)
             kinds, counts = np.unique(slots, return_counts=True)
             for column, x in zip(rows, (kinds.astype(np.int32), (counts / max(1, len(slots))).astype(np.float32), stats, meta_view(source, lang, n_chars))):
                 column.append(x)
         kinds = [pa.list_(pa.int32()), pa.list_(pa.float32()), pa.list_(pa.float32()), pa.list_(pa.int32())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(rows, kinds))], ["doc_id", "slots", "shares", "stats", "meta"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(rows, kinds))], ["mark", "y", "slots", "shares", "stats", "meta"])
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -94,13 +110,23 @@ def logits(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return x @ w[:-1] + w[-1]
 
 
+@dataclass
+class Rows:
+    """Rows of both views on the driver: matrices, and the label of each (nan where it has none yet)."""
+
+    text: np.ndarray
+    meta: np.ndarray
+    y: np.ndarray
+    mark: np.ndarray
+
+
 @dataclass
 class Model:
     text: np.ndarray
     meta: np.ndarray
     text_scale: tuple[float, float]
     meta_scale: tuple[float, float]
-    joint: tuple[float, float, float]
+    joint: tuple[float, float, float] = field(default=(0.0, 0.0, 0.0))
 
 
 def calibrate(z: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -114,92 +140,165 @@ def calibrate(z: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, handed: int = HANDED) -> Model:
-    """y: 1, 0, or nan for unlabelled rows. Every fourth labelled row is kept for calibration."""
-    known, pool = np.flatnonzero(~np.isnan(y)), np.flatnonzero(np.isnan(y))
-    held, base = known[::4], np.setdiff1d(known, known[::4])
-    views = [text, meta]
-    rows, aims = [base, base], [y[base], y[base]]
-    weights = [fit(v[base], y[base]) for v in views]
+#: The views' lists of a round, in order: what text takes for good, what for bad, and the same of the metadata.
+LISTS = 4
+
+
+def sizes(handed: int, share: float) -> list[int]:
+    good = int(handed * share)
+    return [good, handed - good] * 2
+
+
+def co_train(known: Rows, pick: Callable[[Model, list[int], set[int]], list[Rows]], rounds: int = ROUNDS, handed: int = HANDED) -> Model:
+    """known: labelled rows, of which every fourth is kept for calibration. pick(model, sizes, taken) gives the LISTS of rows
+    that the views are surest of, none with a mark in taken."""
+    held = np.arange(len(known.y)) % 4 == 0
+    views, y = [known.text, known.meta], known.y
+    learnt = [[v[~held]] for v in views]
+    aims = [[y[~held]] for _ in views]
+    weights = [fit(v[~held], y[~held]) for v in views]
+    taken = set(known.mark.tolist())
+    # how sure a view is counts by its calibrated probabilities, so a view that tells little hands over nothing
+    scaled = lambda: [tuple(calibrate(logits(v[held], w)[:, None], y[held])) for v, w in zip(views, weights)]
     for _ in range(rounds):
-        given = []
-        for view, w in zip(views, weights):
-            # how sure a view is counts by its calibrated probabilities, so a view that tells little hands over nothing
-            slope, constant = calibrate(logits(view[held], w)[:, None], y[held])
-            p = sigmoid(slope * logits(view[pool], w) + constant) if len(pool) else np.empty(0)
-            share = y[base].mean() if len(base) else 0.5
-            best = np.argsort(-p, kind="stable")[: int(handed * share)]
-            worst = np.argsort(p, kind="stable")[: handed - int(handed * share)]
-            best, worst = best[p[best] >= SURE], worst[p[worst] <= 1 - SURE]
-            given.append((np.concatenate([pool[best], pool[worst]]), np.concatenate([np.ones(len(best)), np.zeros(len(worst))])))
+        found = pick(Model(*weights, *scaled()), sizes(handed, float(y[~held].mean())), taken)
         for i in (0, 1):
-            new, aim = given[1 - i]
-            rows[i], aims[i] = np.concatenate([rows[i], new]), np.concatenate([aims[i], aim])
-            weights[i] = fit(views[i][rows[i]], aims[i], weights[i])
-        pool = np.setdiff1d(pool, np.concatenate([g for g, _ in given]))
-    z = [logits(v[held], w) for v, w in zip(views, weights)]
-    scales = [calibrate(a[:, None], y[held]) for a in z]
-    joint = calibrate(np.stack([scales[i][0] * z[i] + scales[i][1] for i in (0, 1)], 1), y[held])
-    return Model(weights[0], weights[1], tuple(scales[0]), tuple(scales[1]), tuple(joint))
-
-
-def samples(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text view, metadata view, label or nan) of the labelled ids and of the other ids with the least hashes. Of an id
-    with several labels the worst counts; null labels and ids are left out."""
-    mark = F.xxhash64(F.lit("co-training"), "doc_id").alias("mark")
-    marked = labels.where("quality is not null and doc_id is not null").select("doc_id", "quality", mark)
-    cut = max(least_marks(marked.select("mark"), labelled), default=-(2**63))
-    known = {r.doc_id: float(r.y > 0) for r in marked.where(F.col("mark") <= cut).groupBy("doc_id").agg(F.min("quality").alias("y")).collect()}
-    others = docs.where("doc_id is not null").select("doc_id", mark)
-    cut = max(least_marks(others.select("mark"), labelled + unlabelled), default=-(2**63))
-    ids = {r.doc_id for r in others.where(F.col("mark") <= cut).select("doc_id").distinct().collect()}
-    ids = known.keys() | set(sorted(ids - known.keys(), key=lambda i: zlib.crc32(str(i).encode()))[:unlabelled])
-    if len(ids) > BROADCAST_ROWS:
-        raise ValueError(f"the samples must have at most {BROADCAST_ROWS} rows")
-    kind = docs.schema["doc_id"].dataType
-    wanted = docs.sparkSession.createDataFrame([(i,) for i in sorted(ids)], f"doc_id {kind.simpleString()}")
-    picked = docs.select("doc_id", "text", "source", "lang", "n_chars").join(F.broadcast(wanted), "doc_id")
-    found = picked.mapInArrow(_features, FEATURES.format(kind.simpleString())).collect()
-    found.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id))
+            for k, rows in enumerate(found[2 * (1 - i) : 2 * (1 - i) + 2]):
+                learnt[i].append(rows.text if i == 0 else rows.meta)
+                aims[i].append(np.full(len(rows.mark), 1.0 - k))
+            weights[i] = fit(np.concatenate(learnt[i]), np.concatenate(aims[i]), weights[i])
+        taken |= {m for rows in found for m in rows.mark.tolist()}
+    scales = scaled()
+    z = [a * logits(v[held], w) + b for v, w, (a, b) in zip(views, weights, scales)]
+    return Model(*weights, *scales, tuple(calibrate(np.stack(z, 1), y[held])))
+
+
+def view_logits(text: str | None, source: str | None, lang: str | None, n_chars: int | None, m: Model, slot_of: Slots) -> tuple[float, float]:
+    """Calibrated logits of both views."""
+    slots, stats = text_view(text, slot_of)
+    z_text = (float(m.text[slots].mean()) if len(slots) else 0.0) + float(stats @ m.text[TEXT_SLOTS:-1]) + float(m.text[-1])
+    z_meta = float(m.meta[sorted(set(meta_view(source, lang, n_chars)))].sum() + m.meta[-1])
+    return m.text_scale[0] * z_text + m.text_scale[1], m.meta_scale[0] * z_meta + m.meta_scale[1]
+
+
+def surest(found: list[tuple[float, int]], most: int) -> list[tuple[float, int]]:
+    """The most greatest (sureness, mark) of different marks; ties go to the least mark."""
+    return sorted(set(found), key=lambda x: (-x[0], x[1]))[:most]
+
+
+def _surest(model: Broadcast, most: list[int], taken: Broadcast):
+    """(mark, text, source, lang, n_chars) to (list, sure, mark): of each list what a task is surest of."""
+    edge = float(np.log(SURE / (1 - SURE)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, slot_of, bar = model.value, Slots(), taken.value
+        lists: list[list[tuple[float, int]]] = [[] for _ in range(LISTS)]
+        for batch in batches:
+            for mark, *views in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if mark in bar:
+                    continue
+                a, b = view_logits(*views, m, slot_of)
+                for k, sure in enumerate((a, -a, b, -b)):
+                    if sure >= edge:
+                        lists[k].append((sure, mark))
+            lists = [surest(x, n) for x, n in zip(lists, most)]
+        out = [(k, *x) for k, own in enumerate(lists) for x in own]
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.float64(), pa.int64()))], ["list", "sure", "mark"])
+
+    return run
+
+
+def view_mark() -> Column:
+    """What a document is to the views: copies with the same metadata are one."""
+    return F.xxhash64(F.lit("co-training"), *VIEWS).alias("mark")
+
+
+def on_driver(rows: DataFrame) -> Rows:
+    """rows (mark, y and VIEWS; few) as matrices, each mark once, in the order of marks."""
+    found = {r.mark: r for r in rows.select("mark", "y", *VIEWS).mapInArrow(_features, FEATURES).collect()}
     text, meta = np.zeros((len(found), TEXT_SLOTS + STATS), np.float32), np.zeros((len(found), META_SLOTS), np.float32)
-    for i, r in enumerate(found):
+    for i, (_, r) in enumerate(sorted(found.items())):
         text[i, r.slots] = r.shares
         text[i, TEXT_SLOTS:] = r.stats
         meta[i, r.meta] = 1
-    return text, meta, np.array([known.get(r.doc_id, np.nan) for r in found])
-
-
-def judge(text: str | None, source: str | None, lang: str | None, n_chars: int | None, m: Model) -> dict:
-    slots, stats = text_view(text)
-    z_text = (float(m.text[slots].mean()) if len(slots) else 0.0) + float(stats @ m.text[TEXT_SLOTS:-1]) + float(m.text[-1])
-    z_meta = float(m.meta[sorted(set(meta_view(source, lang, n_chars)))].sum() + m.meta[-1])
-    a, b = m.text_scale[0] * z_text + m.text_scale[1], m.meta_scale[0] * z_meta + m.meta_scale[1]
+    return Rows(text, meta, np.array([found[k].y for k in sorted(found)], np.float64), np.array(sorted(found), np.int64))
+
+
+def marked_rows(docs: DataFrame, marks: list[int]) -> DataFrame:
+    """The rows of docs whose views have one of the marks (few)."""
+    wanted = docs.sparkSession.createDataFrame([(m,) for m in marks], "wanted long")
+    return docs.select(view_mark(), F.lit(None).cast("double").alias("y"), *VIEWS).join(F.broadcast(wanted), F.col("mark") == F.col("wanted"))
+
+
+def pick_from(docs: DataFrame) -> Callable[[Model, list[int], set[int]], list[Rows]]:
+    """pick() over all rows of docs: tasks keep what they are surest of, and of that each list's surest come to the driver."""
+
+    def pick(model: Model, most: list[int], taken: set[int]) -> list[Rows]:
+        sc = docs.sparkSession.sparkContext
+        run = _surest(sc.broadcast(model), most, sc.broadcast(frozenset(taken)))
+        found = written(docs.select(view_mark(), *VIEWS).mapInArrow(run, "list int, sure double, mark long"), "surest")
+        marks = [[r.mark for r in found.where(F.col("list") == k).groupBy("mark").agg(F.max("sure").alias("sure")).orderBy(F.desc("sure"), "mark").limit(n).collect()] for k, n in enumerate(most)]
+        rows = on_driver(marked_rows(docs, sorted({m for own in marks for m in own})))
+        at = {m: i for i, m in enumerate(rows.mark.tolist())}
+        index = [np.array([at[m] for m in own], np.int64) for own in marks]
+        return [Rows(rows.text[i], rows.meta[i], rows.y[i], rows.mark[i]) for i in index]
+
+    return pick
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> tuple[Rows, int, int]:
+    """Labelled rows of docs on the driver, and how many documents are good and bad. Of an id with several labels the worst
+    counts; null labels and ids, and labels of absent documents, are left out. Within each class the ids of least hash
+    are taken, in proportion to its size but LEAST_SHARE of the sample if it has as many."""
+    if labelled > BROADCAST_ROWS:
+        raise ValueError(f"the sample must have at most {BROADCAST_ROWS} rows")
+    told = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.min("quality") > 0).cast("int").alias("y"))
+    told = written(docs.where("doc_id is not null").select("doc_id").distinct().join(told, "doc_id").select("doc_id", "y", F.xxhash64(F.lit("co-training"), "doc_id").alias("mark")), "labelled")
+    count = {r.y: r.n for r in told.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    known: dict = {}
+    for y, n in count.items():
+        most = max(1, int(labelled * max(LEAST_SHARE, min(1 - LEAST_SHARE, n / sum(count.values())))))
+        of_class = told.where(F.col("y") == y)
+        cut = max(least_marks(of_class.select("mark"), most), default=-(2**63))
+        known |= {r.doc_id: float(y) for r in of_class.where(F.col("mark") <= cut).select("doc_id").collect()}
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    wanted = docs.sparkSession.createDataFrame(sorted(known.items()), f"doc_id {kind}, y double")
+    rows = docs.select("doc_id", view_mark(), *VIEWS).join(F.broadcast(wanted), "doc_id")
+    return on_driver(rows), count.get(1, 0), count.get(0, 0)
+
+
+def judge(text: str | None, source: str | None, lang: str | None, n_chars: int | None, m: Model, slot_of: Slots) -> dict:
+    a, b = view_logits(text, source, lang, n_chars, m, slot_of)
     score = float(sigmoid(m.joint[0] * np.clip(a, -20, 20) + m.joint[1] * np.clip(b, -20, 20) + m.joint[2]))
     return {"score_text": float(sigmoid(a)), "score_meta": float(sigmoid(b)), "score": score, "kept": score >= 0.5}
 
 
 def _judge(model: Broadcast):
     def run(columns: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        m = model.value
+        m, slot_of = model.value, Slots()
         for parts in columns:
-            yield pa.array([judge(*row, m) for row in zip(*(p.to_pylist() for p in parts))], RESULT_TYPE)
+            yield pa.array([judge(*row, m, slot_of) for row in zip(*(p.to_pylist() for p in parts))], RESULT_TYPE)
 
     return run
 
 
-def classify(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED, rounds: int = ROUNDS) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, handed: int = HANDED) -> DataFrame:
     """A row per row of docs (doc_id, text, source, lang, n_chars needed): row (struct of its columns), found (score_text and
     score_meta: calibrated probabilities of quality by each view; score: of both; kept: score of at least 0.5).
 
-    Learns from labels (doc_id, quality 0 or 1). Null and empty texts have no words; null metadata are values like others.
-    Without labels of both classes nothing can be learnt: an error says so, unless docs has no rows.
+    Learns from labels (doc_id, quality 0 or 1). Null and empty texts have no words; null metadata are values like others;
+    texts of any length are read whole. Rows that are alike to both views are learnt from once and all get the same score.
+    Where labels of both classes for documents that exist are lacking, nothing can be learnt: every score is the share of
+    good ones among the labels, (good + 1) / (all + 2). An empty table gives none; extra columns stay inside row.
     """
     small_batches(docs.sparkSession)
-    text, meta, y = samples(docs, labels, labelled, unlabelled)
-    classes = set(y[~np.isnan(y)])
-    if len(classes) < 2 and len(y):
-        raise ValueError("labels must hold both classes for documents that exist")
-    model = co_train(text, meta, y, rounds) if len(y) else Model(np.zeros(TEXT_SLOTS + STATS + 1), np.zeros(META_SLOTS + 1), (0.0, 0.0), (0.0, 0.0), (0.0, 0.0, 0.0))
+    views = docs.select("doc_id", *VIEWS)
+    known, good, bad = labelled_sample(views, labels, labelled)
+    if good and bad and len(set(known.y.tolist())) == 2:
+        model = co_train(known, pick_from(views), rounds, handed)
+    else:
+        prior = float(np.log((good + 1) / (bad + 1)))
+        model = Model(np.zeros(TEXT_SLOTS + STATS + 1), np.zeros(META_SLOTS + 1), (0.0, prior), (0.0, prior), (0.5, 0.5, 0.0))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    found = F.arrow_udf(_judge(shared), RESULT)(*[F.col(c) for c in ("text", "source", "lang", "n_chars")])
+    found = F.arrow_udf(_judge(shared), RESULT)(*[F.col(c) for c in VIEWS])
     return docs.select(F.struct("*").alias("row"), found.alias("found"))

@@ -372,8 +372,47 @@ def test_quality_model(spark, clashing, empty):
     assert sum(r.kept == (r.quality == 1) for r in rows) / len(rows) > 0.97 and all(0 <= r.score <= 1 for r in rows)
     some = spark.createDataFrame([(4, 1, 0), (7, 0, 0), (8, None, 0), (5, 1, 0), (5, 0, 1)], "doc_id long, quality int, toxic int")
     assert quality_model.classify(clashing, some).count() == clashing.count() and quality_model.classify(empty, some).count() == 0
-    with pytest.raises(ValueError):
-        quality_model.classify(clashing, some.where("false"))
+    again = {str(r.row.doc_id) + str(r.row.text): r.found for r in quality_model.classify(clashing, some).collect()}
+    assert all(again[str(r.row.doc_id) + str(r.row.text)] == r.found for r in quality_model.classify(clashing.repartition(3), some).collect())
+
+
+def test_quality_without_both_classes_is_the_prior(spark, hard):
+    for labels, want in ([], 0.5), ([(4, 1), (7, 1), (999, 0)], 0.75), ([(4, 0)], 1 / 3):
+        found = quality_model.classify(hard, spark.createDataFrame(labels, "doc_id long, quality int")).select("found.*").collect()
+        assert len(found) == hard.count() and all(math.isclose(x, want, rel_tol=1e-9) for r in found for x in (r.score, r.score_text, r.score_meta))
+
+
+def test_rounds_against_all_rows_in_memory(spark):
+    """The rounds with a plain search of all rows in memory give the same model."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    views = docs.unionByName(docs.limit(50)).select("doc_id", *quality_model.VIEWS)
+    known, good, bad = quality_model.labelled_sample(views, labels.where("doc_id % 3 = 0"))
+    assert good and bad and len(known.y) <= good + bad
+    everything = quality_model.on_driver(views.select(quality_model.view_mark(), F.lit(None).cast("double").alias("y"), *quality_model.VIEWS))
+    picked = []
+
+    def pick(model, most, taken):
+        z = [a * quality_model.logits(x.astype(np.float64), w) + b for x, w, (a, b) in ((everything.text, model.text, model.text_scale), (everything.meta, model.meta, model.meta_scale))]
+        out = []
+        for sure, n in zip((z[0], -z[0], z[1], -z[1]), most):
+            order = [i for i in np.lexsort((everything.mark, -sure)) if sure[i] >= math.log(19) and int(everything.mark[i]) not in taken][:n]
+            out.append(quality_model.Rows(everything.text[order], everything.meta[order], everything.y[order], everything.mark[order]))
+        picked.append([set(r.mark.tolist()) for r in out])
+        return out
+
+    plain, spread = [], quality_model.pick_from(views)
+
+    def both(model, most, taken):
+        found = spread(model, most, taken)
+        plain.append([set(r.mark.tolist()) for r in found])
+        pick(model, most, taken)
+        return found
+
+    quality_model.co_train(known, both, rounds=2, handed=40)
+    assert sum(map(len, plain[0])) > 20
+    for a, b in zip(plain, picked):
+        for x, y in zip(a, b):
+            assert len(x) == len(y) and len(x ^ y) <= 2  # sums in another order may swap what is equally sure
 
 
 def test_attention_gradients():
