@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +36,9 @@ RATES = (0.01, 0.007, 0.005, 0.003)
 SUMMERS = 8
 WORDS_AT_ONCE = 1 << 15
 LOG10 = 1 / math.log(10)
+TUNED = "task int, n long, w binary"
+#: Steps of counts for each factor of e, by which a bound for frequent words is found.
+STEPS = 16
 SCORED = "doc_id {}, n_tokens long, n_known long, base_score double, score double, rare array<binary>"
 
 
@@ -157,20 +160,22 @@ def _train(weights: Broadcast, rate: float, seed: int):
                 w = attention.train(w, x, t, rate, seed)
                 n += int((t >= 0).sum())
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([(attention.flat(w) * np.float32(n)).tobytes()], pa.binary())], ["n", "w"])
+            task = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([n], pa.int64()), pa.array([(attention.flat(w) * np.float32(n)).tobytes()], pa.binary())], ["task", "n", "w"])
 
     return run
 
 
 def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, n = None, 0
+    """Sums of weights in order of their tasks, so that reruns give the same digits."""
+    total, n, first = None, 0, None
     for batch in batches:
-        for k, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+        for task, k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
             part = np.frombuffer(raw.as_buffer(), np.float32)
-            total = part.astype(np.float64) if total is None else total + part
+            total, first = (part.astype(np.float64), task) if total is None else (total + part, first)
             n += k
     if n:
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["n", "w"])
+        yield pa.RecordBatch.from_arrays([pa.array([first], pa.int32()), pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["task", "n", "w"])
 
 
 def train_model(docs: DataFrame, counts: np.ndarray, path: str, rates: tuple[float, ...] = RATES) -> Weights:
@@ -189,8 +194,8 @@ def train_model(docs: DataFrame, counts: np.ndarray, path: str, rates: tuple[flo
     for r, rate in enumerate(rates):
         shared = spark.sparkContext.broadcast(now)
         part = marked.where(F.pmod(F.xxhash64("mark"), F.lit(len(rates))) == r).select("mark", encoded.alias("codes"))
-        tuned = part.repartition(n_tasks, "mark").sortWithinPartitions("mark").select("codes").mapInArrow(_train(shared, rate, r), "n long, w binary")
-        sums = tuned.repartition(SUMMERS).mapInArrow(_sum, "n long, w binary").collect()
+        tuned = part.repartition(n_tasks, "mark").sortWithinPartitions("mark").select("codes").mapInArrow(_train(shared, rate, r), TUNED)
+        sums = sorted(tuned.repartition(SUMMERS, "task").sortWithinPartitions("task").mapInArrow(_sum, TUNED).collect(), key=lambda s: s.task)
         if sums:
             now = (sum(np.frombuffer(s.w, np.float64) for s in sums) / sum(s.n for s in sums)).astype(np.float32)
     return attention.unflat(now)
@@ -284,22 +289,25 @@ def _score(path: str, model: Broadcast, known: Broadcast, unseen: float):
 
 
 def least_shared(words: DataFrame, most: int) -> int:
-    """The least count from which on there are at most ``most`` words. Counts of counts are few numbers."""
-    kinds = sorted(((r.n, r.k) for r in words.groupBy("n").agg(F.count("*").alias("k")).collect()), reverse=True)
-    total, least = 0, kinds[0][0] + 1 if kinds else 1
-    for n, k in kinds:
+    """The step from which on there are at most ``most`` words. Words are counted by the logarithm of their count, in STEPS
+    steps for each factor of e, so at most 700 numbers reach the driver."""
+    step = F.floor(F.log("n") * STEPS)
+    steps = sorted(((r.step, r.k) for r in words.groupBy(step.alias("step")).agg(F.count("*").alias("k")).collect()), reverse=True)
+    total, least = 0, steps[0][0] + 1 if steps else 1
+    for at, k in steps:
         total += k
         if total > most:
             break
-        least = n
+        least = at
     return least
 
 
 def score_documents(docs: DataFrame, path: str | None = None, rates: tuple[float, ...] = RATES, most_shared: int = MOST_SHARED) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs (doc_id, text needed).
 
-    Rows with crc32(doc_id) mod 7 = 2 are held out; all others are learnt from. A null or empty text has one token, its
-    end. base_score: add-one unigram over words; score: the model's log10 probability of the words' subword ids and the
+    Rows with crc32(doc_id) mod 7 = 2 are held out; all others are learnt from, repeated rows as often as they occur. A
+    null or empty text has one token, its end; a text of any length is scored whole, in windows; an empty table gives
+    none, and other columns are not read. base_score: add-one unigram over words; score: the model's log10 probability of the words' subword ids and the
     end. Counts of at most most_shared frequent words are broadcast; those of further words are joined by word. Without
     training rows every probability of the base is 1 and the model is untrained.
     """
@@ -310,7 +318,7 @@ def score_documents(docs: DataFrame, path: str | None = None, rates: tuple[float
     words = word_counts(training)
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     denominator = total + distinct + 1
-    frequent = words.where(F.col("n") >= least_shared(words, most_shared)).collect()
+    frequent = words.where(F.floor(F.log("n") * STEPS) >= least_shared(words, most_shared)).collect()
     known = {bytes(r.word): math.log10((r.n + 1) / denominator) for r in frequent}
     counts = id_counts(words, path)
     weights = train_model(training, counts, path, rates)

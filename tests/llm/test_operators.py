@@ -360,6 +360,33 @@ def test_language_ids(spark):
     assert sum(r.found.lang_pred == r.row.lang for r in rows) / len(rows) > 0.97
 
 
+def test_languages_against_plain_sizes(spark, documents):
+    """Predictions by compressing pieces with dictionaries, one after another."""
+    import zstandard
+
+    contents = langid.excerpts(documents)
+    found = {r.row.doc_id: r.found for r in langid.identify(documents).collect()}
+    for r in documents.collect():
+        data, size = (r.text or "").lower().encode(), {}
+        for lang, content in contents.items():
+            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            size[lang] = sum(len(zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress(data[i : i + langid.PIECE])) for i in range(0, len(data), langid.PIECE))
+        if not any(c.isalpha() for c in r.text or ""):
+            assert found[r.doc_id].lang_pred == "und"
+            continue
+        best = min(sorted(size), key=size.__getitem__)
+        margin = 1 - size[best] / sorted(size.values())[1]
+        assert found[r.doc_id].lang_pred == best and math.isclose(found[r.doc_id].score, margin / (margin + langid.MIN_MARGIN)) and found[r.doc_id].rejected == (margin < langid.MIN_MARGIN)
+
+
+def test_excerpts_come_from_rows_that_are_not_held_out(spark, documents):
+    own = [r for r in documents.collect() if r.lang and r.text and zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    for lang, content in langid.excerpts(documents).items():
+        texts = "\n".join(r.text.lower() for r in own if r.lang == lang)
+        pieces = content.decode().rstrip("\n")
+        assert pieces[:200] in texts and 0 < len(content) < 6 * langid.EXCERPTS * (langid.EXCERPT_CHARS + 1)
+
+
 def test_language_ids_of_hard_rows(spark, documents, clashing, empty):
     got = {r.row.doc_id: r.found for r in langid.identify(clashing, documents).collect()}
     assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (1, 2, 3)) and all(0 <= x.score <= 1 for x in got.values())
@@ -449,7 +476,7 @@ def test_attention_is_a_distribution_and_causal():
 
 @pytest.mark.parametrize("shared", [10**6, 50])
 def test_lm_scores(spark, documents, clashing, shared):
-    docs = documents.select("doc_id", "text").unionByName(clashing.select("doc_id", "text").where("doc_id < 7 or doc_id is null"))
+    docs = documents.select("doc_id", "text").unionByName(clashing.select("doc_id", "text"))
     rows = docs.collect()
     tokens = lambda t: [*(t or "").encode().lower().split(), b""]
     held = lambda i: zlib.crc32(str("" if i is None else i).encode()) % 7 == 2
@@ -462,6 +489,52 @@ def test_lm_scores(spark, documents, clashing, shared):
     assert lm.score_documents(docs.where("false")).count() == 0
 
 
+def plain_log10(w, codes, tail):
+    """log10 of the probability of a text's ids, position by position, by the model's definition in doubles."""
+    n, total = attention.CHUNK, 0.0
+    inputs = [attention.START, *codes[:-1].tolist()]
+    for i, goal in enumerate(codes.tolist()):
+        seen = range(max(0, (i // n - 1) * n), i + 1)
+        q = w["E"][inputs[i]] @ w["Q"] / math.sqrt(attention.WIDTH)
+        s = np.array([q @ (w["E"][inputs[j]] @ w["K"]) + w["r"][i - j] for j in seen])
+        p = np.exp(s - s.max())
+        h = w["E"][inputs[i]] + sum(x * (w["E"][inputs[j]] @ w["V"]) for x, j in zip(p / p.sum(), seen))
+        h = h + np.maximum(h @ w["A"] + w["a"], 0) @ w["B"]
+        kind = min(goal // attention.IN_CLASS, attention.CLASSES)
+        z = h @ w["U"] + w["u"]
+        total += z[kind] - np.log(np.exp(z).sum())
+        if kind < attention.CLASSES:
+            y = h @ w["O"][kind] + w["o"][kind]
+            total += y[goal % attention.IN_CLASS] - np.log(np.exp(y).sum())
+        else:
+            total += tail[i]
+    return total / math.log(10)
+
+
+def test_scores_against_a_plain_model(spark, documents):
+    docs = documents.select("doc_id", "text").where("doc_id < 40 and length(text) < 3000")
+    path = chat.default_path()
+    training = docs.where(~lm.held_out(F.col("doc_id")))
+    counts = lm.id_counts(lm.word_counts(training), path)
+    w = {k: v.astype(np.float64) for k, v in lm.train_model(training, counts, path, (0.01, 0.005)).items()}
+    again = {k: v.astype(np.float64) for k, v in lm.train_model(training.repartition(5), counts, path, (0.01, 0.005)).items()}
+    assert all((w[k] == again[k]).all() for k in w)  # the same digits whatever the partitions
+    codes, tail = lm.code_table(counts)
+    got = {r.doc_id: r.score for r in lm.score_documents(docs, rates=(0.01, 0.005)).collect()}
+    encoder = chat.tokenizer(path)
+    for r in docs.collect():
+        ids = np.array([i for x in (r.text or "").encode().lower().split() for i in encoder.encode_ordinary(" " + x.decode())] + [lm.END_ID])
+        assert math.isclose(got[r.doc_id], plain_log10(w, codes[ids], np.where(np.isfinite(tail[ids]), tail[ids], 0.0)), rel_tol=1e-4)
+
+
+def test_frequent_words_are_bounded(spark):
+    words = spark.createDataFrame([(f"w{i}".encode(), 1 + i // 3) for i in range(300)], "word binary, n long")
+    for most in (0, 5, 100, 1000):
+        step = lm.least_shared(words, most)
+        assert words.where(F.floor(F.log("n") * lm.STEPS) >= step).count() <= most
+    assert lm.least_shared(words, 1000) <= 0 and lm.least_shared(words.where("false"), 5) == 1
+
+
 def test_every_document_trains_the_attention_weights(spark, monkeypatch):
     monkeypatch.setattr(lm, "TASK_TOKENS", 10**12)
     counts = np.full(lm.VOCABULARY, 20_000)  # as of a corpus of a milliard ids
