@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,15 +21,50 @@ BATCH_ROWS = 512
 BROADCAST_ROWS = 100_000
 
 
+#: Paths of tables that the innermost scratch() removes, if there is one.
+_scratch: list[list[str]] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: lineage ends here, and a lost executor loses nothing of it."""
+    """df as a table in the shared folder: lineage ends here, and a lost executor loses nothing of it. The table goes with
+    the scratch() it is written in, or else when the process ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _scratch:
+        _scratch[-1].append(path)
+    else:
+        atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are removed at its end, so what is to last must be written outside by then."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            _remove(spark, path)
+
+
+def kept(make: Callable[[], DataFrame], spark: SparkSession, name: str) -> DataFrame:
+    """What make() gives, as a table in the shared folder; the tables that make() writes on the way are removed."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    with scratch(spark):
+        df = make()
+        df.write.parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(df: DataFrame) -> None:
+    """Removes the files of a table of kept() that nothing reads any more."""
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        _remove(df.sparkSession, folder)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     sc = spark.sparkContext
     if sc._jsc is not None and not sc._jsc.sc().isStopped():
@@ -36,7 +73,8 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keeps the Arrow batches of texts small; a smaller setting of the session stays."""
+    """Keeps the Arrow batches of texts small; a smaller setting of the session stays. Spark reads the setting when a plan
+    runs, after the operator has returned, so it can't be put back here."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key))
     if now <= 0 or now > BATCH_ROWS:

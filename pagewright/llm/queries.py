@@ -8,8 +8,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-
 from . import chat, decontaminate, langid, lm, mixing, pii, quality_model, quality_rules, secrets, simhash
 from .common import table
 
@@ -67,7 +65,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_secret_scan, op2_simhash, op3_chat_format, op4_quality_model, op5_quality_rules, op6_decontaminate, op7_pii, op8_lm_scores, op9_mixing, op10_language_id)
 }
-QUERIES["pipeline"] = corpus_pipeline.run
 
 #: As the template escapes: one backslash more before each control string with the backslashes before it.
 _CONTROL = "|".join(re.escape(c) for c in chat.CONTROL)

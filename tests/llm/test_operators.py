@@ -571,3 +571,50 @@ def test_pipeline(spark):
     mixed = corpus_pipeline.STAGES[-1][1](spark, seen, "/root/testdata/sf0.01")
     total = seen.select(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))).first()[0]
     assert abs(mixed.select(F.sum("mix_words")).first()[0] - 1.5 * total) < 100
+
+
+def test_stages_on_hard_clashing_and_empty_tables(spark, hard, clashing, empty):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    for name, stage in corpus_pipeline.STAGES:
+        plain, rows, none = (stage(spark, d, sf) for d in (hard, clashing, empty))
+        columns = hard.columns if name != "mixing" else [*hard.columns, "mix_epoch", "mix_words"]
+        text = lambda df: sorted((str(r.doc_id), str(r.text)) for r in df.collect())
+        assert plain.columns == columns and set(clashing.columns) <= set(rows.columns) and none.columns == columns
+        assert text(plain) == text(rows) and none.count() == 0
+        if name != "mixing":
+            assert rows.dtypes == clashing.dtypes and all(r.row == 0 and r.kept == 6 for r in rows.collect())
+    by = {name: sorted(str(r.doc_id) for r in stage(spark, hard, sf).collect()) for name, stage in corpus_pipeline.STAGES}
+    assert by["quality_rules"] == [] and by["near_duplicates"] == ["1", "4", "6", "7", "8", "None"]
+    assert by["decontamination"] == by["secret_scan"] == sorted(str(r.doc_id) for r in hard.collect())
+
+
+def test_run_leaves_only_the_last_table(spark, monkeypatch):
+    import os
+
+    import corpus_pipeline
+    from pagewright.shared import shared_folder
+
+    folder = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert rows.count() and {x.rpartition("-")[0] for x in set(os.listdir(folder)) - before} == {"mixing"}
+    assert common._scratch == []
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from pagewright.shared import shared_folder
+
+    given = {}
+    for master, fine in (("local[4]", True), ("local", True), ("local-cluster[3,2,1000]", False), ("spark://host:7077", False), ("yarn", False)):
+        sc = SimpleNamespace(master=master, getCheckpointDir=lambda: given.get("at"), setCheckpointDir=lambda x: given.update(at=x))
+        given.clear()
+        session = SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda key, default: default))
+        if fine:
+            assert shared_folder(session)
+        else:
+            with pytest.raises(ValueError):
+                shared_folder(session)
