@@ -95,12 +95,31 @@ def _placed(columns: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[
         yield pa.array([placed(i, t, b) for i, t, b in zip(items.to_pylist(), tops.to_pylist(), bottoms.to_pylist())], PLACED_TYPE)
 
 
-def flow_items(items: DataFrame) -> DataFrame:
-    """One row per unbreakable item: each line of a text (the last with the space behind), each table row, each image. Blocks
-    without lines still move on by their space. Needs block_no, n_lines, line_h, after."""
-    n = F.greatest(F.col("n_lines"), F.lit(1))
-    each = items.withColumn("line_no", F.explode(F.sequence(F.lit(0), n - 1)))
-    return each.withColumns({"height": F.when(F.col("n_lines") > 0, F.col("line_h")).otherwise(0).cast("double"), "space": F.when(F.col("line_no") == n - 1, F.col("after")).otherwise(0.0)})
+def table_heights(rows: Column, font: Column, content_w: Column, metric: Metric = Metric()) -> Column:
+    """Heights of a table's rows, an array: as column_widths() and row_heights() have them, for a table that is one value.
+    Rows may differ in length; places without a cell are empty ones of one line."""
+    size = font * DENSITY * CELL
+    n_cols = F.coalesce(F.array_max(F.transform(rows, lambda r: F.size(r))), F.lit(0))
+    text = lambda r, c: F.coalesce(F.get(r, c), F.lit(""))
+    columns = F.when(n_cols > 0, F.sequence(F.lit(0), n_cols - 1)).otherwise(F.array().cast("array<int>"))
+    ideal = F.transform(columns, lambda c: F.greatest(F.lit(LEAST_COLUMN * DENSITY), F.array_max(F.transform(rows, lambda r: metric.width(text(r, c), size))) + 2 * CELL_H * DENSITY))
+    total = F.aggregate(ideal, F.lit(0.0), lambda t, w: t + w)
+    inner = F.transform(ideal, lambda w: F.greatest(F.lit(1), (w * content_w / total - 2 * CELL_H * DENSITY).cast("int")))
+    tall = lambda r: F.array_max(F.transform(inner, lambda w, c: metric.lines(text(r, c), size, w)))
+    heights = F.transform(rows, lambda r: tall(r) * metric.line_height(size, CELL_LINES) + F.lit(2 * CELL_V * DENSITY))
+    return F.when(n_cols > 0, heights).otherwise(F.array().cast("array<double>"))
+
+
+def flow_items(items: DataFrame, metric: Metric = Metric()) -> DataFrame:
+    """One row per unbreakable item, with line_no, height and space: each line of a text, each row of a table, each image; the
+    last of a block has the space behind. Blocks without any (blank texts, tables without cells, images without a side)
+    still move on by their space. Needs block_no, kind, n_lines, line_h, after, and for tables and images font, content_w,
+    content_h, rows, image_w, image_h (null elsewhere)."""
+    image = F.when((F.col("image_w") > 0) & (F.col("image_h") > 0), F.array(image_size(F.col("image_w"), F.col("image_h"), F.col("content_w"), F.col("content_h"))["draw_h"]))
+    own = F.when(F.col("kind") == "TABLE", table_heights(F.col("rows"), F.col("font"), F.col("content_w"), metric)).when(F.col("kind") == "IMAGE", image)
+    heights = own.otherwise(F.array_repeat(F.col("line_h").cast("double"), F.coalesce("n_lines", F.lit(0))))
+    each = items.withColumn("_h", F.when(F.size(heights) > 0, heights).otherwise(F.array(F.lit(0.0)))).select(*items.columns, F.posexplode("_h").alias("line_no", "height"), F.size("_h").alias("_n"))
+    return each.withColumn("space", F.when(F.col("line_no") == F.col("_n") - 1, F.col("after")).otherwise(0.0)).drop("_n")
 
 
 def paginated(items: DataFrame, keys: Sequence[str], order: Sequence[str], carried: Sequence[str] = ()) -> DataFrame:

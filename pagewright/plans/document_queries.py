@@ -24,7 +24,7 @@ def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when((F.col("class_id") == 2) & (F.col("region_no") % 7 == 3), 8).when((F.col("class_id") == 2) & (F.col("region_no") % 7 == 5), 1).otherwise(F.col("class_id"))
     pars = F.split("full_text", r"\. ")
     return r.withColumns({
-        "class_id": kind, "paragraphs": F.when(F.col("region_no") % 2 == 0, pars).otherwise(F.array(F.lit(" "))), "table_rows": F.when(kind == 8, F.transform(pars, lambda p: F.array(p))).cast(NO_ROWS),
+        "class_id": kind, "paragraphs": F.when(F.col("region_no") % 2 == 0, pars).otherwise(F.array(F.lit(" "))), "table_rows": F.when(kind == 8, F.transform(pars, lambda p, i: F.when(i % 2 == 0, F.array(p)).otherwise(F.array(F.substring(p, 1, 12), p)))).cast(NO_ROWS),
         "image_ref": F.when(kind == 1, F.concat_ws("/", "doc_id", "page_no", "region_no")),
     })
 
@@ -33,16 +33,20 @@ REGIONS_CTE = r"""regions AS (SELECT doc_id, page_no, region_no, CASE WHEN class
 TRIM = r"regexp_replace(regexp_replace({}, '\s+', ' ', 'g'), '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
 
 
-def document_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flagship: typed blocks of documents in order, with their documents' running header and footer. Pages without
-    regions give their plain paragraphs; of a failed page, regions don't count."""
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed blocks of documents in order, with their documents' running header and footer. Pages without regions give their
+    plain paragraphs; of a failed page, regions don't count."""
     regions = _regions(spark, sf_dir)
     pages = adapters.table(spark, sf_dir, "pages").select(F.expr("page_id div 5").alias("doc_id"), (F.col("page_id") % 5).cast("int").alias("page_no"), F.array("url", F.lit(" ")).alias("paragraphs"), (F.col("page_id") % 11 == 4).alias("failed"))
     blocks, good = documents.assembled(pages, regions, ["doc_id", "page_no"])
     blocks = documents.numbered(blocks, ["doc_id"], "page_no")
     texts = documents.running_texts(good, ["doc_id"], "page_no")
-    whole = blocks.join(texts, "doc_id", "left")
-    return widened(whole.select("doc_id", "page_no", "block_no", "kind", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.size("rows"), F.lit(0)).alias("n_rows"), F.coalesce("image_ref", F.lit("")).alias("image_ref"), F.coalesce("header_text", F.lit("")).alias("header_text"), F.coalesce("footer_text", F.lit("")).alias("footer_text")))
+    return blocks.join(texts, "doc_id", "left").select("doc_id", "page_no", "block_no", "kind", "rows", *[F.coalesce(c, F.lit("")).alias(c) for c in ("text", "image_ref", "header_text", "footer_text")])
+
+
+def document_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flagship: the blocks of documents with their header and footer."""
+    return widened(_blocks(spark, sf_dir).select("doc_id", "page_no", "block_no", "kind", "text", F.coalesce(F.size("rows"), F.lit(0)).alias("n_rows"), "image_ref", "header_text", "footer_text"))
 
 
 BLOCKS_CTE = f"""{adapters.HTML_SQL}, {REGIONS_CTE}, {CLASSES_SQL},
@@ -50,35 +54,42 @@ pg AS (SELECT page_id // 5 AS doc_id, page_id % 5 AS page_no, url, page_id % 11
 good AS (SELECT r.* FROM regions r JOIN pg USING (doc_id, page_no) WHERE NOT failed),
 typed AS (SELECT g.*, role, string_split(full_text, '. ') AS ps, {TRIM.format("full_text")} AS whole FROM good g JOIN classes c USING (class_id) WHERE role <> 'SKIP'),
 texts AS (SELECT doc_id, page_no, region_no, role, CASE WHEN role = 'PARAGRAPH' AND region_no % 2 = 0 AND len(list_filter(ps, lambda p: trim(p) <> '')) > 0 THEN list_filter(ps, lambda p: trim(p) <> '') WHEN role IN ('TABLE', 'IMAGE') THEN [''] WHEN whole <> '' THEN [whole] ELSE [] END AS ts,
-  CASE WHEN role = 'TABLE' THEN len(ps) ELSE 0 END AS n_rows, CASE WHEN role = 'IMAGE' THEN doc_id || '/' || page_no || '/' || region_no ELSE '' END AS image_ref FROM typed),
-parts AS (SELECT doc_id, page_no, region_no, i AS part_no, role AS kind, ts[i] AS text, n_rows, image_ref FROM (SELECT *, unnest(generate_series(1, len(ts))) AS i FROM texts WHERE len(ts) > 0)
-  UNION ALL SELECT doc_id, page_no, 0, 1, 'PARAGRAPH', url, 0, '' FROM pg WHERE failed OR (doc_id, page_no) NOT IN (SELECT doc_id, page_no FROM good)),
+  CASE WHEN role = 'TABLE' THEN ps ELSE [] END AS trows, CASE WHEN role = 'IMAGE' THEN doc_id || '/' || page_no || '/' || region_no ELSE '' END AS image_ref FROM typed),
+parts AS (SELECT doc_id, page_no, region_no, i AS part_no, role AS kind, ts[i] AS text, trows, image_ref FROM (SELECT *, unnest(generate_series(1, len(ts))) AS i FROM texts WHERE len(ts) > 0)
+  UNION ALL SELECT doc_id, page_no, 0, 1, 'PARAGRAPH', url, [], '' FROM pg WHERE failed OR (doc_id, page_no) NOT IN (SELECT doc_id, page_no FROM good)),
 found AS (SELECT doc_id, page_no, region_no, class_id, {TRIM.format("full_text")} AS t FROM good WHERE class_id IN (13, 15)),
 last AS (SELECT doc_id, page_no, class_id, max_by(t, region_no) AS t FROM found WHERE t <> '' GROUP BY ALL),
 running AS (SELECT doc_id, min_by(t, page_no) FILTER (class_id = 13) AS h, min_by(t, page_no) FILTER (class_id = 15) AS f FROM last GROUP BY doc_id),
-blocks AS (SELECT doc_id, page_no, row_number() OVER (PARTITION BY doc_id ORDER BY page_no, region_no, part_no) - 1 AS block_no, kind, text, n_rows, image_ref, coalesce(h, '') AS header_text, coalesce(f, '') AS footer_text FROM parts LEFT JOIN running USING (doc_id))"""
+blocks AS (SELECT doc_id, page_no, row_number() OVER (PARTITION BY doc_id ORDER BY page_no, region_no, part_no) - 1 AS block_no, kind, text, trows, len(trows) AS n_rows, image_ref, coalesce(h, '') AS header_text, coalesce(f, '') AS footer_text FROM parts LEFT JOIN running USING (doc_id))"""
 DOCUMENT_BLOCKS = f"WITH {BLOCKS_CTE} SELECT doc_id, page_no, block_no, kind, text, n_rows::BIGINT AS n_rows, image_ref, header_text, footer_text FROM blocks"
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text items of the flagship's blocks in a style chosen by document."""
-    blocks = document_blocks(spark, sf_dir).where("kind not in ('TABLE', 'IMAGE')")
+    """Items of the flagship's blocks, texts, tables and images, in a style chosen by document."""
+    image = F.col("kind") == "IMAGE"
+    sides = {"image_w": F.when(image, F.lit(256) * (F.col("block_no") % 3)), "image_h": F.when(image, F.col("block_no") * 97 % 700 + 1)}  # every third has no width
     names = F.array(*[F.lit(s[0]) for s in STYLES])
-    styled = blocks.withColumn("style", F.element_at(names, (F.col("doc_id") % 3 + 1).cast("int"))).join(F.broadcast(pagination.geometry(styles(spark))), "style")
+    styled = _blocks(spark, sf_dir).withColumns(sides).withColumn("style", F.element_at(names, (F.col("doc_id") % 3 + 1).cast("int"))).join(F.broadcast(pagination.geometry(styles(spark))), "style")
     return pagination.flow_items(pagination.text_items(styled))
 
 
 def paginated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page and place of every text line of documents."""
-    return widened(pagination.paginated(_items(spark, sf_dir), ["doc_id"], ["block_no", "line_no"]))
+    """Page and place of every text line, table row and image of documents."""
+    return widened(pagination.paginated(_items(spark, sf_dir), ["doc_id"], ["block_no", "line_no"]).withColumn("y", F.round("y", 6)))
 
 
 ITEMS_CTE = f"""{BLOCKS_CTE}, styles AS (SELECT * FROM ({values_sql(STYLES)}) v(style, font, line_mult, para, margin, background, ink)),
-styled AS (SELECT b.*, s.style, font * 2.0 * CASE kind WHEN 'MAIN_TITLE' THEN 1.65 WHEN 'TITLE' THEN 1.3 ELSE 1.0 END AS px, CASE WHEN kind IN ('TITLE', 'MAIN_TITLE') THEN 1.2 ELSE line_mult END AS mult, margin * 2.0 AS margin_px, greatest(1, trunc(1240 - 4.0 * margin))::BIGINT AS content_w, para * 2.0 AS spacing
-  FROM blocks b JOIN styles s ON s.style = ['Plain', 'Book', 'Notes'][(doc_id % 3 + 1)::INT] WHERE kind NOT IN ('TABLE', 'IMAGE')),
-sized AS (SELECT *, CASE WHEN trim(text) = '' THEN 0 ELSE greatest(1, ceil(length(text) * px::DOUBLE * 0.5::DOUBLE / content_w))::BIGINT END AS n_lines, ceil(px::DOUBLE * mult::DOUBLE)::BIGINT AS line_h, (spacing * CASE kind WHEN 'MAIN_TITLE' THEN 1.3 ELSE 1.0 END)::DOUBLE AS after FROM styled),
-items AS (SELECT doc_id, block_no, line_no, margin_px::DOUBLE AS top, (1754 - margin_px)::DOUBLE AS bottom, CASE WHEN n_lines > 0 THEN line_h ELSE 0 END::DOUBLE AS h, CASE WHEN line_no = greatest(n_lines, 1) - 1 THEN after ELSE 0.0 END AS space, header_text, footer_text, content_w,
-  row_number() OVER (PARTITION BY doc_id ORDER BY block_no, line_no) AS k FROM (SELECT *, unnest(generate_series(0, greatest(n_lines, 1) - 1)) AS line_no FROM sized)),
+styled AS (SELECT b.*, s.style, font, font * 2.0 * CASE kind WHEN 'MAIN_TITLE' THEN 1.65 WHEN 'TITLE' THEN 1.3 ELSE 1.0 END AS px, CASE WHEN kind IN ('TITLE', 'MAIN_TITLE') THEN 1.2 ELSE line_mult END AS mult, margin * 2.0 AS margin_px, greatest(1, trunc(1240 - 4.0 * margin))::BIGINT AS content_w, (1754 - 4.0 * margin)::DOUBLE AS content_h, para * 2.0 AS spacing
+  FROM blocks b JOIN styles s ON s.style = ['Plain', 'Book', 'Notes'][(doc_id % 3 + 1)::INT]),
+rws AS (SELECT doc_id, block_no, content_w, (font * 2.0::DOUBLE * 0.85::DOUBLE)::DOUBLE AS px, len(trows) AS n, i - 1 AS line_no, unnest([0, 1]) AS c, trows[i] AS p FROM (SELECT *, unnest(generate_series(1, len(trows))) AS i FROM styled WHERE kind = 'TABLE')),
+cls AS (SELECT *, CASE WHEN line_no % 2 = 0 THEN CASE c WHEN 0 THEN p ELSE '' END WHEN c = 0 THEN substr(p, 1, 12) ELSE p END AS t FROM rws WHERE c = 0 OR n > 1),
+ideal AS (SELECT doc_id, block_no, c, greatest(80.0, max(length(t) * px * 0.5::DOUBLE) + 24.0)::DOUBLE AS w FROM cls GROUP BY ALL),
+wid AS (SELECT doc_id, block_no, c, w, sum(w) OVER (PARTITION BY doc_id, block_no) AS total FROM ideal),
+trow AS (SELECT doc_id, block_no, line_no, max(greatest(1, ceil(length(t) * px * 0.5::DOUBLE / greatest(1, trunc(w * content_w / total - 24.0))))) * max(ceil(px * 1.1::DOUBLE)) + 16.0 AS tall FROM cls JOIN wid USING (doc_id, block_no, c) GROUP BY ALL),
+img AS (SELECT doc_id, block_no, CASE WHEN block_no % 3 = 0 THEN 0.0 ELSE least(content_w * ((block_no * 97 % 700 + 1)::DOUBLE / (256 * (block_no % 3))), content_h) END AS tall FROM styled WHERE kind = 'IMAGE'),
+sized AS (SELECT *, CASE WHEN kind = 'TABLE' THEN n_rows WHEN kind = 'IMAGE' THEN 1 WHEN trim(text) = '' THEN 0 ELSE greatest(1, ceil(length(text) * px::DOUBLE * 0.5::DOUBLE / content_w))::BIGINT END AS n_lines, ceil(px::DOUBLE * mult::DOUBLE)::BIGINT AS line_h, (spacing * CASE kind WHEN 'MAIN_TITLE' THEN 1.3 ELSE 1.0 END)::DOUBLE AS after FROM styled),
+items AS (SELECT doc_id, block_no, line_no, margin_px::DOUBLE AS top, (1754 - margin_px)::DOUBLE AS bottom, CASE WHEN kind = 'TABLE' THEN trow.tall WHEN kind = 'IMAGE' THEN img.tall WHEN n_lines > 0 THEN line_h ELSE 0 END::DOUBLE AS h, CASE WHEN line_no = greatest(n_lines, 1) - 1 THEN after ELSE 0.0 END AS space, header_text, footer_text, content_w,
+  row_number() OVER (PARTITION BY doc_id ORDER BY block_no, line_no) AS k FROM (SELECT *, unnest(generate_series(0, greatest(n_lines, 1) - 1)) AS line_no FROM sized) LEFT JOIN trow USING (doc_id, block_no, line_no) LEFT JOIN img USING (doc_id, block_no)),
 fold(doc_id, k, page_no, y, next) AS (SELECT doc_id, k, CASE WHEN bottom - top < h THEN 1 ELSE 0 END, top, top + h + space FROM items WHERE k = 1
   UNION ALL SELECT i.doc_id, i.k, f.page_no + CASE WHEN i.bottom - f.next < i.h THEN 1 ELSE 0 END, CASE WHEN i.bottom - f.next < i.h THEN i.top ELSE f.next END, CASE WHEN i.bottom - f.next < i.h THEN i.top ELSE f.next END + i.h + i.space FROM fold f JOIN items i ON i.doc_id = f.doc_id AND i.k = f.k + 1)"""
 PAGINATED_LINES = f"WITH RECURSIVE {ITEMS_CTE.replace('items AS (', 'items AS MATERIALIZED (', 1)} SELECT i.doc_id, i.block_no, i.line_no, f.page_no::BIGINT AS page_no, round(f.y, 6) AS y FROM fold f JOIN items i USING (doc_id, k)"
