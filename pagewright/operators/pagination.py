@@ -80,10 +80,10 @@ def image_size(w: Column, h: Column, content_w: Column, content_h: Column) -> di
 
 def placed(items: list[dict], top: float, bottom: float) -> list[dict]:
     """Page and y of items (height, after) that are never split. What doesn't fit goes to a new page; what is taller than
-    a page begins on a new page and overflows there."""
+    a page begins on a new page and overflows there. What has no height stays where it is."""
     page, y, out = 0, top, []
     for i, item in enumerate(items):
-        if bottom - y < item["height"]:
+        if 0 < item["height"] and bottom - y < item["height"]:
             page, y = page + 1, top
         out.append({"item_no": i, "page_no": page, "y": y})
         y += item["height"] + item["after"]

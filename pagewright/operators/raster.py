@@ -6,7 +6,6 @@ linking, contour tracing, denoising weights) follow their published definitions
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -196,7 +195,8 @@ def resized(a: np.ndarray, h: int, w: int, lobes: int = 0) -> np.ndarray:
         k[:, -1] += np.where((at > n - 1) & (lobes == 0), at - (n - 1), 0)
         return k / k.sum(1, keepdims=True)
 
-    return bytes_of(np.einsum("yi,xj,ij...->yx...", weights(a.shape[0], h), weights(a.shape[1], w), a.astype(np.float64)))
+    tall = np.tensordot(weights(a.shape[0], h), a.astype(np.float64), 1)
+    return bytes_of(np.moveaxis(np.tensordot(weights(a.shape[1], w), tall, (1, 1)), 0, 1))
 
 
 def upscaled(a: np.ndarray, factor: float = 2.0) -> np.ndarray:
@@ -222,58 +222,82 @@ def edges(a: np.ndarray, low: float, high: float) -> np.ndarray:
     yy, xx = np.mgrid[1 : h + 1, 1 : w + 1]
     top = (g > q[yy - dy, xx - dx]) & (g >= q[yy + dy, xx + dx])
     strong, weak = top & (g > high), top & (g > low)
-    out, todo = strong.copy(), deque(zip(*np.nonzero(strong)))
-    while todo:
-        y, x = todo.popleft()
-        for ny in range(max(0, y - 1), min(h, y + 2)):
-            for nx in range(max(0, x - 1), min(w, x + 2)):
-                if weak[ny, nx] and not out[ny, nx]:
-                    out[ny, nx] = True
-                    todo.append((ny, nx))
-    return np.where(out, 255.0, 0.0)
+    runs, label = labelled(weak)
+    begins = np.concatenate([[0], np.cumsum(strong.ravel())])
+    lit = np.zeros(len(label), bool)
+    np.logical_or.at(lit, label, begins[runs[:, 0] * w + runs[:, 2]] > begins[runs[:, 0] * w + runs[:, 1]])
+    steps = np.zeros(h * w + 1, np.int32)
+    kept = runs[lit[label]]
+    np.add.at(steps, kept[:, 0] * w + kept[:, 1], 1)
+    np.add.at(steps, kept[:, 0] * w + kept[:, 2], -1)
+    return np.where(np.cumsum(steps[:-1]).reshape(h, w) > 0, 255.0, 0.0)
+
+
+def labelled(lit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs (y, first x, end x) of lit pixels in scanning order, and for each the number of the first run of its group of
+    neighbouring pixels, corners included. Runs are matched by search and united, so the work goes by runs and not by pixels."""
+    h, w = lit.shape
+    flat = np.zeros((h, w + 2), np.int8)
+    flat[:, 1:-1] = lit
+    change = np.diff(flat.ravel())
+    first, end = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
+    runs = np.stack([first // (w + 2), first % (w + 2), end % (w + 2)], 1) if len(first) else np.empty((0, 3), np.int64)
+    above = runs[:, 0] - 1
+    low = np.searchsorted(end, above * (w + 2) + runs[:, 1], "left")
+    high = np.searchsorted(first, above * (w + 2) + runs[:, 2], "right")
+    up = list(range(len(runs)))
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    for i in np.flatnonzero(high > low).tolist():
+        for j in range(low[i], high[i]):
+            a, b = root(i), root(j)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+    return runs, np.array([root(i) for i in range(len(runs))], np.int64)
 
 
 AROUND = [(0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)]
 
 
 def components(lit: np.ndarray) -> list[np.ndarray]:
-    """Pixels (y, x) of each group of neighbouring lit pixels, in scanning order."""
-    seen, out = ~lit, []
-    for start in zip(*np.nonzero(lit)):
-        if seen[start]:
-            continue
-        seen[start] = True
-        group, todo = [], [start]
-        while todo:
-            y, x = todo.pop()
-            group.append((y, x))
-            for dy, dx in AROUND:
-                n = (y + dy, x + dx)
-                if 0 <= n[0] < lit.shape[0] and 0 <= n[1] < lit.shape[1] and not seen[n]:
-                    seen[n] = True
-                    todo.append(n)
-        out.append(np.array(group))
-    return out
+    """Pixels (y, x) of each group of neighbouring lit pixels, groups and pixels in scanning order."""
+    runs, label = labelled(lit)
+    order = np.argsort(label, kind="stable")
+    sizes = (runs[:, 2] - runs[:, 1])[order]
+    ends = np.cumsum(sizes)
+    within = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
+    pixels = np.stack([np.repeat(runs[order, 0], sizes), np.repeat(runs[order, 1], sizes) + within], 1)
+    borders = np.flatnonzero(np.diff(label[order])) + 1
+    return np.split(pixels, ends[borders - 1]) if len(pixels) else []
 
 
 def outline(group: np.ndarray) -> np.ndarray:
     """Outer border (x, y) of a component, clockwise from its first pixel (Moore's tracing)."""
-    pixels = set(map(tuple, group.tolist()))
-    start = min(pixels)
-    at, came, out = start, 6, [start]
-    for _ in range(4 * len(pixels) + 8):
+    low = group.min(0) - 1
+    h, w = group.max(0) - low + 2
+    mask = np.zeros((h, w), np.uint8)
+    mask[tuple((group - low).T)] = 1
+    lit, steps = mask.tobytes(), [dy * int(w) + dx for dy, dx in AROUND]
+    start = at = lit.index(1)
+    came, out = 6, [start]
+    for _ in range(4 * len(group) + 8):
         for k in range(1, 9):
             d = (came + k) % 8
-            n = (at[0] + AROUND[d][0], at[1] + AROUND[d][1])
-            if n in pixels:
-                at, came = n, (d + 4) % 8
+            if lit[at + steps[d]]:
+                at, came = at + steps[d], (d + 4) % 8
                 break
         else:
             break
         if at == start:
             break
         out.append(at)
-    return np.array([(x, y) for y, x in out], np.float64)
+    places = np.array(out)
+    return np.stack([places % w + low[1], places // w + low[0]], 1).astype(np.float64)
 
 
 def simplified(points: np.ndarray, reach: float) -> np.ndarray:

@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank, in_order
@@ -17,8 +17,12 @@ COLUMN_GAP = 0.035
 CELL_OPENERS = ("<td>", "<td", "<td></td>")
 SPANS = {"c": re.compile(r'colspan="(\d+)"'), "r": re.compile(r'rowspan="(\d+)"')}
 MOST_SPAN = 2**31 - 1
-CELLS = "array<struct<cell_no:int,row_start:int,col_start:int,row_span:int,col_span:int,token_no:int>>"
-CELLS_TYPE = pa.list_(pa.struct([(n, pa.int32()) for n in ("cell_no", "row_start", "col_start", "row_span", "col_span", "token_no")]))
+#: Places of a grid that are all listed. A larger one, which takes spans of huge numbers, has the rows and columns in which
+#: a cell begins.
+MOST_PLACES = 1_000_000
+PLACES = ("cell_no", "row_start", "col_start", "row_span", "col_span", "token_no")
+CELLS = f"array<struct<{','.join(f'{n}:long' for n in PLACES)}>>"
+CELLS_TYPE = pa.list_(pa.struct([(n, pa.int64()) for n in PLACES]))
 
 
 class Occupied:
@@ -80,7 +84,7 @@ def cells_of_tokens(streams: DataFrame, keys: Sequence[str]) -> DataFrame:
     """keys, cell_no, row_start, col_start, row_span, col_span, box for streams of keys, tokens, boxes (null or 8 numbers)."""
     made = streams.select(*keys, "boxes", F.arrow_udf(_cells, CELLS)(F.col("tokens")).alias("cells"))
     each = made.select(*keys, "boxes", F.explode("cells").alias("c"))
-    return each.select(*keys, "c.cell_no", "c.row_start", "c.col_start", "c.row_span", "c.col_span", F.get("boxes", F.col("c.token_no")).alias("box"))
+    return each.select(*keys, "c.cell_no", "c.row_start", "c.col_start", "c.row_span", "c.col_span", F.get("boxes", F.col("c.token_no").cast("int")).alias("box"))
 
 
 def decoded_tokens(steps: DataFrame, keys: Sequence[str], vocabulary: Sequence[str], start: str = "sos", end: str = "eos") -> DataFrame:
@@ -103,7 +107,7 @@ def argmax(logits):
 def learned_grid(cells: DataFrame, words: DataFrame, keys: Sequence[str]) -> DataFrame:
     """keys, row_no, col_no, text: a dense grid of cells (with box) and the words whose centre is in a cell's box, edges
     included. A cell without a box or word is blank, as are the places that a span covers; of two cells in one place
-    the later one counts."""
+    the later one counts. Of a grid of over MOST_PLACES places only the rows and columns in which a cell begins are listed."""
     xs, ys = (F.transform(F.sequence(F.lit(i), F.lit(i + 6), F.lit(2)), lambda k: F.get("box", k)) for i in (0, 1))
     edges = [f(c).alias(n) for n, f, c in (("x1", F.array_min, xs), ("x2", F.array_max, xs), ("y1", F.array_min, ys), ("y2", F.array_max, ys))]
     sized = cells.select(*keys, "cell_no", F.col("row_start").alias("row_no"), F.col("col_start").alias("col_no"), (F.col("row_start") + F.col("row_span")).alias("row_end"), (F.col("col_start") + F.col("col_span")).alias("col_end"), *edges)
@@ -111,8 +115,11 @@ def learned_grid(cells: DataFrame, words: DataFrame, keys: Sequence[str]) -> Dat
     met = _left_range(sized, words.select(*keys, "ord", "text", "left", cx.alias("cx"), cy.alias("cy")), keys)
     texts = met.groupBy(*keys, "cell_no", "row_no", "col_no", "row_end", "col_end").agg(in_order(("left", "ord"), "text", " ").alias("text"))
     filled = texts.groupBy(*keys, "row_no", "col_no").agg(F.max_by("text", "cell_no").alias("text"), F.max("row_end").alias("row_end"), F.max("col_end").alias("col_end"))
-    listed = filled.groupBy(*keys).agg(_places().alias("_m"), F.max("row_end").alias("_r"), F.max("col_end").alias("_c")).where("_r > 0 and _c > 0")
-    return _dense(listed, keys, F.sequence(F.lit(0), F.col("_r") - 1))
+    begun = [F.array_sort(F.collect_set(c)).alias(n) for c, n in (("row_no", "_rows"), ("col_no", "_cols"))]
+    listed = filled.groupBy(*keys).agg(_places().alias("_m"), F.max("row_end").alias("_r"), F.max("col_end").alias("_c"), *begun).where("_r > 0 and _c > 0")
+    whole = F.col("_r").cast("double") * F.col("_c") <= MOST_PLACES
+    rows, cols = (F.when(whole, F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).otherwise(F.col(own)) for n, own in (("_r", "_rows"), ("_c", "_cols")))
+    return _dense(listed, keys, rows, cols)
 
 
 def _left_range(cells: DataFrame, words: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -129,23 +136,30 @@ def _places():
     return F.map_from_entries(F.collect_list(F.struct(F.struct("row_no", "col_no").alias("k"), F.col("text").alias("v"))))
 
 
-def _dense(listed: DataFrame, keys: Sequence[str], rows) -> DataFrame:
-    """keys, row_no, col_no, text for all places of tables (keys, _m: texts by place, _c: columns); places without text are
-    blank. A table is one row here, so the grid needs no join."""
+def _dense(listed: DataFrame, keys: Sequence[str], rows: Column, cols: Column) -> DataFrame:
+    """keys, row_no, col_no, text for all places of tables (keys, _m: texts by place); places without text are blank. A table
+    is one row here, so the grid needs no join."""
     text = lambda r, c: F.coalesce(F.try_element_at("_m", F.struct(r.alias("row_no"), c.alias("col_no"))), F.lit(""))
-    grid = F.flatten(F.transform(rows, lambda r: F.transform(F.sequence(F.lit(0), F.col("_c") - 1), lambda c: F.struct(r.alias("row_no"), c.alias("col_no"), text(r, c).alias("text")))))
+    grid = F.flatten(F.transform(rows, lambda r: F.transform(cols, lambda c: F.struct(r.alias("row_no"), c.alias("col_no"), text(r, c).alias("text")))))
     return listed.select(*keys, F.explode(grid).alias("g")).select(*keys, "g.*")
 
 
 def lattice_grid(rows: DataFrame, cols: DataFrame, words: DataFrame, keys: Sequence[str]) -> DataFrame:
     """keys, row_no, col_no, text from boundaries of ruled lines (keys, boundary_no, pos). Needs two on each axis. A word
-    whose centre (halved without remainder) is on a line belongs to both cells."""
-    r = intervals.cells(rows, keys).select(*keys, F.col("cell_no").alias("row_no"), F.col("low").alias("y1"), F.col("high").alias("y2"))
-    c = intervals.cells(cols, keys).select(*keys, F.col("cell_no").alias("col_no"), F.col("low").alias("x1"), F.col("high").alias("x2"))
-    grid = r.join(c, [*keys])
-    centred = words.select(*keys, "ord", "text", "left", F.expr("(left + right) div 2").alias("cx"), F.expr("(top + bottom) div 2").alias("cy"))
-    met = _left_range(grid, centred, keys)
-    return met.groupBy(*keys, "row_no", "col_no").agg(in_order(("left", "ord"), "text", " ").alias("text"))
+    whose centre (halved without remainder) is on a line belongs to both cells.
+
+    The boundaries of a table are two lists in one row, which its words meet by key; a word looks its cells up by place, so
+    no word is compared with a whole grid, and all sums work on one shuffle by table."""
+    listed = lambda df, name: df.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("boundary_no", "pos"))), lambda b: b["pos"]).alias(name)).where(F.size(name) > 1)
+    ruled = listed(rows, "_ys").join(listed(cols, "_xs"), [*keys])
+    numbers = lambda lines: F.sequence(F.lit(0), F.size(lines) - 2)
+    around = lambda lines, at: F.filter(numbers(lines), lambda i: at.between(F.get(lines, i), F.get(lines, i + 1)))
+    centred = words.select(*keys, "ord", "text", "left", F.expr("(left + right) div 2").alias("_cx"), F.expr("(top + bottom) div 2").alias("_cy"))
+    met = centred.join(ruled, [*keys]).select(*keys, "ord", "text", "left", "_cx", "_xs", F.explode(around("_ys", F.col("_cy"))).alias("row_no"))
+    met = met.select(*keys, "ord", "text", "left", "row_no", F.explode(around("_xs", F.col("_cx"))).alias("col_no"))
+    filled = met.groupBy(*keys, "row_no", "col_no").agg(in_order(("left", "ord"), "text", " ").alias("text"))
+    whole = ruled.join(filled.groupBy(*keys).agg(_places().alias("_m")), [*keys], "left")
+    return _dense(whole, keys, numbers("_ys"), numbers("_xs"))
 
 
 def stream_grid(words: DataFrame, keys: Sequence[str], width: str = "width") -> DataFrame:
@@ -161,7 +175,7 @@ def stream_grid(words: DataFrame, keys: Sequence[str], width: str = "width") ->
 def _grid_of(placed: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     filled = placed.groupBy(*keys, "row_no", "col_no").agg(in_order(order, "text", " ").alias("text"))
     listed = filled.groupBy(*keys).agg(_places().alias("_m"), F.array_sort(F.collect_set("row_no")).alias("_r"), (F.max("col_no") + 1).alias("_c"))
-    return _dense(listed, keys, F.col("_r"))
+    return _dense(listed, keys, F.col("_r"), F.sequence(F.lit(0), F.col("_c") - 1))
 
 
 def recovered_grid(words: DataFrame, keys: Sequence[str]) -> DataFrame:

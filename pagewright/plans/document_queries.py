@@ -90,8 +90,8 @@ img AS (SELECT doc_id, block_no, CASE WHEN block_no % 3 = 0 THEN 0.0 ELSE least(
 sized AS (SELECT *, CASE WHEN kind = 'TABLE' THEN n_rows WHEN kind = 'IMAGE' THEN 1 WHEN trim(text) = '' THEN 0 ELSE greatest(1, ceil(length(text) * px::DOUBLE * 0.5::DOUBLE / content_w))::BIGINT END AS n_lines, ceil(px::DOUBLE * mult::DOUBLE)::BIGINT AS line_h, (spacing * CASE kind WHEN 'MAIN_TITLE' THEN 1.3 ELSE 1.0 END)::DOUBLE AS after FROM styled),
 items AS (SELECT doc_id, block_no, line_no, margin_px::DOUBLE AS top, (1754 - margin_px)::DOUBLE AS bottom, CASE WHEN kind = 'TABLE' THEN trow.tall WHEN kind = 'IMAGE' THEN img.tall WHEN n_lines > 0 THEN line_h ELSE 0 END::DOUBLE AS h, CASE WHEN line_no = greatest(n_lines, 1) - 1 THEN after ELSE 0.0 END AS space, header_text, footer_text, content_w,
   row_number() OVER (PARTITION BY doc_id ORDER BY block_no, line_no) AS k FROM (SELECT *, unnest(generate_series(0, greatest(n_lines, 1) - 1)) AS line_no FROM sized) LEFT JOIN trow USING (doc_id, block_no, line_no) LEFT JOIN img USING (doc_id, block_no)),
-fold(doc_id, k, page_no, y, next) AS (SELECT doc_id, k, CASE WHEN bottom - top < h THEN 1 ELSE 0 END, top, top + h + space FROM items WHERE k = 1
-  UNION ALL SELECT i.doc_id, i.k, f.page_no + CASE WHEN i.bottom - f.next < i.h THEN 1 ELSE 0 END, CASE WHEN i.bottom - f.next < i.h THEN i.top ELSE f.next END, CASE WHEN i.bottom - f.next < i.h THEN i.top ELSE f.next END + i.h + i.space FROM fold f JOIN items i ON i.doc_id = f.doc_id AND i.k = f.k + 1)"""
+fold(doc_id, k, page_no, y, next) AS (SELECT doc_id, k, CASE WHEN h > 0 AND bottom - top < h THEN 1 ELSE 0 END, top, top + h + space FROM items WHERE k = 1
+  UNION ALL SELECT i.doc_id, i.k, f.page_no + CASE WHEN i.h > 0 AND i.bottom - f.next < i.h THEN 1 ELSE 0 END, CASE WHEN i.h > 0 AND i.bottom - f.next < i.h THEN i.top ELSE f.next END, CASE WHEN i.h > 0 AND i.bottom - f.next < i.h THEN i.top ELSE f.next END + i.h + i.space FROM fold f JOIN items i ON i.doc_id = f.doc_id AND i.k = f.k + 1)"""
 PAGINATED_LINES = f"WITH RECURSIVE {ITEMS_CTE.replace('items AS (', 'items AS MATERIALIZED (', 1)} SELECT i.doc_id, i.block_no, i.line_no, f.page_no::BIGINT AS page_no, round(f.y, 6) AS y FROM fold f JOIN items i USING (doc_id, k)"
 
 
@@ -166,8 +166,8 @@ SELECT session_id, frame_no, stable_count, stable_count >= 3 AS stable FROM c"""
 
 
 def capture_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same sessions as a stream: one row per session with its stable frames and captures. No SQL: the state is kept
-    from batch to batch. The state store and the results are in the shared folder and not on one machine."""
+    """The same sessions as a stream: one row per session with its stable frames and captures. The state is kept
+    from batch to batch; the SQL counts islands. The state store and the results are in the shared folder and not on one machine."""
     folder = shared_folder(spark)
     name = f"frames_{uuid.uuid4().hex}"
     spark.conf.set(*capture.ROCKSDB)
@@ -179,7 +179,9 @@ def capture_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return widened(out.groupBy("session_id").agg(F.count("*").alias("frames"), F.count_if("stable").alias("stable_frames"), F.count_if("captured").alias("captures")))
 
 
+CAPTURE_STREAM = f"""{STABLE_FRAMES.partition("SELECT session_id, frame_no, stable_count")[0]}SELECT session_id, count(*) AS frames, count(*) FILTER (stable_count >= 3) AS stable_frames, count(*) FILTER (stable_count = 3) AS captures FROM c GROUP BY session_id"""
 QUERIES = {f.__name__: f for f in (document_blocks, paginated_lines, stamped_pages, table_layout, session_edits, stable_frames, capture_stream)}
 ORACLE_SQL = {
     "document_blocks": DOCUMENT_BLOCKS, "paginated_lines": PAGINATED_LINES, "stamped_pages": STAMPED_PAGES, "table_layout": TABLE_LAYOUT, "session_edits": SESSION_EDITS, "stable_frames": STABLE_FRAMES,
+    "capture_stream": CAPTURE_STREAM,
 }

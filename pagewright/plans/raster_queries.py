@@ -179,8 +179,8 @@ class BrightInk:
 
 
 def model_text_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes of a text detector on pictures, holes included, and the layout detector's rows: the model boundary. No SQL:
-    boxes are those of connected areas."""
+    """Boxes of a text detector on pictures, holes included, and the layout detector's rows: the model boundary. The
+    SQL grows areas pixel by pixel."""
     one = F.struct("h", "w", F.lit(1).alias("channels"), F.transform("data", lambda v: v.cast("double")).alias("data"))
     rows = adapters.rasters(spark, sf_dir).select("page_id", one.alias("picture"))
     found = rows.select("page_id", models.detect_text(BrightInk, 0.52)(F.col("picture")).alias("boxes"), models.detect_layout(BrightInk)(F.col("picture")).alias("layout"))
@@ -188,6 +188,15 @@ def model_text_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return widened(each.select("page_id", "n_layout", "box_no", "b.x", "b.y", "b.w", "b.h", F.round("b.score", 6).alias("score")))
 
 
+MODEL_TEXT_BOXES = f"""WITH RECURSIVE {adapters.RASTERS_SQL}, side AS (SELECT page_id, y, x, y * 8 + x AS p, v / 255.0::DOUBLE AS v, v / 255.0::DOUBLE > 0.52::DOUBLE AS lit FROM pixels),
+near AS (SELECT a.page_id, a.lit, a.p, b.p AS q FROM side a JOIN side b ON a.page_id = b.page_id AND a.lit = b.lit AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1),
+reach(page_id, lit, p, q) AS (SELECT page_id, lit, p, q FROM near UNION SELECT r.page_id, r.lit, r.p, n.q FROM reach r JOIN near n ON n.page_id = r.page_id AND n.p = r.q),
+own AS (SELECT page_id, lit, p, min(q) AS area FROM reach GROUP BY ALL),
+areas AS (SELECT o.page_id, o.lit, area, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM own o JOIN side s ON s.page_id = o.page_id AND s.p = o.p GROUP BY ALL),
+boxes AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY lit DESC, area) - 1 AS box_no FROM areas WHERE lit OR (x0 > 0 AND y0 > 0 AND x1 < 7 AND y1 < 7))
+SELECT b.page_id, 1::BIGINT AS n_layout, box_no, x0 AS x, y0 AS y, x1 - x0 + 1 AS w, y1 - y0 + 1 AS h, round(avg(s.v), 6) AS score FROM boxes b JOIN side s ON s.page_id = b.page_id AND s.x BETWEEN x0 AND x1 AND s.y BETWEEN y0 AND y1 GROUP BY ALL"""
+
+
 def input_tensors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sums of the planes of model inputs made of pictures. No SQL: resizing interpolates."""
     rows = _pictures(spark, sf_dir)
@@ -212,5 +221,5 @@ def pdf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (scan_quality, quality_scores, turned_pictures, ruled_lines, edge_fits, quad_corners, largest_quads, enhanced_pictures, page_corners, model_text_boxes, input_tensors, pdf_files)}
 ORACLE_SQL = {
     "scan_quality": SCAN_QUALITY, "quality_scores": QUALITY_SCORES, "turned_pictures": TURNED_PICTURES, "ruled_lines": RULED_LINES, "edge_fits": EDGE_FITS, "quad_corners": QUAD_CORNERS,
-    "largest_quads": LARGEST_QUADS,
+    "largest_quads": LARGEST_QUADS, "model_text_boxes": MODEL_TEXT_BOXES,
 }

@@ -32,12 +32,17 @@ def full_texts(pages: DataFrame, keys: Sequence[str], page: str, text: str) -> D
 
 
 def file_names(documents: DataFrame, name: str, at: str, order: Sequence[str]) -> DataFrame:
-    """Adds file_name: the cleaned name, else Scan_ and the time; later documents of one name get _1, _2 and so on. Numbers
-    come from the order among equal names, so a name that itself ends in such a number can still be met twice."""
+    """Adds file_name: the cleaned name, else Scan_ and the time; later documents of one name get _1, _2 and so on. A number
+    is passed over if some document has that name of its own, so no two names are equal. The order must be total."""
     base = F.coalesce(clean_name(F.col(name)), F.concat(F.lit("Scan_"), F.date_format(at, "yyyyMMdd_HHmmss")))
-    n = F.row_number().over(Window.partitionBy("_base").orderBy(*order)) - 1
-    named = documents.withColumn("_base", base)
-    return named.withColumn("file_name", F.concat("_base", F.when(n > 0, F.concat(F.lit("_"), n.cast("string"))).otherwise(F.lit("")), F.lit(".pdf"))).drop("_base")
+    n = (F.row_number().over(Window.partitionBy("_base").orderBy(*order)) - 1).cast("long")
+    named = documents.withColumn("_base", base).withColumn("_n", n)
+    numbered = r"^(.*)_([1-9][0-9]{0,17})$"
+    own = named.where("_n = 0").select(F.regexp_extract("_base", numbered, 1).alias("_base"), F.regexp_extract("_base", numbered, 2).try_cast("long").alias("_k")).where("_k is not null")
+    taken = own.groupBy("_base").agg(F.array_sort(F.collect_set("_k")).alias("_taken"))
+    free = F.aggregate(F.coalesce("_taken", F.array().cast("array<long>")), F.col("_n"), lambda k, t: F.when(t <= k, k + 1).otherwise(k))
+    whole = named.join(taken, "_base", "left").withColumn("file_name", F.concat("_base", F.when(F.col("_n") > 0, F.concat(F.lit("_"), free.cast("string"))).otherwise(F.lit("")), F.lit(".pdf")))
+    return whole.select(*documents.columns, "file_name")
 
 
 def _escaped(text: str) -> bytes:
