@@ -191,3 +191,19 @@ def test_components_of_chains_stars_and_loops(spark, monkeypatch, chunk):
     got = components.connected_components(df).collect()
     assert {r.node: r.root for r in got} == want and len(got) == len(want)
     assert components.connected_components(df.where("false")).count() == 0
+
+
+def test_each_pair_is_told_in_its_first_bucket_alone():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for flips in (0, 1, 3, 12, 30, 44):
+        a = rng.integers(0, 2**63, 3, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        b = a.copy()
+        for bit in rng.choice(192, flips, replace=False):
+            b[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+        both = np.stack([a, b])
+        buckets = [[similar.variant(both[r : r + 1, bit // 64], bit)[0] for bit in range(192)] for r in (0, 1)]
+        common = [bit for bit in range(192) if buckets[0][bit] == buckets[1][bit]]
+        told = [bit for bit in common if len(similar.at_home(np.array([buckets[0][bit]] * 2), both, np.array([[0, 1]])))]
+        assert told == common[:1]
