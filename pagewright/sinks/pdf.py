@@ -45,30 +45,56 @@ def file_names(documents: DataFrame, name: str, at: str, order: Sequence[str]) -
     return whole.select(*documents.columns, "file_name")
 
 
-def _escaped(text: str) -> bytes:
-    return text.encode("cp1252", "replace").replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)")
+def shown(text: str) -> bytes:
+    """A text as the font and the string that show it: Windows-1252 where it can be said so, else UTF-16 units."""
+    try:
+        return b"/F1 %%.2f Tf %%.2f %%.2f Td (%s) Tj" % text.encode("cp1252").replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)").replace(b"\r", b"\\r").replace(b"%", b"%%")
+    except UnicodeEncodeError:
+        return b"/F2 %%.2f Tf %%.2f %%.2f Td <%s> Tj" % text.encode("utf-16-be", "replace").hex().encode()
+
+
+def _stream(head: bytes, content: bytes) -> bytes:
+    packed = zlib.compress(content)
+    return b"<< %s/Filter /FlateDecode /Length %d >>\nstream\n%s\nendstream" % (head, len(packed), packed)
+
+
+def _unicode_font(at: int) -> list[bytes]:
+    """Objects, the first of number at, of a font whose two-byte codes are UTF-16 units and say so to who searches. Nothing
+    of it is drawn, so it has no outlines."""
+    ranges = [b"<%02X00> <%02XFF> <%02X00>\n" % (i, i, i) for i in range(256)]
+    blocks = b"".join(b"%d beginbfrange\n%sendbfrange\n" % (len(ranges[i : i + 100]), b"".join(ranges[i : i + 100])) for i in range(0, 256, 100))
+    head = b"/CIDInit /ProcSet findresource begin\n12 dict begin\nbegincmap\n/CIDSystemInfo << /Registry (Adobe) /Ordering (UCS) /Supplement 0 >> def\n/CMapName /Adobe-Identity-UCS def\n/CMapType 2 def\n1 begincodespacerange\n<0000> <FFFF>\nendcodespacerange\n"
+    return [
+        b"<< /Type /Font /Subtype /Type0 /BaseFont /Invisible /Encoding /Identity-H /DescendantFonts [%d 0 R] /ToUnicode %d 0 R >>" % (at + 1, at + 3),
+        b"<< /Type /Font /Subtype /CIDFontType2 /BaseFont /Invisible /CIDSystemInfo << /Registry (Adobe) /Ordering (Identity) /Supplement 0 >> /FontDescriptor %d 0 R /DW 500 >>" % (at + 2),
+        b"<< /Type /FontDescriptor /FontName /Invisible /Flags 4 /FontBBox [0 -200 500 800] /ItalicAngle 0 /Ascent 800 /Descent -200 /CapHeight 800 /StemV 80 >>",
+        _stream(b"", head + blocks + b"endcmap\nCMapName currentdict /CMap defineresource pop\nend\nend\n"),
+    ]
 
 
 def pdf_bytes(pages: list[dict]) -> bytes:
     """A PDF of pages (w, h, picture as grey or RGB bytes or None, ops: x, y, size, text from the top left). Each page has its
-    own size; texts are invisible but can be searched. At least one page is needed."""
+    own size; texts, of any script, are invisible but can be searched. At least one page is needed."""
     if not pages:
         raise ValueError("a document needs at least one page")
     objects: list[bytes] = [b"", b"", b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding >>"]
+    texts = [[(op, shown(op["text"] or "")) for op in p.get("ops") or []] for p in pages]
+    fonts = b"/Font << /F1 3 0 R >>"
+    if any(t.startswith(b"/F2") for own in texts for _, t in own):
+        fonts = b"/Font << /F1 3 0 R /F2 %d 0 R >>" % (len(objects) + 1)
+        objects += _unicode_font(len(objects) + 1)
     kids = []
-    for p in pages:
+    for p, own in zip(pages, texts):
         w, h = p["w"], p["h"]
-        content, resources = b"", b"/Font << /F1 3 0 R >>"
+        content, resources = b"", fonts
         if p.get("picture"):
-            packed = zlib.compress(p["picture"])
             space = b"/DeviceGray" if len(p["picture"]) == w * h else b"/DeviceRGB"
-            objects.append(b"<< /Type /XObject /Subtype /Image /Width %d /Height %d /ColorSpace %s /BitsPerComponent 8 /Filter /FlateDecode /Length %d >>\nstream\n%s\nendstream" % (w, h, space, len(packed), packed))
+            objects.append(_stream(b"/Type /XObject /Subtype /Image /Width %d /Height %d /ColorSpace %s /BitsPerComponent 8 " % (w, h, space), p["picture"]))
             resources += b" /XObject << /I %d 0 R >>" % len(objects)
             content += b"q %d 0 0 %d 0 0 cm /I Do Q\n" % (w, h)
-        for op in p.get("ops") or []:
-            content += b"BT 3 Tr /F1 %.2f Tf %.2f %.2f Td (%s) Tj ET\n" % (op["size"], op["x"], h - op["y"], _escaped(op["text"] or ""))
-        packed = zlib.compress(content)
-        objects.append(b"<< /Length %d /Filter /FlateDecode >>\nstream\n%s\nendstream" % (len(packed), packed))
+        for op, text in own:
+            content += b"BT 3 Tr %s ET\n" % (text % (op["size"], op["x"], h - op["y"]))
+        objects.append(_stream(b"", content))
         objects.append(b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 %d %d] /Contents %d 0 R /Resources << %s >> >>" % (w, h, len(objects), resources))
         kids.append(len(objects))
     objects[0] = b"<< /Type /Catalog /Pages 2 0 R >>"

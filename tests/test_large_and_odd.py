@@ -1,7 +1,9 @@
 """Large pictures, huge spans, meeting names, and the chains from models to texts, tables and pages."""
 
+import re
 import sys
 import time
+import zlib
 
 import numpy as np
 import pytest
@@ -175,3 +177,24 @@ def test_files_are_extracted_once(spark, tmp_path):
     assert open(models.extracted(spark, str(source), str(folder)).removeprefix("file:")).read() == "a\nb\n"
     (folder / "dictionary.txt.done").unlink()
     assert open(models.extracted(spark, str(source), str(folder)).removeprefix("file:")).read() == "changed"
+
+
+def read_text(data):
+    """Texts of a PDF's pages, by their fonts' codes."""
+    streams = [zlib.decompress(m) for m in re.findall(rb"stream\n(.*?)\nendstream", data, re.S)]
+    wide = any(b"beginbfrange" in x for x in streams)
+    out = []
+    for x in streams:
+        for font, plain, coded in re.findall(rb"BT 3 Tr /(F\d) [^(<]*Td (?:\((.*?)(?<!\\)\)|<([0-9a-f]*)>) Tj ET", x, re.S):
+            assert font == b"F1" or wide
+            out.append(re.sub(rb"\\(.)", rb"\1", plain).decode("cp1252") if font == b"F1" else bytes.fromhex(coded.decode()).decode("utf-16-be"))
+    return out
+
+
+def test_texts_of_every_script_can_be_searched():
+    texts = ["plain 50% (off)", "größe €", "漢字 and latin", "עברית", "emoji 🙂!", "Ωmega", ""]
+    data = pdf.pdf_bytes([{"w": 100, "h": 50, "picture": None, "ops": [{"x": 1.0, "y": 2.0, "size": 3.0, "text": t} for t in texts]}])
+    assert read_text(data) == texts and b"/ToUnicode" in data
+    offsets = [int(x) for x in re.findall(rb"(\d{10}) 00000 n", data)]
+    assert all(data[o:].startswith(b"%d 0 obj" % i) for i, o in enumerate(offsets, 1))
+    assert b"/ToUnicode" not in pdf.pdf_bytes([{"w": 1, "h": 1, "picture": b"x", "ops": []}])
