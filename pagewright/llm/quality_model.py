@@ -35,31 +35,19 @@ SYMBOLS = b"#*$%&|<>{}[]@^~\\/_=+"
 DIGITS = b"0123456789"
 CAPITALS = bytes(range(65, 91))
 STATS = 8
-#: Words whose slots a task remembers.
-MOST_KEPT = 400_000
 VIEWS = ["text", "source", "lang", "n_chars"]
 FEATURES = "mark long, y double, slots array<int>, shares array<float>, stats array<float>, meta array<int>"
 RESULT = "score_text double, score_meta double, score double, kept boolean"
 RESULT_TYPE = pa.struct([("score_text", pa.float64()), ("score_meta", pa.float64()), ("score", pa.float64()), ("kept", pa.bool_())])
 
 
-class Slots(dict):
-    """Slots of words, remembered; emptied when it grows too large."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > MOST_KEPT:
-            self.clear()
-        self[word] = slot = zlib.crc32(word) % TEXT_SLOTS
-        return slot
-
-
-def text_view(text: str | None, slot_of: Slots) -> tuple[np.ndarray, np.ndarray]:
+def text_view(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """(slot of each word, statistics). Each statistic is a share or a bounded logarithm."""
     data = (text or "").encode()
     words = data.lower().split()
     n, size = max(1, len(words)), max(1, len(data))
     lines = [x for x in data.split(b"\n") if x.strip()]
-    slots = np.fromiter(map(slot_of.__getitem__, words), np.int64, len(words))
+    slots = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % TEXT_SLOTS
     stats = [
         min(np.log1p(len(words)) / 10, 1.5), min(size / n / 20, 2.0), (size - len(data.translate(None, SYMBOLS))) / size * 5, (size - len(data.translate(None, DIGITS))) / size * 5,
         (size - len(data.translate(None, CAPITALS))) / size * 5, len(set(words)) / n, 1 - len(set(lines)) / max(1, len(lines)), min(size / max(1, len(lines)) / 1000, 2.0),
@@ -76,11 +64,10 @@ def meta_view(source: str | None, lang: str | None, n_chars: int | None) -> list
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(mark, y, text, source, lang, n_chars) to FEATURES."""
-    slot_of = Slots()
     for batch in batches:
         rows: list[list] = [[], [], [], []]
         for text, source, lang, n_chars in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
-            slots, stats = text_view(text, slot_of)
+            slots, stats = text_view(text)
             kinds, counts = np.unique(slots, return_counts=True)
             for column, x in zip(rows, (kinds.astype(np.int32), (counts / max(1, len(slots))).astype(np.float32), stats, meta_view(source, lang, n_chars))):
                 column.append(x)
@@ -173,10 +160,10 @@ def co_train(known: Rows, pick: Callable[[Model, list[int], set[int]], list[Rows
     return Model(*weights, *scales, tuple(calibrate(np.stack(z, 1), y[held])))
 
 
-def view_logits(text: str | None, source: str | None, lang: str | None, n_chars: int | None, m: Model, slot_of: Slots) -> tuple[float, float]:
+def view_logits(text: str | None, source: str | None, lang: str | None, n_chars: int | None, m: Model) -> tuple[float, float]:
     """Calibrated logits of both views."""
-    slots, stats = text_view(text, slot_of)
-    z_text = (float(m.text[slots].mean()) if len(slots) else 0.0) + float(stats @ m.text[TEXT_SLOTS:-1]) + float(m.text[-1])
+    slots, stats = text_view(text)
+    z_text = (float(m.text[slots].sum() / len(slots)) if len(slots) else 0.0) + float(stats @ m.text[TEXT_SLOTS:-1]) + float(m.text[-1])
     z_meta = float(m.meta[sorted(set(meta_view(source, lang, n_chars)))].sum() + m.meta[-1])
     return m.text_scale[0] * z_text + m.text_scale[1], m.meta_scale[0] * z_meta + m.meta_scale[1]
 
@@ -191,13 +178,13 @@ def _surest(model: Broadcast, most: list[int], taken: Broadcast):
     edge = float(np.log(SURE / (1 - SURE)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, slot_of, bar = model.value, Slots(), taken.value
+        m, bar = model.value, taken.value
         lists: list[list[tuple[float, int]]] = [[] for _ in range(LISTS)]
         for batch in batches:
             for mark, *views in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 if mark in bar:
                     continue
-                a, b = view_logits(*views, m, slot_of)
+                a, b = view_logits(*views, m)
                 for k, sure in enumerate((a, -a, b, -b)):
                     if sure >= edge:
                         lists[k].append((sure, mark))
@@ -267,17 +254,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED
     return on_driver(rows), count.get(1, 0), count.get(0, 0)
 
 
-def judge(text: str | None, source: str | None, lang: str | None, n_chars: int | None, m: Model, slot_of: Slots) -> dict:
-    a, b = view_logits(text, source, lang, n_chars, m, slot_of)
+def judge(text: str | None, source: str | None, lang: str | None, n_chars: int | None, m: Model) -> dict:
+    a, b = view_logits(text, source, lang, n_chars, m)
     score = float(sigmoid(m.joint[0] * np.clip(a, -20, 20) + m.joint[1] * np.clip(b, -20, 20) + m.joint[2]))
     return {"score_text": float(sigmoid(a)), "score_meta": float(sigmoid(b)), "score": score, "kept": score >= 0.5}
 
 
 def _judge(model: Broadcast):
     def run(columns: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        m, slot_of = model.value, Slots()
+        m = model.value
         for parts in columns:
-            yield pa.array([judge(*row, m, slot_of) for row in zip(*(p.to_pylist() for p in parts))], RESULT_TYPE)
+            yield pa.array([judge(*row, m) for row in zip(*(p.to_pylist() for p in parts))], RESULT_TYPE)
 
     return run
 
