@@ -25,7 +25,7 @@ WINDOW = 10
 #: Slots of a bitmap; each of its pieces is a row on the way to the driver.
 SLOTS = 1 << 24
 PIECE = 1 << 13
-#: Counted or remembered words that one task holds at a time.
+#: Counted words that one task holds at a time.
 MOST_COUNTED = 500_000
 #: Characters of windows that may be broadcast.
 BROADCAST_CHARS = 16_000_000
@@ -59,6 +59,12 @@ class Bitmap:
         slot = xxhash.xxh64_intdigest(value, 42) % SLOTS
         return bool(self.bits[slot >> 3] >> (7 - (slot & 7)) & 1)
 
+    def among(self, values: list[bytes]) -> list[bytes]:
+        """Those of values that may be in it."""
+        digest = xxhash.xxh64_digest
+        slots = (np.frombuffer(b"".join([digest(v, 42) for v in values]), ">u8") % SLOTS).astype(np.int64)
+        return [values[i] for i in np.flatnonzero(self.bits[slots >> 3] >> (7 - (slots & 7)) & 1).tolist()]
+
 
 def bitmap(values: DataFrame) -> Broadcast:
     """The bitmap of values (value: string), which takes 2 MB whatever their number."""
@@ -67,23 +73,9 @@ def bitmap(values: DataFrame) -> Broadcast:
     return values.sparkSession.sparkContext.broadcast(Bitmap({r.piece: r.slots for r in pieces.collect()}))
 
 
-class Known(dict):
-    """Whether words are in a bitmap, remembered."""
-
-    def __init__(self, bits: Bitmap) -> None:
-        super().__init__()
-        self.bits = bits
-
-    def __missing__(self, word: bytes) -> bool:
-        if len(self) > MOST_COUNTED:
-            self.clear()
-        self[word] = found = word in self.bits
-        return found
-
-
 def _counts(vocabulary: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counted = Known(vocabulary.value), Counter()
+        known, counted = vocabulary.value, Counter()
 
         def told() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([pa.array([w.decode() for w in counted], pa.string()), pa.array(list(counted.values()), pa.int64())], ["word", "n"])
@@ -94,9 +86,8 @@ def _counts(vocabulary: Broadcast):
             words: Counter = Counter()
             for text in batch.column(0).to_pylist():
                 words.update(words_of(text))
-            for word, n in words.items():
-                if known[word]:
-                    counted[word] += n
+            for word in known.among(list(words)):
+                counted[word] += words[word]
             if len(counted) > MOST_COUNTED:
                 yield told()
         yield told()
@@ -132,7 +123,7 @@ def _occurrences(tokens: Broadcast, pairs: Broadcast, window: int):
     """(key, other, size, text) to the places of tokens that may meet a window, each with the words around it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, near = Known(tokens.value), pairs.value
+        known, near = tokens.value, pairs.value
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.list_(pa.string())]
         names = ["key", "other", "size", "at", "word", "before", "around"]
         for batch in batches:
@@ -140,7 +131,7 @@ def _occurrences(tokens: Broadcast, pairs: Broadcast, window: int):
             keys = zip(*(batch.column(i).to_pylist() for i in range(3)))
             for key, text in zip(keys, batch.column(3).to_pylist()):
                 words = words_of(text)
-                wanted = {w for w in set(words) if known[w]}
+                wanted = set(known.among(list(set(words))))
                 if not wanted:
                     continue
                 last = len(words) - 1
