@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import documents, pagination, session
 from ..schemas import STYLES, styles, values_sql
-from ..shared import shared_folder
+from ..shared import scratch_path
 from ..sources import adapters
 from ..streaming import capture
 from .common import widened
@@ -168,14 +166,13 @@ SELECT session_id, frame_no, stable_count, stable_count >= 3 AS stable FROM c"""
 def capture_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same sessions as a stream: one row per session with its stable frames and captures. The state is kept
     from batch to batch; the SQL counts islands. The state store and the results are in the shared folder and not on one machine."""
-    folder = shared_folder(spark)
-    name = f"frames_{uuid.uuid4().hex}"
+    folder = scratch_path(spark, "frames")
     spark.conf.set(*capture.ROCKSDB)
-    adapters.frames(spark, sf_dir).coalesce(4).write.parquet(f"{folder}/{name}/in")
-    source = spark.readStream.schema(adapters.frames(spark, sf_dir).schema).parquet(f"{folder}/{name}/in")
-    query = capture.steady_stream(source, needed=3).writeStream.format("parquet").option("checkpointLocation", f"{folder}/{name}/state").option("path", f"{folder}/{name}/out").outputMode("append").trigger(availableNow=True).start()
+    adapters.frames(spark, sf_dir).coalesce(4).write.parquet(f"{folder}/in")
+    source = spark.readStream.schema(adapters.frames(spark, sf_dir).schema).parquet(f"{folder}/in")
+    query = capture.steady_stream(source, needed=3).writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/out").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
-    out = spark.read.schema(capture.OUTPUT).parquet(f"{folder}/{name}/out")
+    out = spark.read.schema(capture.OUTPUT).parquet(f"{folder}/out")
     return widened(out.groupBy("session_id").agg(F.count("*").alias("frames"), F.count_if("stable").alias("stable_frames"), F.count_if("captured").alias("captures")))
 
 
