@@ -5,14 +5,20 @@ three fingerprints from the same shingles. Each is cut into four segments of 16
 for each of its bits, with that bit wiped out (one-wildcard variants, as in simhash.py). Of pairs at 0.8, 98 in 100 meet
 in one of these 192 buckets at least; pairs that are more alike nearly always do. The 192 bits then settle all pairs that are clearly
 alike or clearly not, and the pairs between are verified by the exact similarity of their shingle sets.
+
+What the index misses, and what stands back there for a nearer pair, an exact join finds: two sets of similarity 0.8 share one
+of the first fifth of their shingles, in any order that is the same for all texts. Pairs of one tree are left out.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,10 +32,15 @@ LEAST_SIMILARITY = 0.8
 #: Of all bits. A similarity of 0.8 makes 29 bits differ on average, with a deviation of 5, and one of 0.9 makes 20.
 SURE_BITS = 18
 MAYBE_BITS = 44
-EVEN_BITS = 29
-#: Pairs in doubt for each row of a bucket of over PAIRED rows; in a denser crowd the estimate decides at EVEN_BITS.
+#: Pairs in doubt for each row of a bucket of over PAIRED rows; a denser crowd is left to the exact join.
 MOST_IN_DOUBT = 16
+#: One in so many texts is counted for the order of shingles, and so many of the frequent ones come last. The order only bears on speed.
+COUNTED = 16
+MOST_RANKED = 100_000
+#: Pairs of rows of a large bucket of the exact join that are compared at a time.
+COMPARED = 1 << 20
 PRINT_COLUMNS = [f"p{i}" for i in range(PRINTS)]
+ODD = [f"odd{i}" for i in range(4)]
 
 
 def node_of(prints: np.ndarray) -> np.ndarray:
@@ -41,13 +52,14 @@ def node_of(prints: np.ndarray) -> np.ndarray:
 
 
 def _sketches(words: int):
-    """(doc_id, text, mark) to (doc_id, mark, node, p0, p1, p2)."""
+    """(doc_id, text, mark) to (doc_id, mark, node, p0, p1, p2, odd0 to odd3)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprints(t, words, PRINTS) for t in batch.column("text").to_pylist()], np.int64).reshape(-1, PRINTS)
             node = node_of(found.view(np.uint64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(node), *(pa.array(found[:, i].copy()) for i in range(PRINTS))], ["doc_id", "mark", "node", *PRINT_COLUMNS])
+            odd = np.frombuffer(b"".join(parity(shingles(t, words)) for t in batch.column("text").to_pylist()), np.int64).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(node), *(pa.array(found[:, i].copy()) for i in range(PRINTS)), *(pa.array(odd[:, i].copy()) for i in range(4))], ["doc_id", "mark", "node", *PRINT_COLUMNS, *ODD])
 
     return run
 
@@ -166,8 +178,6 @@ def _links(only_sure: bool, most: int = 0):
                 for x, y in doubts(prints[s : s + n], trees):
                     found.append((x + s, y + s))
                     if len(found) > MOST_IN_DOUBT * n:
-                        for v, w in bucket_tree(prints[s : s + n], EVEN_BITS):
-                            joined(v + s, w + s)
                         found = []
                         break
                 maybe += found
@@ -185,6 +195,12 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
 
 
+def parity(of_text: np.ndarray) -> bytes:
+    """256 bits: whether a set has an odd number of hashes in each of 256 ranges. Two sets differ in at least as many hashes
+    as their bits."""
+    return np.packbits(np.bincount(of_text >> np.uint64(56), minlength=256).astype(np.uint8) & 1).tobytes()
+
+
 def similarity(x: np.ndarray, y: np.ndarray) -> float:
     """Jaccard similarity of two sorted sets; that of two empty ones is 1."""
     both = len(np.intersect1d(x, y, assume_unique=True))
@@ -193,12 +209,138 @@ def similarity(x: np.ndarray, y: np.ndarray) -> float:
 
 def _verified(words: int, least: float):
     def run(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        of = lru_cache(64)(lambda text: shingles(text, words))  # pairs often come sorted by one side
         for left, right in columns:
-            yield pa.array([similarity(shingles(x, words), shingles(y, words)) >= least for x, y in zip(left.to_pylist(), right.to_pylist())], pa.bool_())
+            yield pa.array([similarity(of(x), of(y)) >= least for x, y in zip(left.to_pylist(), right.to_pylist())], pa.bool_())
+
+    return run
+
+
+def _shingle_rows(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t, words) for t in batch.column(0).to_pylist()]
+            if sets:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["shingle"])
+
+    return run
+
+
+def frequent_shingles(texts: DataFrame, words: int) -> np.ndarray:
+    """Shingles of texts (text) that occur in several of one in COUNTED, the rarest of them first; at most MOST_RANKED."""
+    counts = texts.where(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(COUNTED)) == 0).select("text").mapInArrow(_shingle_rows(words), "shingle long").groupBy("shingle").agg(F.count("*").alias("n"))
+    rows = counts.where("n > 1").orderBy(F.desc("n"), "shingle").limit(MOST_RANKED).collect()
+    return np.array([r.shingle for r in rows[::-1]], np.int64).view(np.uint64)
+
+
+def prefix(of_text: np.ndarray, ranked: np.ndarray, rank: np.ndarray, least: float) -> np.ndarray:
+    """The first shingles of a sorted set, of which two sets of similarity least or more have one in common. ranked: the
+    frequent ones, sorted, with their ranks; they come last, the others by their hash."""
+    n = len(of_text)
+    if len(ranked):
+        at = np.minimum(np.searchsorted(ranked, of_text), len(ranked) - 1)
+        of_text = of_text[np.argsort(np.where(ranked[at] == of_text, rank[at] + 1, 0), kind="stable")]
+    return of_text[: n - math.ceil(least * n - 1e-9) + 1]
+
+
+KEYED = "bucket long, node long, root long, size int, place int"
+
+
+def _prefixes(words: int, least: float, frequent: Broadcast):
+    """(node, root, text) to a row for each shingle of the text's prefix, with the size of the set and its place there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(frequent.value)
+        ranked = frequent.value[order]
+        for batch in batches:
+            sets = [shingles(t, words) for t in batch.column(2).to_pylist()]
+            firsts = [prefix(x, ranked, order, least) if len(x) else x for x in sets]
+            n = np.array(list(map(len, firsts)), np.int64)
+            if n.sum():
+                nodes, roots = (np.repeat(batch.column(i).to_numpy(), n) for i in (0, 1))
+                sizes, places = np.repeat(np.array(list(map(len, sets)), np.int32), n), np.concatenate([np.arange(k, dtype=np.int32) for k in n])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts).view(np.int64)), *map(pa.array, (nodes, roots, sizes, places))], ["bucket", "node", "root", "size", "place"])
+
+    return run
+
+
+def bucket_pairs(starts: np.ndarray, sizes: np.ndarray, tree: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of all pairs of rows of one bucket, some at a time. The largest tree of a large bucket is not compared with itself."""
+    yield from small_pairs(starts, sizes)
+    for s, n in zip(starts[sizes > PAIRED].tolist(), sizes[sizes > PAIRED].tolist()):
+        _, inverse, counts = np.unique(tree[s : s + n], return_inverse=True, return_counts=True)
+        largest, places = inverse == counts.argmax(), np.arange(n)
+        outside = np.flatnonzero(~largest)
+        for at in range(0, len(outside), max(1, COMPARED // n)):
+            x = outside[at : at + max(1, COMPARED // n)]
+            a, b = np.nonzero(largest | (places > x[:, None]))
+            yield x[a] + s, b + s
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of prefixes sorted by bucket, without those of shingles that only one tree has."""
+    for columns in by_bucket(batches):
+        bucket, node, root = columns[:3]
+        tree, (starts, sizes) = np.where(root == 0, node, root), buckets(bucket)
+        met = np.repeat(np.minimum.reduceat(tree, starts) < np.maximum.reduceat(tree, starts), sizes)
+        yield pa.RecordBatch.from_arrays([pa.array(c[met]) for c in columns], ["bucket", "node", "root", "size", "place"])
+
+
+def _joined(least: float):
+    """Rows of prefixes, with their texts' parities, sorted by bucket, to pairs (a, b) of nodes of different trees whose sets may
+    have a similarity of least or more by their sizes, the places of the shared shingle and the parities. A pair may be
+    told for each shingle that it shares."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, node, root, size, place, *odd in by_bucket(batches):
+            tree, found, size = np.where(root == 0, node, root), [], size.astype(np.int64)
+            bits = np.stack(odd, 1).view(np.uint64)
+            for a, b in bucket_pairs(*buckets(bucket), tree):
+                both = size[a] + size[b]
+                most = np.minimum(place[a], place[b]) + np.minimum(size[a] - place[a], size[b] - place[b])
+                may = np.flatnonzero((most * (1 + least) >= least * both - 1e-6) & (tree[a] != tree[b]))
+                a, b, both = a[may], b[may], both[may]
+                may = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64) * (1 + least) <= (1 - least) * both + 1e-6
+                if may.any():
+                    x, y = node[a[may]], node[b[may]]
+                    found.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0))
+            pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
 
     return run
 
 
+def exact_pairs(docs: DataFrame, nodes: DataFrame, trees: DataFrame, words: int, least: float) -> DataFrame:
+    """(a, b) with all pairs of nodes of different trees whose texts have a similarity of least or more, and some others."""
+    rooted = nodes.select("node", "mark").join(trees, "node", "left").select("node", "mark", F.coalesce("root", F.lit(0)).alias("root"))
+    texts = docs.select(F.xxhash64("text").alias("mark"), "text")
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(texts, words))
+    firsts = texts.join(rooted, "mark").select("node", "root", "text").mapInArrow(_prefixes(words, least, frequent), KEYED)
+    shared = written(firsts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared, KEYED), "shared")
+    told = shared.join(nodes.select("node", *ODD), "node").select(*shared.columns, *ODD)
+    return told.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_joined(least), "a long, b long").distinct()
+
+
+def _of_trees(pairs: DataFrame, trees: DataFrame) -> DataFrame:
+    """pairs (a, b) whose nodes are of different trees, with the roots of these; a node without a tree is one."""
+    n = trees.count()
+    for side in ("a", "b"):
+        pairs = pairs.join(broadcast_if_small(trees.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root")), n), side, "left")
+    rooted = pairs.select("a", "b", F.coalesce("a_root", "a").alias("a_root"), F.coalesce("b_root", "b").alias("b_root"))
+    return written(rooted.where("a_root <> b_root"), "pairs")
+
+
+def _alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, least: float) -> DataFrame:
+    """The roots (a, b) of pairs (a, b, a_root, b_root) of nodes whose texts have a similarity of least or more."""
+    of_node = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "mark"), "node"), "doubted")
+    texts = docs.select(F.xxhash64("text").alias("mark"), "text").join(broadcast_if_small(of_node, of_node.count()), "mark").groupBy("node").agg(F.min("text").alias("text"))
+    texts = written(texts, "texts")
+    for side in ("a", "b"):
+        pairs = pairs.join(texts.select(F.col("node").alias(side), F.col("text").alias(f"{side}_text")), side)
+    alike = F.arrow_udf(_verified(words, least), "boolean")(F.col("a_text"), F.col("b_text"))
+    return written(pairs.withColumn("alike", alike).where("alike").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")), "alike")
+
+
 def _led_on(trees: DataFrame, roots: DataFrame) -> DataFrame:
     """(node, root) of trees after their roots, and nodes beside them, have been connected further by roots (node, root)."""
     on = roots.select(F.col("node").alias("root"), F.col("root").alias("next"))
@@ -207,14 +349,15 @@ def _led_on(trees: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def groups(docs: DataFrame, words: int = 5, least: float = LEAST_SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, mark: hash of the text, node, p0, p1, p2) for every row of docs, and (node, root: the smallest node of its
+    """(doc_id, mark: hash of the text, node, p0, p1, p2, odd0 to odd3) for every row of docs, and (node, root: the smallest node of its
     group) for every node that has a near duplicate."""
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     columns = ", ".join(f"{c} long" for c in PRINT_COLUMNS)
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).mapInArrow(_sketches(words), f"doc_id {kind}, mark long, node long, {columns}")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).mapInArrow(_sketches(words), f"doc_id {kind}, mark long, node long, {columns}, {', '.join(f'{c} long' for c in ODD)}")
     sketches = written(rows, "sketches")
-    nodes = written(sketches.groupBy("node", *PRINT_COLUMNS).agg(F.min("mark").alias("mark")), "nodes")
+    least_text = F.min(F.struct("mark", *ODD)).alias("of_text")
+    nodes = written(sketches.groupBy("node", *PRINT_COLUMNS).agg(least_text).select("node", *PRINT_COLUMNS, "of_text.*"), "nodes")
     found, keyed = "a long, b long, sure boolean", f"bucket long, {columns}, root long"
 
     def bucketed(rows: DataFrame, index, *within: str) -> DataFrame:
@@ -224,20 +367,9 @@ def groups(docs: DataFrame, words: int = 5, least: float = LEAST_SIMILARITY) ->
     grown = written(nodes.join(easy, "node", "left").select("node", *PRINT_COLUMNS, "mark", F.coalesce("root", F.lit(0)).alias("root")), "grown")
     links = written(bucketed(grown, _variants).mapInArrow(_links(False), found), "links")
     trees = _led_on(grown.where("root <> 0").select("node", "root"), connected_components(links.where("sure")))
-    n = trees.count()
-    pairs = links.where("not sure").select("a", "b")
-    for side in ("a", "b"):
-        pairs = pairs.join(broadcast_if_small(trees.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root")), n), side, "left")
-    pairs = pairs.select("a", "b", F.coalesce("a_root", "a").alias("a_root"), F.coalesce("b_root", "b").alias("b_root"))
-    pairs = written(pairs.where("a_root <> b_root"), "pairs")
-    of_node = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "mark"), "node"), "doubted")
-    texts = docs.select(F.xxhash64("text").alias("mark"), "text").join(broadcast_if_small(of_node, of_node.count()), "mark").groupBy("node").agg(F.min("text").alias("text"))
-    texts = written(texts, "texts")
-    for side in ("a", "b"):
-        pairs = pairs.join(texts.select(F.col("node").alias(side), F.col("text").alias(f"{side}_text")), side)
-    alike = F.arrow_udf(_verified(words, least), "boolean")(F.col("a_text"), F.col("b_text"))
-    verified = pairs.withColumn("alike", alike).where("alike").select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
-    return sketches, _led_on(trees, connected_components(verified))
+    trees = _led_on(trees, connected_components(_alike(docs, nodes, _of_trees(links.where("not sure").select("a", "b"), trees), words, least)))
+    rest = _of_trees(exact_pairs(docs, nodes, trees, words, least), trees)
+    return sketches, _led_on(trees, connected_components(_alike(docs, nodes, rest, words, least)))
 
 
 def without_duplicates(docs: DataFrame, words: int = 5, least: float = LEAST_SIMILARITY) -> DataFrame:

@@ -166,6 +166,34 @@ def test_stage_on_documents(spark):
     assert set(first.values()) <= got and len(got) - len(first) <= 2
 
 
+def test_no_link_between_different_texts_is_lost(spark):
+    rng = random.Random(21)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(4000)]
+    bases = [rng.choices(words, k=120) for _ in range(12)]
+    rows = [" ".join(r) for t in bases for r in (changed(rng, words, t, rng.choice((1, 2, 3, 4, 5))) for _ in range(25))]
+    group = plain_similar(rows)
+    want = {min(i for i, h in enumerate(group) if h == g) for g in group}
+    got = {r.doc_id for r in similar.without_duplicates(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert 24 < len(want) < 0.75 * len(rows) and got == want
+
+
+def test_prefixes_of_similar_sets_meet():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        n, shared = int(rng.integers(1, 60)), int(rng.integers(0, 60))
+        pool = np.unique(rng.integers(0, 2**63, 200, dtype=np.uint64) * np.uint64(2))
+        both, x, y = pool[:shared], pool[60 : 60 + n // 4], pool[100 : 100 + n // 5]
+        a, b = np.sort(np.concatenate([both, x])), np.sort(np.concatenate([both, y]))
+        ranked = np.sort(rng.permutation(pool)[:50])
+        rank = rng.permutation(50)
+        if len(a) and len(b) and similar.similarity(a, b) >= 0.8:
+            assert np.intersect1d(similar.prefix(a, ranked, rank, 0.8), similar.prefix(b, ranked, rank, 0.8)).size
+        apart = int(np.bitwise_count(np.frombuffer(similar.parity(a), np.uint8) ^ np.frombuffer(similar.parity(b), np.uint8)).sum())
+        assert apart <= np.setxor1d(a, b).size
+
+
 def test_a_crowd_of_near_copies_stays_few_rows(spark):
     rng = random.Random(3)
     words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(4000)]
