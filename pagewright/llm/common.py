@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -65,6 +66,13 @@ def removed(df: DataFrame) -> None:
         _remove(df.sparkSession, folder)
 
 
+def shuffles_dropped(spark: SparkSession) -> None:
+    """Has shuffle files go that no table needs any more. They stay until the driver collects its garbage, which it may put
+    off until they fill the disks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     sc = spark.sparkContext
     if sc._jsc is not None and not sc._jsc.sc().isStopped():

@@ -4,7 +4,8 @@ Two texts of similarity 0.8 differ in about 10 of 64 bits of a SimHash, too many
 three fingerprints from the same shingles. Each is cut into four segments of 16 bits, and every segment is indexed once
 for each of its bits, with that bit wiped out (one-wildcard variants, as in simhash.py). Of pairs at 0.8, 98 in 100 meet
 in one of these 192 buckets at least; pairs that are more alike nearly always do. The 192 bits then settle all pairs that are clearly
-alike or clearly not, and the pairs between are verified by the exact similarity of their shingle sets.
+alike or clearly not, and the pairs between are verified by the exact similarity of their shingle sets. Texts are joined
+with pairs only where parities of their sets, some bits for each shingle, leave that similarity possible.
 
 What the index misses, and what stands back there for a nearer pair, an exact join finds: two sets of similarity 0.8 share one
 of the first fifth of their shingles, in any order that is the same for all texts. Pairs of one tree are left out.
@@ -22,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, small_batches, written
+from .common import broadcast_if_small, shuffles_dropped, small_batches, written
 from .components import Forest, connected_components
 from .simhash import PAIRED, bucket_tree, buckets, by_bucket, cut, fingerprints, mix, shingle_hashes, small_pairs
 
@@ -39,6 +40,9 @@ COUNTED = 16
 MOST_RANKED = 100_000
 #: Pairs of rows of a large bucket of the exact join that are compared at a time.
 COMPARED = 1 << 20
+#: Bits of parity for each shingle of a text in a pair in doubt, at least; a set of more than 2 ** MOST_RANGES / RANGES has fewer.
+RANGES = 2
+MOST_RANGES = 20
 PRINT_COLUMNS = [f"p{i}" for i in range(PRINTS)]
 ODD = [f"odd{i}" for i in range(4)]
 
@@ -201,6 +205,20 @@ def parity(of_text: np.ndarray) -> bytes:
     return np.packbits(np.bincount(of_text >> np.uint64(56), minlength=256).astype(np.uint8) & 1).tobytes()
 
 
+def wide_parity(of_text: np.ndarray) -> bytes:
+    """The same for a power of two of ranges, by the size of the set."""
+    bits = min(MOST_RANGES, max(3, (RANGES * len(of_text) - 1).bit_length()))
+    return np.packbits(np.bincount(of_text >> np.uint64(64 - bits), minlength=1 << bits).astype(np.uint8) & 1).tobytes()
+
+
+def odd_ranges(x: bytes, y: bytes) -> int:
+    """Number of ranges by whose parity two sets differ; the finer ranges are put together first."""
+    few, many = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    if len(few) < len(many):
+        many = np.packbits(np.bitwise_xor.reduce(np.unpackbits(many).reshape(8 * len(few), -1), axis=1))
+    return int(np.bitwise_count(few ^ many).sum(dtype=np.int64))
+
+
 def similarity(x: np.ndarray, y: np.ndarray) -> float:
     """Jaccard similarity of two sorted sets; that of two empty ones is 1."""
     both = len(np.intersect1d(x, y, assume_unique=True))
@@ -216,6 +234,30 @@ def _verified(words: int, least: float):
     return run
 
 
+def _wide_parities(words: int):
+    """(node, text) to (node, size, odd)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, odd = [], []
+            for text in batch.column(1).to_pylist():
+                own = shingles(text, words)
+                sizes.append(len(own))
+                odd.append(wide_parity(own))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(odd, pa.binary())], ["node", "size", "odd"])
+
+    return run
+
+
+def _may_be_alike(least: float):
+    def run(columns: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for both, left, right in columns:
+            differ = np.array([odd_ranges(x, y) for x, y in zip(left.to_pylist(), right.to_pylist())], np.int64)
+            yield pa.array(differ * (1 + least) <= (1 - least) * both.to_numpy() + 1e-6)
+
+    return run
+
+
 def _shingle_rows(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -317,6 +359,7 @@ def exact_pairs(docs: DataFrame, nodes: DataFrame, trees: DataFrame, words: int,
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(texts, words))
     firsts = texts.join(rooted, "mark").select("node", "root", "text").mapInArrow(_prefixes(words, least, frequent), KEYED)
     shared = written(firsts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared, KEYED), "shared")
+    shuffles_dropped(docs.sparkSession)
     told = shared.join(nodes.select("node", *ODD), "node").select(*shared.columns, *ODD)
     return told.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_joined(least), "a long, b long").distinct()
 
@@ -330,15 +373,33 @@ def _of_trees(pairs: DataFrame, trees: DataFrame) -> DataFrame:
     return written(rooted.where("a_root <> b_root"), "pairs")
 
 
+def _texts_of(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, text) for the nodes of pairs, a row for each document with that text."""
+    of_node = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "mark"), "node"), "doubted")
+    return docs.select(F.xxhash64("text").alias("mark"), "text").join(broadcast_if_small(of_node, of_node.count()), "mark").select("node", "text")
+
+
+def _bounded(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, least: float) -> DataFrame:
+    """Those of pairs (a, b, a_root, b_root) whose texts may have a similarity of least or more by their parities, which are
+    far shorter than the texts."""
+    odd = written(_texts_of(docs, nodes, pairs).mapInArrow(_wide_parities(words), "node long, size long, odd binary").dropDuplicates(["node"]), "parities")
+    met = pairs
+    for side in ("a", "b"):
+        met = met.join(odd.select(F.col("node").alias(side), F.col("size").alias(f"{side}_size"), F.col("odd").alias(f"{side}_odd")), side)
+    may = F.arrow_udf(_may_be_alike(least), "boolean")(F.col("a_size") + F.col("b_size"), F.col("a_odd"), F.col("b_odd"))
+    return written(met.withColumn("may", may).where("may").select(pairs.columns), "bounded")
+
+
 def _alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, least: float) -> DataFrame:
     """The roots (a, b) of pairs (a, b, a_root, b_root) of nodes whose texts have a similarity of least or more."""
-    of_node = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "mark"), "node"), "doubted")
-    texts = docs.select(F.xxhash64("text").alias("mark"), "text").join(broadcast_if_small(of_node, of_node.count()), "mark").groupBy("node").agg(F.min("text").alias("text"))
-    texts = written(texts, "texts")
+    pairs = _bounded(docs, nodes, pairs, words, least)
+    texts = written(_texts_of(docs, nodes, pairs).groupBy("node").agg(F.min("text").alias("text")), "texts")
     for side in ("a", "b"):
         pairs = pairs.join(texts.select(F.col("node").alias(side), F.col("text").alias(f"{side}_text")), side)
     alike = F.arrow_udf(_verified(words, least), "boolean")(F.col("a_text"), F.col("b_text"))
-    return written(pairs.withColumn("alike", alike).where("alike").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")), "alike")
+    out = written(pairs.withColumn("alike", alike).where("alike").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")), "alike")
+    shuffles_dropped(docs.sparkSession)
+    return out
 
 
 def _led_on(trees: DataFrame, roots: DataFrame) -> DataFrame:
@@ -365,7 +426,9 @@ def groups(docs: DataFrame, words: int = 5, least: float = LEAST_SIMILARITY) ->
 
     easy = connected_components(bucketed(nodes.withColumn("root", F.lit(0).cast("long")), _whole_segments, "p0").mapInArrow(_links(True, 4_096), found))
     grown = written(nodes.join(easy, "node", "left").select("node", *PRINT_COLUMNS, "mark", F.coalesce("root", F.lit(0)).alias("root")), "grown")
+    shuffles_dropped(docs.sparkSession)
     links = written(bucketed(grown, _variants).mapInArrow(_links(False), found), "links")
+    shuffles_dropped(docs.sparkSession)
     trees = _led_on(grown.where("root <> 0").select("node", "root"), connected_components(links.where("sure")))
     trees = _led_on(trees, connected_components(_alike(docs, nodes, _of_trees(links.where("not sure").select("a", "b"), trees), words, least)))
     rest = _of_trees(exact_pairs(docs, nodes, trees, words, least), trees)

@@ -194,6 +194,42 @@ def test_prefixes_of_similar_sets_meet():
         assert apart <= np.setxor1d(a, b).size
 
 
+def test_wide_parities_never_exceed_the_difference():
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    for a_only, both, b_only in ((0, 0, 0), (0, 0, 5), (1, 0, 0), (3, 60, 7), (0, 250, 20), (40, 500, 0), (300, 900, 500), (0, 1 << 19, 9)):
+        pool = np.unique(rng.integers(0, 2**63, 2 * (a_only + both + b_only), dtype=np.uint64) * np.uint64(2))
+        pool = rng.permutation(pool)[: a_only + both + b_only]
+        a, b = np.sort(pool[: a_only + both]), np.sort(pool[a_only:])
+        x, y = similar.wide_parity(a), similar.wide_parity(b)
+        assert similar.odd_ranges(x, y) == similar.odd_ranges(y, x) <= a_only + b_only
+        assert a_only + b_only < 20 or similar.odd_ranges(x, y) > 0.5 * (a_only + b_only)
+    half = similar.wide_parity(np.sort(rng.permutation(pool)[:600])), similar.wide_parity(np.sort(rng.permutation(pool)[:600]))
+    assert similar.odd_ranges(*half) > 1200 * 0.2 / 1.8  # no text is read for such a pair
+
+
+def test_texts_are_joined_only_with_pairs_that_may_be_alike(spark, monkeypatch):
+    rng = random.Random(31)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(4000)]
+    shared = rng.choices(words, k=400)
+    rows = [" ".join([*shared, *rng.choices(words, k=800)]) for _ in range(12)]  # a third in common: too long for 256 bits of parity
+    near = changed(rng, words, rows[0].split(), 26)
+    rows.append(" ".join(near))
+    counts, write = {}, similar.written
+
+    def told(df, name):
+        out = write(df, name)
+        counts[name] = counts.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(similar, "written", told)
+    got = {r.doc_id for r in similar.without_duplicates(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    group = plain_similar(rows)
+    assert got == {min(i for i, h in enumerate(group) if h == g) for g in group} and len(got) == 12
+    assert counts["pairs"] > 60 and counts["texts"] <= 2
+
+
 def test_a_crowd_of_near_copies_stays_few_rows(spark):
     rng = random.Random(3)
     words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(4000)]
