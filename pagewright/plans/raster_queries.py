@@ -145,17 +145,19 @@ SELECT o_custkey, coalesce(ord, -1) AS ord, coalesce(area, -1.0) AS area, coales
 
 
 def _pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Colour pictures of 16 by 12 pixels from three successive vectors' numbers."""
+    """Colour pictures of 16 by 12 pixels from three successive vectors' numbers, dealt out by page: what follows takes long
+    for each, so few files or row groups would leave cores idle."""
     data = F.flatten(F.array(*[F.transform("data", lambda v, k=k: ((v * (3 + k)) % 256).cast("double")) for k in range(9)]))
-    return adapters.rasters(spark, sf_dir).select("page_id", F.struct(F.lit(12).alias("h"), F.lit(16).alias("w"), F.lit(3).alias("channels"), data.alias("data")).alias("picture"))
+    rows = adapters.rasters(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "page_id")
+    return rows.select("page_id", F.struct(F.lit(12).alias("h"), F.lit(16).alias("w"), F.lit(3).alias("channels"), data.alias("data")).alias("picture"))
 
 
 def enhanced_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All picture modes: what each of them gives, as a mean. No SQL: the filters work on neighbourhoods."""
-    rows = _pictures(spark, sf_dir)
-    mean = lambda p: F.round(F.aggregate(p["data"], F.lit(0.0), lambda a, v: a + v) / F.size(p["data"]), 6)
     ops = {"original": raster.MODES["original"], "grey": raster.grey, "bw": raster.black_and_white, "light": raster.even_light, "contrast": raster.contrast, "sharp": raster.sharpened, "big": raster.upscaled, "flat": raster.flattened, "full": raster.enhanced}
-    return widened(rows.select("page_id", *[mean(raster.applied(F.col("picture"), f)).alias(n) for n, f in ops.items()]))
+    means = raster.measured(F.col("picture"), {n: lambda a, f=f: f(a).mean() for n, f in ops.items()})
+    rows = _pictures(spark, sf_dir).select("page_id", means.alias("m"))
+    return widened(rows.select("page_id", *[F.round(F.col("m")[n], 6).alias(n) for n in ops]))
 
 
 def page_corners(spark: SparkSession, sf_dir: str) -> DataFrame:

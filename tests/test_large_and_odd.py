@@ -224,3 +224,60 @@ def test_denoising_takes_shifts_of_a_small_picture_together(shape, monkeypatch):
     got = raster.denoised(a)
     told = weights > 0
     assert len(calls) < 250 and (got[told] == np.rint(total[told] / weights[told])).all()
+
+
+def test_all_picture_modes_take_one_python_process(spark, tmp_path):
+    from pagewright.plans import raster_queries
+
+    vectors = [[((i * 37 + k * k * (i + 1)) % 256 - 127.5) / 256 for k in range(64)] for i in range(4)] + [None, [0.5] * 63]
+    spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = raster_queries.enhanced_pictures(spark, str(tmp_path))
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    got = {r.page_id: r for r in found.collect()}
+    modes = {"original": raster.MODES["original"], "grey": raster.grey, "bw": raster.black_and_white, "light": raster.even_light, "contrast": raster.contrast, "sharp": raster.sharpened, "big": raster.upscaled, "flat": raster.flattened, "full": raster.enhanced}
+    pictures = {r.page_id: r.picture for r in raster_queries._pictures(spark, str(tmp_path)).collect()}
+    for i in range(6):
+        if i < 4:
+            a = np.array(pictures[i].data).reshape(12, 16, 3)
+            assert all(abs(got[i][n] - f(a).mean()) < 1e-6 for n, f in modes.items())
+        else:  # no picture, or one of too few numbers
+            assert [got[i][n] for n in modes] == [None] * 9
+
+
+def test_pictures_go_through_arrow_in_parts(spark):
+    rng = np.random.default_rng(3)
+    shapes = [(300, 300), (300, 310), (7, 9, 3), (1, 1), (300, 290), (5, 6)]
+    made = [rng.integers(0, 256, s).astype(float) for s in shapes]
+    rows = [(i, {"h": a.shape[0], "w": a.shape[1], "channels": 1 if a.ndim == 2 else 3, "data": a.ravel().tolist()}) for i, a in enumerate(made)]
+    rows += [(6, None), (7, {"h": 2, "w": 2, "channels": 1, "data": None}), (8, {"h": 2, "w": 2, "channels": 1, "data": [1.0] * 5}), (9, {"h": None, "w": 2, "channels": 1, "data": [1.0] * 4}), (10, {"h": 1, "w": 2, "channels": 1, "data": [1.0, None]})]
+
+    def halved(a):
+        a /= 2  # each function has a copy of its own
+        return raster.resized(a, 2 * a.shape[0], 2 * a.shape[1])
+
+    def tall(a):
+        if a.shape[0] < 100:
+            raise ValueError("small")
+        return a.sum()
+
+    pages = spark.createDataFrame(rows, PAGES).coalesce(1)
+    got = pages.select("page_id", raster.applied(F.col("picture"), halved).alias("p"), raster.measured(F.col("picture"), {"half": lambda a: halved(a).sum(), "sum": lambda a: a.sum(), "tall": tall}).alias("m")).orderBy("page_id").collect()
+    for r, a in zip(got, made):
+        want = halved(a.copy())
+        assert (r.p.h, r.p.w, r.p.channels) == (*want.shape, 1)[:3] and r.p.data == want.ravel().tolist()
+        assert (r.m.half, r.m.sum, r.m.tall) == (want.sum(), a.sum(), a.sum() if len(a) >= 100 else None)
+    assert [r.p for r in got[6:10]] == [None] * 4 and {tuple(r.m) for r in got[6:10]} == {(None, None, None)}
+    assert got[10].p.w == 4 and np.isnan(got[10].m.sum)
+
+
+def test_equalisation_counts_all_tiles_at_once(monkeypatch):
+    rng = np.random.default_rng(5)
+    for h, w in [(12, 16), (1, 9), (33, 20)]:
+        a, calls, count = rng.integers(0, 256, (h, w)).astype(float), [], np.bincount
+        monkeypatch.setattr(np, "bincount", lambda *k, **o: calls.append(1) or count(*k, **o))
+        got = raster.clahe(a, 2.5)
+        assert len(calls) == 1 and got.shape == (h, w) and got.min() >= 0 and got.max() <= 255
+        monkeypatch.undo()
+    for odd in (-1.0, 256.0, np.nan):  # as before, no picture of bytes is an error and not another picture
+        with pytest.raises(ValueError):
+            raster.clahe(np.full((20, 20), odd), 2.5)
