@@ -146,9 +146,10 @@ SELECT o_custkey, coalesce(ord, -1) AS ord, coalesce(area, -1.0) AS area, coales
 
 def _pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Colour pictures of 16 by 12 pixels from three successive vectors' numbers, dealt out by page: what follows takes long
-    for each, so few files or row groups would leave cores idle."""
+    for each, so few files or row groups would leave cores idle. A few tasks a core are enough for any size, as rows stream."""
     data = F.flatten(F.array(*[F.transform("data", lambda v, k=k: ((v * (3 + k)) % 256).cast("double")) for k in range(9)]))
-    rows = adapters.rasters(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "page_id")
+    n = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    rows = adapters.rasters(spark, sf_dir).repartition(n, "page_id")
     return rows.select("page_id", F.struct(F.lit(12).alias("h"), F.lit(16).alias("w"), F.lit(3).alias("channels"), data.alias("data")).alias("picture"))
 
 
